@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 FOLDS = 5
 
 
+#: Rows of whole texts that go to Python at once; a Python worker and the Arrow buffers hold a few such batches.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,8 +29,8 @@ LENGTH = 50
 GRAM = 20
 SHALLOW = 16
 PIECE = 1 << 19
-FLUSH_BYTES = 12 << 20
-BUCKET_BYTES = 32 << 20
+FLUSH_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
 #: An anchor with more documents than this, in one flush or in all, is hot.
 HOT_FLUSH, HOT = 64, 2048
 _ORDER = np.random.default_rng(7).permutation(_BYTE) | np.uint64(1)
@@ -160,9 +160,11 @@ def _shared(asked: DataFrame) -> DataFrame:
         out: list[tuple[int, int, bool, bytes]] = []
 
         def told(ids: np.ndarray, cls: np.ndarray, p: np.ndarray, hot: np.ndarray) -> None:
+            if not len(ids):
+                return
             order = np.lexsort((p, hot, cls, ids))
             ids, cls, p, hot = ids[order], cls[order], p[order], hot[order]
-            cuts = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(cls) != 0) | (hot[1:] != hot[:-1]))) if len(ids) else []
+            cuts = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(cls) != 0) | (hot[1:] != hot[:-1])))
             out.extend((int(ids[a]), int(cls[a]), bool(hot[a]), p[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(ids)], strict=True))
 
         h, ids, cls, p, w = [], [], [], [], []
