@@ -29,7 +29,7 @@ from wakeline.llm.graph import components
 from wakeline.llm.shingles import mixed, sets
 
 #: Tokens in more documents than this come last in the order; at most FREQUENT_MOST are told to the executors (8 MB).
-FREQUENT = 64
+FREQUENT = 4
 FREQUENT_MOST = 1 << 20
 #: Lists up to this length pair their members; longer ones are indexed by pairs of tokens.
 SHORT_LIST = 32
@@ -56,10 +56,14 @@ def _low_tokens(docs: DataFrame, n: int, share: float) -> DataFrame:
 
 def frequent_tokens(docs: DataFrame, n: int, t: float) -> np.ndarray:
     """Sorted hashes of the frequent tokens, counted over all documents; the bound rises until FREQUENT_MOST hold them all."""
-    counts = staged(_low_tokens(docs, n, (1 - t) * 1.5).groupBy("token").count().where(F.col("count") > FREQUENT), "frequent")
-    bound = FREQUENT
-    while counts.where(F.col("count") > bound).count() > FREQUENT_MOST:
-        bound *= 2
+    counts = staged(_low_tokens(docs, n, (1 - t) * 1.35).groupBy("token").count().where(F.col("count") > FREQUENT), "frequent")
+    by_size = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("count"))).count().collect()), reverse=True)
+    bound, held = FREQUENT, 0
+    for power, tokens in by_size:
+        held += tokens
+        if held > FREQUENT_MOST:
+            bound = 2 ** (power + 1) - 1
+            break
     return np.sort(counts.where(F.col("count") > bound).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -74,7 +78,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> Da
                 key.append(np.array([mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
                 # A smaller set can't be t-similar to another set: one token more or less is too much.
                 if len(s) and len(s) * (den - num) >= num:
-                    often = np.isin(s, last, assume_unique=True) if len(last) else np.zeros(len(s), bool)
+                    often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                     prefix.append(np.concatenate([s[~often], s[often]])[: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
                     bit = (mixed(s) >> np.uint64(64 - 10)).astype(np.int64)
                     bitmap.append(np.packbits(np.bincount(bit, minlength=1024) % 2 == 1).view(np.int64))
@@ -97,14 +101,14 @@ def _can_link(num: int, den: int, a: str = "", b: str = "o_") -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs a, b whose whole sets are similar. Sets are built again from the texts of the classes that are asked for."""
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    asked = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "asked")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [s.view(np.int64) for s in sets(batch.column(1).to_pylist(), n)]
             yield pa.record_batch([batch.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "tokens"])
 
-    whole = docs.join(asked, "doc_id", "left_semi").mapInArrow(build, "id long, tokens array<long>")
+    whole = staged(docs.join(asked, "doc_id", "left_semi").mapInArrow(build, "id long, tokens array<long>"), "whole")
     # b first: it is seldom hot; then rows are large and Spark splits a hot a.
     found = pairs.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     inter = F.size(F.array_intersect("ta", "tb"))
@@ -131,6 +135,13 @@ def _unconnected(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return known.join(open_, "k")
 
 
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """Of lists with the same members one stays: tokens that occur in the same documents say the same about them."""
+    mark = [F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(20,0)")) for seed in (1, 2)]]
+    one = lists.groupBy("k").agg(F.struct(*mark).alias("members")).groupBy("members").agg(F.min("k").alias("k")).select("k")
+    return lists.join(one, "k")
+
+
 def _cross_pairs(left: DataFrame, right: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one list and different components that pass the two tests, met in bands of size."""
     step = math.log(den / num)
@@ -153,17 +164,18 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
     shared = postings.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     lists = staged(postings.join(shared, "k"), "lists")
 
-    links = staged(_verified(staged(_star_pairs(lists, meta, num, den), "stars"), docs, n, num, den), "links")
+    links = staged(_verified(staged(_star_pairs(_distinct_lists(lists), meta, num, den), "stars"), docs, n, num, den), "links")
     roots = components(links)
     rest = staged(_unconnected(lists, roots), "open")
     if not rest.isEmpty():
-        short, long = rest.where(F.col("length") <= SHORT_LIST), rest.where(F.col("length") > SHORT_LIST)
+        short, long = _distinct_lists(rest.where(F.col("length") <= SHORT_LIST)), rest.where(F.col("length") > SHORT_LIST)
         # Sets with more frequent tokens than pairs of them are indexed for meet all members of their lists instead.
         many = long.groupBy("id").agg(F.collect_set("k").alias("tokens"), F.first("root").alias("root"))
         few = many.where(F.size("tokens") <= PAIRED_TOKENS)
         big = long.join(many.where(F.size("tokens") > PAIRED_TOKENS).select("id"), "id", "left_semi")
         spot = F.array_sort("tokens")
         two = few.select("id", "root", F.explode(F.flatten(F.transform(spot, lambda x, i: F.transform(F.slice(spot, i + 2, F.size(spot)), lambda y: F.xxhash64(x, y))))).alias("k"))
+        two = _distinct_lists(two)
         pairs = _cross_pairs(short, short, meta, num, den).unionByName(_cross_pairs(two, two, meta, num, den)).unionByName(_cross_pairs(big, long, meta, num, den))
         more = staged(_verified(staged(pairs.distinct(), "pairs"), docs, n, num, den), "links")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
