@@ -172,7 +172,7 @@ def export(stored: DataFrame, folder: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = staged(bundles(decided(table(spark, sf_dir, "pages"))), "warc")
-    return read_back(stored).drop("url")
+    return read_back(stored).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = """
