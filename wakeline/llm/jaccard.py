@@ -34,7 +34,7 @@ FREQUENT_MOST = 1 << 20
 #: Lists up to this length pair their members; longer ones are indexed by pairs of tokens.
 SHORT_LIST = 32
 PAIRED_TOKENS = 40
-BITMAP = 16
+BITMAP = 8
 SETS = "doc_id long, n_shingles long, key binary, prefix array<long>, bitmap array<long>"
 
 
@@ -80,8 +80,8 @@ def _signed(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> Da
                 if len(s) and len(s) * (den - num) >= num:
                     often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                     prefix.append(np.concatenate([s[~often], s[often]])[: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
-                    bit = (mixed(s) >> np.uint64(64 - 10)).astype(np.int64)
-                    bitmap.append(np.packbits(np.bincount(bit, minlength=1024) % 2 == 1).view(np.int64))
+                    bit = (mixed(s) >> np.uint64(64 - 9)).astype(np.int64)
+                    bitmap.append(np.packbits(np.bincount(bit, minlength=64 * BITMAP) % 2 == 1).view(np.int64))
                 else:
                     prefix.append(None)
                     bitmap.append(None)
@@ -142,14 +142,17 @@ def _distinct_lists(lists: DataFrame) -> DataFrame:
     return lists.join(one, "k")
 
 
-def _cross_pairs(left: DataFrame, right: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one list and different components that pass the two tests, met in bands of size."""
+def _cross_pairs(left: DataFrame, right: DataFrame | None, meta: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one list and different components that pass the two tests, met in bands of size. right: None for left itself."""
     step = math.log(den / num)
     more = meta.select("id", "n", "bitmap", F.floor(F.log("n") / step).alias("band"))
     a = left.select("k", "id", "root").join(more, "id")
-    b = right.select("k", "id", "root").join(more, "id")
-    b = b.select("k", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("n").alias("o_n"), F.col("bitmap").alias("o_bitmap"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    met = a.join(b, ["k", "band"]).where((F.col("root") != F.col("o_root")) & _can_link(num, den))
+    b = a if right is None else right.select("k", "id", "root").join(more, "id")
+    # Of two members of the same lists the larger one (then the larger id) is on the right, so it needs two bands only.
+    bands = [F.col("band") - 1, F.col("band")] + [F.col("band") + 1] * (right is not None)
+    b = b.select("k", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("n").alias("o_n"), F.col("bitmap").alias("o_bitmap"), F.explode(F.array(*bands)).alias("band"))
+    once = F.lit(True) if right is not None else (F.col("n") < F.col("o_n")) | ((F.col("n") == F.col("o_n")) & (F.col("id") < F.col("o_id")))
+    met = a.join(b, ["k", "band"]).where(once & (F.col("root") != F.col("o_root")) & _can_link(num, den))
     return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
@@ -176,7 +179,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
         spot = F.array_sort("tokens")
         two = few.select("id", "root", F.explode(F.flatten(F.transform(spot, lambda x, i: F.transform(F.slice(spot, i + 2, F.size(spot)), lambda y: F.xxhash64(x, y))))).alias("k"))
         two = _distinct_lists(two)
-        pairs = _cross_pairs(short, short, meta, num, den).unionByName(_cross_pairs(two, two, meta, num, den)).unionByName(_cross_pairs(big, long, meta, num, den))
+        pairs = _cross_pairs(short, None, meta, num, den).unionByName(_cross_pairs(two, None, meta, num, den)).unionByName(_cross_pairs(big, long, meta, num, den))
         more = staged(_verified(staged(pairs.distinct(), "pairs"), docs, n, num, den), "links")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     owner = classes.select("key", "id", "copies").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")

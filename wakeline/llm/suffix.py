@@ -32,7 +32,7 @@ PIECE = 1 << 19
 FLUSH_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 #: An anchor with more documents than this, in one flush or in all, is hot.
-HOT_FLUSH, HOT = 64, 2048
+HOT_FLUSH, HOT = 512, 20_000
 _ORDER = np.random.default_rng(7).permutation(_BYTE) | np.uint64(1)
 _POS_BITS = 20
 
