@@ -163,7 +163,7 @@ def export(stored: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for bundle, body in zip(batch["bundle"], batch["body"], strict=True):
                 path = f"{root}/{bundle}.warc.zst"  # named by its content: a second attempt writes the same bytes
-                with store.open_output_stream(path) as out:
+                with store.open_output_stream(path, compression=None) as out:  # by its name it would be compressed again
                     out.write(bytes(body))
                 yield pd.DataFrame({"path": [path], "bytes": [len(body)]})
 
