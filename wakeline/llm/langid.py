@@ -158,12 +158,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", "held_out", F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score"), F.col("_lang.cosine").alias("cosine"))
 
 
-#: In the pipeline a text goes only if it has no letter or is like no language that the table holds.
+#: In the pipeline a text goes if it has no letter, or is long enough to judge and like no language that the table holds.
 MIN_COSINE = 0.2
+ENOUGH_CHARS = 200
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of a language stay. The prototypes are learned from the rows of docs outside the held-out fold."""
+    """Texts of a language stay, and all with letters that are too short to judge. If nothing can be learned, every row stays.
+
+    The prototypes are learned from the rows of docs outside the held-out fold.
+    """
     model = learn(docs.where(~held_out("doc_id")))
-    kept = F.col("_lang.lang_pred") != "und"
-    return predict(docs, model).where(kept & ((F.col("_lang.cosine") >= MIN_COSINE) | F.lit(not model[0]))).select(*docs.columns)
+    if not model[0]:
+        return docs
+    alike = (F.col("_lang.cosine") >= MIN_COSINE) | (F.length("text") < ENOUGH_CHARS)
+    return predict(docs, model).where((F.col("_lang.lang_pred") != "und") & alike).select(*docs.columns)
