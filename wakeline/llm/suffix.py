@@ -30,7 +30,7 @@ GRAM = 20
 SHALLOW = 16
 PIECE = 1 << 19
 FLUSH_BYTES = 6 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 24 << 20
 #: An anchor with more documents than this, in one flush or in all, is hot.
 HOT_FLUSH, HOT = 512, 20_000
 _ORDER = np.random.default_rng(7).permutation(_BYTE) | np.uint64(1)
@@ -94,8 +94,11 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _asked(docs: DataFrame, bits: int) -> DataFrame:
-    """Packed anchors of every flush: one row for each bucket (the top bits of the hash) with 40 more bits of each hash,
-    document number and place; `direct` rows hold places already known to be shared, and hot."""
+    """Packed anchors of every flush: one row for each bucket with, by document, 32 more bits of each hash and its place (in byte
+    planes), and the number of each document's anchors; `direct` rows hold places already known to be shared, and hot.
+
+    Anchors are least hashes, so most are small: buckets go by the bits of the hash mixed once more.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[bytes, int] = {}
@@ -104,6 +107,7 @@ def _asked(docs: DataFrame, bits: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             keys = list(texts)
+            name = int.from_bytes(hashlib.sha256(b"".join(keys)).digest()[:8], "big", signed=True)
             own = np.array([ids[k] for k in keys], np.int64)
             cls = np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64)
             parts = list(runs([texts[k] for k in keys]))
@@ -119,21 +123,23 @@ def _asked(docs: DataFrame, bits: int) -> DataFrame:
             witness[first] = True
             rows: list[tuple] = []
             keep = ~hot | witness  # a hot anchor sends one witness to its bucket
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+            even = mixed(h)
+            bucket = (even >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             for direct, mask in ((False, keep), (True, hot)):
                 if not mask.any():
                     continue
                 b = bucket[mask] if not direct else d[mask] % (1 << bits)
-                turn = np.argsort(b, kind="stable")
+                turn = np.lexsort((place[mask], d[mask], b))
                 cuts = np.flatnonzero(np.append(True, np.diff(b[turn]) != 0))
-                short = ((h[mask][turn] >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
+                short = ((even[mask][turn] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
                 dd, pp, ww = d[mask][turn], place[mask][turn], hot[mask][turn]
                 for a, z in zip(cuts, np.append(cuts[1:], len(turn)), strict=True):
-                    named, number = np.unique(dd[a:z], return_inverse=True)
-                    rows.append((int(b[turn[a]]), direct, b"" if direct else np.ascontiguousarray(short[a:z]).tobytes(), number.astype(np.uint32).tobytes(), pp[a:z].astype(np.uint32).tobytes(), np.packbits(ww[a:z]).tobytes(), own[named].tobytes(), cls[named].tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "direct", "h", "d", "p", "w", "ids", "cls"])
+                    named, each = np.unique(dd[a:z], return_counts=True)
+                    planes = pp[a:z].astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+                    rows.append((name, int(b[turn[a]]), direct, b"" if direct else short[a:z].tobytes(), each.astype(np.uint32).tobytes(), planes.tobytes(), np.packbits(ww[a:z]).tobytes(), own[named].tobytes(), cls[named].tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 6]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["flush", "bucket", "direct", "h", "d", "p", "w", "ids", "cls"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -149,52 +155,76 @@ def _asked(docs: DataFrame, bits: int) -> DataFrame:
         if texts:
             yield flush()
 
-    return docs.mapInArrow(pack, "bucket int, direct boolean, h binary, d binary, p binary, w binary, ids binary, cls binary")
+    return docs.mapInArrow(pack, "flush long, bucket int, direct boolean, h binary, d binary, p binary, w binary, ids binary, cls binary")
+
+
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where rows sorted by keys start a new combination of them."""
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))) if len(keys[0]) else np.empty(0, np.int64)
 
 
 def _shared(asked: DataFrame) -> DataFrame:
-    """doc_id, cls, hot, p: the places in each document of anchors that another text has, too."""
+    """doc_id, cls, hot, p: the places in each document of anchors that another text has, too.
+
+    A bucket answers each flush in one packed row; the answers to a flush are then put together by document.
+    """
 
     def shared(given: pa.Table) -> pa.Table:
-        rows = given.to_pylist()
-        out: list[tuple[int, int, bool, bytes]] = []
-
-        def told(ids: np.ndarray, cls: np.ndarray, p: np.ndarray, hot: np.ndarray) -> None:
-            if not len(ids):
-                return
-            order = np.lexsort((p, hot, cls, ids))
-            ids, cls, p, hot = ids[order], cls[order], p[order], hot[order]
-            cuts = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(cls) != 0) | (hot[1:] != hot[:-1])))
-            out.extend((int(ids[a]), int(cls[a]), bool(hot[a]), p[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(ids)], strict=True))
-
-        h, ids, cls, p, w = [], [], [], [], []
-        for r in rows:
-            d, place = np.frombuffer(r["d"], np.uint32), np.frombuffer(r["p"], np.uint32)
-            own, kind = np.frombuffer(r["ids"], np.int64)[d], np.frombuffer(r["cls"], np.int64)[d]
+        h, row, ids, cls, p, w = [], [], [], [], [], []
+        ready: list[tuple[np.ndarray, ...]] = []
+        flush = given.column("flush").to_pylist()
+        for i, r in enumerate(given.to_pylist()):
+            each = np.frombuffer(r["d"], np.uint32)
+            place = np.ascontiguousarray(np.frombuffer(r["p"], np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+            own, kind = np.repeat(np.frombuffer(r["ids"], np.int64), each), np.repeat(np.frombuffer(r["cls"], np.int64), each)
+            source = np.full(len(place), i)
             if r["direct"]:
-                told(own, kind, place, np.ones(len(d), bool))
+                ready.append((source, own, kind, np.ones(len(place), bool), place))
                 continue
-            wide = np.zeros((len(d), 8), np.uint8)
-            wide[:, :5] = np.frombuffer(r["h"], np.uint8).reshape(-1, 5)
-            h.append(wide.view(np.uint64)[:, 0])
-            ids.append(own)
-            cls.append(kind)
-            p.append(place)
-            w.append(np.unpackbits(np.frombuffer(r["w"], np.uint8), count=len(d)).astype(bool))
+            h.append(np.frombuffer(r["h"], np.uint32))
+            for held, new in ((row, source), (ids, own), (cls, kind), (p, place)):
+                held.append(new)
+            w.append(np.unpackbits(np.frombuffer(r["w"], np.uint8), count=len(place)).astype(bool))
         if h:
-            h, ids, cls, p, w = (np.concatenate(x) for x in (h, ids, cls, p, w))
+            h, row, ids, cls, p, w = (np.concatenate(x) for x in (h, row, ids, cls, p, w))
             order = np.argsort(h, kind="stable")
-            h, ids, cls, p, w = h[order], ids[order], cls[order], p[order], w[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            h, row, ids, cls, p, w = h[order], row[order], ids[order], cls[order], p[order], w[order]
+            first = _cuts(h)
             count = np.diff(np.append(first, len(h)))
             hot = np.logical_or.reduceat(w, first) | (count > HOT)
             many = (np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)) | hot
             keep = np.repeat(many, count)
-            told(ids[keep], cls[keep], p[keep], np.repeat(hot, count)[keep])
-        names, kinds = ("doc_id", "cls", "hot", "p"), (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-
-    return asked.groupBy("bucket").applyInArrow(shared, "doc_id long, cls long, hot boolean, p binary")
+            ready.append((row[keep], ids[keep], cls[keep], np.repeat(hot, count)[keep], p[keep]))
+        out: list[tuple] = []
+        if ready:
+            row, ids, cls, hot, p = (np.concatenate(x) for x in zip(*ready, strict=True))
+            order = np.lexsort((p, hot, cls, ids, row))
+            row, ids, cls, hot, p = row[order], ids[order], cls[order], hot[order], p[order]
+            entry = _cuts(row, ids, cls, hot)
+            each = np.diff(np.append(entry, len(row))).astype(np.uint32)
+            at = _cuts(row[entry])
+            for a, z in zip(at, [*at[1:], len(entry)], strict=True):
+                e = entry[a:z]
+                out.append((flush[row[e[0]]], ids[e].tobytes(), cls[e].tobytes(), hot[e].tobytes(), each[a:z].tobytes(), p[e[0] : entry[z] if z < len(entry) else len(p)].tobytes()))
+        kinds = (pa.int64(), *[pa.binary()] * 5)
+        return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(("flush", "ids", "cls", "hot", "d", "p"), kinds, strict=True))})
+
+    def by_document(given: pa.Table) -> pa.Table:
+        ids, cls, hot, p = [], [], [], []
+        for r in given.to_pylist():
+            each = np.frombuffer(r["d"], np.uint32)
+            for held, name, kind in ((ids, "ids", np.int64), (cls, "cls", np.int64), (hot, "hot", np.bool_)):
+                held.append(np.repeat(np.frombuffer(r[name], kind), each))
+            p.append(np.frombuffer(r["p"], np.uint32))
+        ids, cls, hot, p = (np.concatenate(x) for x in (ids, cls, hot, p))
+        order = np.lexsort((p, hot, cls, ids))
+        ids, cls, hot, p = ids[order], cls[order], hot[order], p[order]
+        at = _cuts(ids, cls, hot)
+        places = [p[a:z].tobytes() for a, z in zip(at, [*at[1:], len(p)], strict=True)]
+        return pa.table({"doc_id": ids[at], "cls": cls[at], "hot": hot[at], "p": pa.array(places, pa.binary())})
+
+    answers = asked.groupBy("bucket").applyInArrow(shared, "flush long, ids binary, cls binary, hot binary, d binary, p binary")
+    return answers.groupBy("flush").applyInArrow(by_document, "doc_id long, cls long, hot boolean, p binary")
 
 
 def _segments(texts: DataFrame, places: DataFrame) -> DataFrame:
@@ -315,8 +345,11 @@ def _hot_runs(segments: DataFrame) -> DataFrame:
     windows = windows.select("sid", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seg") - (LENGTH - 1)), lambda i: F.substring(F.col("seg"), i, F.lit(LENGTH)))).alias("w", "bytes"))
     best = windows.groupBy("bytes").agg(F.min("least").alias("best"))
     found = windows.join(best, "bytes").groupBy("sid").agg(F.collect_list(F.struct("w", "best")).alias("found"))
-    hit = own.select("sid", "doc_id", "cls", "lo").join(found, "sid").select("doc_id", "cls", "lo", F.explode(F.filter("found", lambda x: x["best"] < F.col("doc_id"))).alias("x"))
-    return hit.select("doc_id", "cls", (F.col("lo") + F.col("x.w")).alias("start"), (F.col("lo") + F.col("x.w") + LENGTH).alias("end"))
+    hit = own.select("sid", "doc_id", "cls", "lo").join(found, "sid").withColumn("w", F.array_sort(F.transform(F.filter("found", lambda x: x["best"] < F.col("doc_id")), lambda x: x["w"])))
+    # Windows follow each other in a run: it opens where the one before is not marked and closes where the next one is not.
+    opens = F.filter("w", lambda w: ~F.array_contains("w", w - 1))
+    closes = F.filter("w", lambda w: ~F.array_contains("w", w + 1))
+    return hit.select("doc_id", "cls", "lo", F.explode(F.arrays_zip(opens.alias("a"), closes.alias("z"))).alias("x")).select("doc_id", "cls", (F.col("lo") + F.col("x.a")).alias("start"), (F.col("lo") + F.col("x.z") + LENGTH).alias("end"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -324,7 +357,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with keep_bytes the bytes that stay."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # A needless alias would keep Spark from seeing that the uses of one exchange are the same.
+    own_id = F.col("doc_id") if (id_col, dict(docs.dtypes)[id_col]) == ("doc_id", "bigint") else F.col(id_col).cast("long").alias("doc_id")
+    rows = docs.select(own_id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(0, int(total // BUCKET_BYTES).bit_length())
     named = rows.where("doc_id is not null").where(F.octet_length("text") >= LENGTH)
@@ -334,12 +369,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     keyed = named.select("doc_id", sha.alias("sha"))
     sums = staged(keyed.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "copies")
     firsts = sums.select(F.col("least").alias("doc_id"), cls.alias("cls"))
-    asked = places.join(firsts, ["doc_id", "cls"], "left_semi").groupBy("doc_id", "cls", "hot").agg(F.collect_list("p").alias("p"))
+    asked = places.groupBy("doc_id", "cls", "hot").agg(F.collect_list("p").alias("p")).join(firsts, ["doc_id", "cls"], "left_semi")
     # The texts are dealt by id and content once; both uses below read that one exchange.
     texts = rows.withColumn("sha", sha).select("doc_id", cls.alias("cls"), "text").where("doc_id is not null and cls is not null").repartition("doc_id", "cls")
     found = _cold_runs(_segments(texts, asked.where("not hot")), max(1, int(total // (8 << 20))))
     if not places.where("hot").isEmpty():
-        found = found.unionByName(_hot_runs(_segments(texts, asked.where("hot"))))
+        found = found.unionByName(_hot_runs(staged(_segments(texts, asked.where("hot")), "hot")))
     copies = keyed.join(sums.where("n > 1").select("sha", "least"), "sha").where("doc_id > least").select("doc_id", cls.alias("cls"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "least")
     told = found.withColumn("least", F.lit(None).cast("long")).unionByName(copies)
     spans = told.groupBy("doc_id", "cls").agg(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans"), F.min("least").alias("least"))
