@@ -129,8 +129,11 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id", hashed: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>) and decoded (binary); hashed: the SHA-256 of both instead."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id", hashed: bool = False, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (array<int>) and decoded (binary); hashed: the SHA-256 of both instead.
+
+    keep: a Python worker keeps its tables from one partition to the next; else it frees them for the stages that follow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
@@ -143,6 +146,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col:
                 back.append(hashlib.sha256(data).hexdigest() if hashed else data)
             kinds = (pa.string(), pa.string()) if hashed else (pa.list_(pa.int32()), pa.binary())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, kinds[0]), pa.array(back, kinds[1])], ["doc_id", "n_tokens", *names])
+        if not keep:
+            coder.cache_clear()
 
     names = ("ids_sha256", "decoded_sha256") if hashed else ("ids", "decoded")
     kinds = "ids_sha256 string, decoded_sha256 string" if hashed else "ids array<int>, decoded binary"

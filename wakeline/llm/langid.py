@@ -67,7 +67,7 @@ class Profiles:
             out = out * self.turned[place][letters[place]]
         return out
 
-    def bundled(self, texts: list[str], width: int = 4096) -> np.ndarray:
+    def bundled(self, texts: list[str], width: int = 2048) -> np.ndarray:
         """A row for each text, at unit length (zeros without letters); n-grams are bound once for all texts given."""
         found = [self.grams(t) for t in texts]
         out = np.zeros((len(texts), self.dim), np.float32)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
