@@ -26,7 +26,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of token ids and the SHA-256 of the ids and of the bytes that they decode to."""
-    return bpe.encode(docs, *bpe.vocabulary(), hashed=True)
+    return bpe.encode(docs, *bpe.vocabulary(), hashed=True, keep=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
