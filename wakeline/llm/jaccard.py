@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import staged, table
+from wakeline.llm.common import dropped, staged, table
 from wakeline.llm.graph import components
 from wakeline.llm.shingles import mixed, sets
 
@@ -64,7 +64,9 @@ def frequent_tokens(docs: DataFrame, n: int, t: float) -> np.ndarray:
         if held > FREQUENT_MOST:
             bound = 2 ** (power + 1) - 1
             break
-    return np.sort(counts.where(F.col("count") > bound).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    last = np.sort(counts.where(F.col("count") > bound).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    dropped(counts)
+    return last
 
 
 def _signed(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> DataFrame:
@@ -100,7 +102,8 @@ def _can_link(num: int, den: int, a: str = "", b: str = "o_") -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs a, b whose whole sets are similar. Sets are built again from the texts of the classes that are asked for."""
+    """The pairs a, b whose whole sets are similar, staged. Sets are built again from the texts of the classes asked for."""
+    pairs = staged(pairs, "pairs")
     asked = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "asked")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +115,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     # b first: it is seldom hot; then rows are large and Spark splits a hot a.
     found = pairs.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     inter = F.size(F.array_intersect("ta", "tb"))
-    return found.where(inter * den >= (F.size("ta") + F.size("tb") - inter) * num).select("a", "b").distinct()
+    links = staged(found.where(inter * den >= (F.size("ta") + F.size("tb") - inter) * num).select("a", "b").distinct(), "links")
+    dropped(pairs, asked, whole)
+    return links
 
 
 def _star_pairs(lists: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
@@ -162,14 +167,17 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
     last = frequent_tokens(docs, n, num / den)
     rows = staged(_signed(docs, n, num, den, last), "sets")
     classes = staged(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")), "classes")
+    members = staged(rows.select("doc_id", "n_shingles", "key"), "members")
+    dropped(rows)
     meta = classes.where("prefix is not null").select("id", "n", "bitmap")
     postings = classes.where("prefix is not null").select("id", F.explode("prefix").alias("k"))
     shared = postings.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     lists = staged(postings.join(shared, "k"), "lists")
 
-    links = staged(_verified(staged(_star_pairs(_distinct_lists(lists), meta, num, den), "stars"), docs, n, num, den), "links")
+    links = _verified(_star_pairs(_distinct_lists(lists), meta, num, den), docs, n, num, den)
     roots = components(links)
     rest = staged(_unconnected(lists, roots), "open")
+    dropped(links, lists)
     if not rest.isEmpty():
         short, long = _distinct_lists(rest.where(F.col("length") <= SHORT_LIST)), rest.where(F.col("length") > SHORT_LIST)
         # Sets with more frequent tokens than pairs of them are indexed for meet all members of their lists instead.
@@ -180,12 +188,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
         two = few.select("id", "root", F.explode(F.flatten(F.transform(spot, lambda x, i: F.transform(F.slice(spot, i + 2, F.size(spot)), lambda y: F.xxhash64(x, y))))).alias("k"))
         two = _distinct_lists(two)
         pairs = _cross_pairs(short, None, meta, num, den).unionByName(_cross_pairs(two, None, meta, num, den)).unionByName(_cross_pairs(big, long, meta, num, den))
-        more = staged(_verified(staged(pairs.distinct(), "pairs"), docs, n, num, den), "links")
+        more = _verified(pairs.distinct(), docs, n, num, den)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     owner = classes.select("key", "id", "copies").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     owner = owner.where("copies > 1 or root is not null").select("key", F.coalesce("root", "id").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "key").join(owner, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = members.join(owner, "key", "left")
+    out = staged(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "components")
+    dropped(members, classes, rest)
+    return out
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
