@@ -214,3 +214,39 @@ def test_decontamination_equals_brute(spark, sf):
     told = brute.leaks([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items).collect()}
     assert got == told and got
+
+
+CLIPS = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May, her mother said"
+
+
+def held(spark, text, item=CLIPS):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return decontaminate.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 1
+
+
+def test_decontamination_names_at_sentence_starts(spark):
+    assert held(spark, "So. " + CLIPS.replace("Natalia", "Petra").replace("48", "56"))
+    assert held(spark, "so. " + CLIPS.lower())
+    assert not held(spark, "So. " + CLIPS.replace("Natalia", "Petra", 1))
+
+
+def test_decontamination_every_place(spark):
+    item = ITEMS[0][1]
+    odd = "the 12 of May is 12 days before the 24 of May in every year that we have met so far says the book"
+    assert held(spark, f"{odd.replace('12', '13', 1)}. Then {odd}", odd)
+    assert held(spark, f"{odd.replace('12', '13', 1)}. Then {odd.replace('12', '14')}", odd)
+    assert not held(spark, odd.replace("12", "13", 1), odd)
+    assert held(spark, f"{item.replace('40', '9')} or {item}", item)
+
+
+def test_decontamination_edits_passages_short_items(spark):
+    item = ITEMS[1][1]
+    w = item.split()
+    assert held(spark, " ".join([*w[:7], "single", *w[8:]]), item)
+    assert held(spark, " ".join([*w[:7], "very", *w[7:]]), item)
+    assert held(spark, " ".join([*w[:6], *w[7:]]), item)
+    assert not held(spark, " ".join([*w[:6], *w[12:]]), item)
+    long = ITEMS[0][1].split()
+    assert held(spark, "see: " + " ".join(long[: len(long) // 2 + 2]) + " and other things", ITEMS[0][1])
+    assert held(spark, "well, too short.", "Too short") and not held(spark, "too very short", "Too short")
+    assert held(spark, "ask: 12 + 7 - 3 + 4 + 5 = what?", "12 + 7 - 3 + 4 + 5 = What") and not held(spark, "ask: 12 + 8 - 3 + 4 + 5 = what?", "12 + 7 - 3 + 4 + 5 = What")

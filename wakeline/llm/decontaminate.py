@@ -1,13 +1,21 @@
 """Benchmark decontamination by template windows; DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so a question whose figures or names were changed keeps its template.
-Windows of WINDOW template words are joined by hash. A document holds an item if at least COVERAGE of the item's windows occur
-in it and the slots are consistent: each value of the item always stands against one and the same value of the document.
-
-Windows with fewer than MIN_WORDS plain words say nothing and do not count, on either side. Null and empty texts and items with
-fewer than WINDOW words match nothing. A name is a capitalised word after a lower-case letter, a digit or a comma; an item's
-first word may be met as a name or not. Repeated documents match each for itself; repeated item ids count once, with their
-smallest text. Rows with null ids take no part.
+Numbers, names and units become typed placeholders, so a question whose figures or names were changed keeps its template. A
+capitalised word, wherever it stands, is met both as a name and as the plain word, on either side; so is an item's first word.
+
+Windows of WINDOW template words are joined by hash. Those with fewer than MIN_WORDS plain words say nothing and do not count.
+A matched window covers its words. A place of the item in a document is one shift between their words, with all shifts up to
+(1 - COVERAGE) of the item's words around it, as words left out or put in move what follows. A document holds an item if
+
+- at some place at least COVERAGE of the words that the item's windows reach are covered, or
+- at one shift PASSAGE words in a row are covered,
+
+and the slots covered there are consistent: each value of the item always stands against one and the same value. A capitalised
+word that the item also holds in lower case is no name there. Items that no window can tell (short ones, or of few plain words)
+are held by documents in which all their words and values stand in a row: their template alone is met anywhere.
+
+Null texts and texts without words match nothing. Repeated documents match each for itself; repeated item ids count once, with
+their smallest text. Rows with null ids take no part.
 """
 
 from __future__ import annotations
@@ -20,20 +28,24 @@ from wakeline.llm.common import table
 WINDOW = 5
 COVERAGE = 0.8
 MIN_WORDS = 3
+#: Words in a row that make a passage.
+PASSAGE = 13
 #: Windows of the benchmark that are broadcast; with more, Spark's ordinary join takes over.
 BROADCAST_WINDOWS = 400_000
 NUMBER, NAME, UNIT = "0", "ℕ", "ℚ"
+#: Stands before a word that may be a name.
+MARK = "\ue000"
 # Units that may follow a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|mile|ft|feet|inches|l|ml|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|percent"
 _TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+)"
 
 
 def template(text: Column) -> Column:
-    """The words of a text, typed placeholders in the place of numbers, names and units."""
-    t = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},]\s)\p{Lu}\p{Ll}+", NAME)
+    """The words of a text in one string, MARK before capitalised ones, typed placeholders in the place of numbers and units."""
+    t = F.regexp_replace(F.translate(text, MARK, " "), r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", MARK)
     t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER} ")
     t = F.regexp_replace(F.lower(t), rf"(?<= {NUMBER} )\s*(?:{UNITS})(?![\p{{L}}])", UNIT)
-    return F.split(F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", " ")), " ")
+    return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+", " "))
 
 
 def words(text: Column) -> Column:
@@ -41,52 +53,120 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
 
 
-def _windows(rows: DataFrame, t: str, position: str) -> DataFrame:
-    """h and position of every window of the array column t that has enough plain words."""
+def _forms(w: Column) -> Column:
+    """Every reading of a window's words, a marked one as the plain word or as a name; readings of too many names are left out."""
+    none = F.array(F.array().cast("array<string>"))
+    put = lambda acc, word: F.transform(acc, lambda a: F.concat(a, F.array(word)))
+    every = F.aggregate(w, none, lambda acc, x: F.when(x.startswith(MARK), F.concat(put(acc, F.substring(x, 2, 1_000_000)), put(acc, F.lit(NAME)))).otherwise(put(acc, x)))
+    return F.filter(every, lambda a: F.size(F.filter(a, lambda x: x == NAME)) <= WINDOW - MIN_WORDS)
+
+
+def _starts(size: Column) -> Column:
+    return F.when(size >= WINDOW, F.sequence(F.lit(1), size - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """item_id, item_at, h of every reading of every window that says something. No other can be met, so documents need no test."""
     plain = lambda w: F.size(F.array_except(w, F.array(F.lit(NUMBER), F.lit(NAME), F.lit(UNIT)))) >= MIN_WORDS
-    at = F.when(F.size(t) >= WINDOW, F.sequence(F.lit(1), F.size(t) - (WINDOW - 1)))
-    placed = F.exists(t, lambda w: w.isin(NUMBER, NAME, UNIT))
-    dull = lambda w: F.size(F.array_distinct(w)) < MIN_WORDS
-    # Hashing is all that most texts need: the tests on words run where a placeholder or a window with few words can be.
-    every = F.transform(at, lambda i: F.xxhash64(F.slice(t, i, WINDOW)))
-    tested = F.transform(at, lambda i: F.when(plain(F.slice(t, i, WINDOW)) & ~dull(F.slice(t, i, WINDOW)), F.xxhash64(F.slice(t, i, WINDOW))))
-    return rows.select(*[c for c in rows.columns if c != t], F.posexplode(F.when(placed, tested).otherwise(every)).alias(position, "h")).where("h is not null")
+    at = items.select("item_id", "t", F.explode(_starts(F.size("t"))).alias("item_at"))
+    read = at.select("item_id", "item_at", F.explode(_forms(F.slice("t", F.col("item_at"), WINDOW))).alias("w"))
+    return read.where(plain(F.col("w"))).select("item_id", "item_at", F.xxhash64("w").alias("h")).distinct()
+
+
+def _doc_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, copy, doc_at, h of every reading of every window. Only windows around a marked word have more than one."""
+    cut = docs.withColumn("p", F.split(F.translate("s", MARK, ""), " ")).withColumn("t", F.when(F.contains("s", F.lit(MARK)), F.split("s", " ")))
+    one = F.transform(_starts(F.size("p")), lambda i: F.struct(i.alias("doc_at"), F.xxhash64(F.slice("p", i, WINDOW)).alias("h")))
+    marked = F.filter(F.transform("t", lambda w, i: F.when(w.startswith(MARK), i + 1)), lambda i: i.isNotNull())
+    last = F.size("t") - (WINDOW - 1)
+    around = F.array_distinct(F.flatten(F.transform(marked, lambda i: F.when((last >= 1), F.sequence(F.least(F.greatest(i - (WINDOW - 1), F.lit(1)), last), F.least(i, last))).otherwise(F.array().cast("array<int>")))))
+    more = F.flatten(F.transform(around, lambda i: F.transform(_forms(F.slice("t", i, WINDOW)), lambda w: F.struct(i.alias("doc_at"), F.xxhash64(w).alias("h")))))
+    return cut.select("doc_id", "copy", F.explode(F.when(F.col("t").isNull(), one).otherwise(F.concat(one, more))).alias("x")).select("doc_id", "copy", "x.doc_at", "x.h")
 
 
 def _items(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
+    """item_id, its template t, its words v in lower case; the first word is always marked."""
     own = benchmark.select(F.col(id_col).alias("item_id"), F.col(text).alias("item_text")).where("item_id is not null and item_text is not null")
-    return own.groupBy("item_id").agg(F.min("item_text").alias("item_text")).withColumn("t", template(F.col("item_text")))
+    own = own.groupBy("item_id").agg(F.min("item_text").alias("item_text"))
+    t = F.split(template(F.col("item_text")), " ")
+    first = F.when(F.col("t")[0].isin(NUMBER, UNIT, "") | F.col("t")[0].startswith(MARK), F.col("t")[0]).otherwise(F.concat(F.lit(MARK), F.col("t")[0]))
+    v = F.transform(words(F.col("item_text")), lambda w: F.lower(w))
+    return own.select("item_id", t.alias("t"), v.alias("v")).withColumn("t", F.concat(F.array(first), F.slice("t", 2, F.size("t")))).where(F.size("v") > 0)
+
+
+def _documents(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """A repeated id is a document for each of its texts."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched, windows, coverage of every pair that the rules above find."""
-    items = _items(benchmark, item_col, item_text)
-    other = F.concat(F.array(F.lit(NAME)), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))))
-    both = items.select("item_id", F.explode(F.array("t", other)).alias("t"))
-    windows = _windows(both, "t", "item_at").distinct()
-    sizes = windows.groupBy("item_id").agg(F.count_distinct("item_at").alias("windows"))
+    """doc_id, item_id, matched and words (covered words, and those that windows reach), coverage of every pair that the rules above find."""
+    items, rows = _items(benchmark, item_col, item_text), _documents(docs, text, id_col)
+    windows = _item_windows(items)
+    reach = F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda i: F.sequence(i, i + (WINDOW - 1)))))
+    told = windows.groupBy("item_id").agg(F.size(reach).alias("words")).join(items, "item_id")
     known = F.broadcast(windows) if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else windows
-    # A repeated id is a document for each of its texts.
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("copy"), template(F.col(text)).alias("t")).where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
-    met = _windows(cut, "t", "doc_at").join(known, "h").groupBy("doc_id", "copy", "item_id", "item_at").agg(F.min("doc_at").alias("doc_at"))
-    pairs = met.groupBy("doc_id", "copy", "item_id").agg(F.count("*").alias("matched"), F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts")).join(sizes, "item_id")
-    pairs = pairs.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= COVERAGE)
-    return _consistent(pairs, docs, items, text, id_col).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.max("coverage").alias("coverage"))
-
-
-def _consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame, text: str, id_col: str) -> DataFrame:
-    """Drops pairs in which a value of the item stands against two values of the document. Items without slots skip the test."""
-    slots = items.select("item_id", F.posexplode("t").alias("slot_at", "kind"), words(F.col("item_text")).alias("item_words")).where(F.col("kind").isin(NUMBER, NAME, UNIT))
-    slots = slots.select("item_id", "slot_at", "kind", F.lower(F.col("item_words")[F.col("slot_at")]).alias("item_value"))
-    asked = pairs.join(slots.select("item_id").distinct(), "item_id", "left_semi").select("doc_id", "copy", "item_id", "shifts")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    found = asked.join(texts, ["doc_id", "copy"]).select("doc_id", "copy", "item_id", words(F.col("text")).alias("doc_words"), F.explode("shifts").alias("shift"))
-    held = found.join(slots, "item_id").withColumn("doc_value", F.lower(F.get("doc_words", F.col("slot_at") + F.col("shift")))).where("doc_value is not null")
-    # One shift is one place of the item in the document; a place at which every value has one counterpart is enough.
-    kinds = held.groupBy("doc_id", "copy", "item_id", "shift", "kind", "item_value").agg(F.count_distinct("doc_value").alias("n"))
-    good = kinds.groupBy("doc_id", "copy", "item_id", "shift").agg(F.max("n").alias("n")).where("n = 1").select("doc_id", "copy", "item_id").distinct()
-    bad = asked.select("doc_id", "copy", "item_id").distinct().join(good, ["doc_id", "copy", "item_id"], "left_anti")
-    return pairs.join(bad, ["doc_id", "copy", "item_id"], "left_anti")
+    met = _doc_windows(rows.select("doc_id", "copy", template(F.col("text")).alias("s"))).join(known, "h")
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda i: F.sequence(i, i + (WINDOW - 1))))))
+    places = met.groupBy("doc_id", "copy", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(covered.alias("at"))
+    pairs = places.groupBy("doc_id", "copy", "item_id").agg(F.array_sort(F.collect_list(F.struct("shift", "at"))).alias("places")).join(told, "item_id")
+    found = _consistent(_candidates(pairs), rows).unionByName(_verbatim(rows, items.join(windows.select("item_id").distinct(), "item_id", "left_anti")))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("words").alias("words"), F.max("coverage").alias("coverage"))
+
+
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """A row for each place that covers enough: held, the item's covered words and the shift of each."""
+    places, drift = F.col("places"), F.greatest(F.lit(1), F.floor((1 - COVERAGE) * F.size("v") + 1e-9).cast("int"))
+    enough = F.size(F.array_distinct(F.flatten(F.transform(places, lambda x: x["at"]))))
+    pairs = pairs.where((enough >= COVERAGE * F.col("words")) | (enough >= PASSAGE)).withColumn("drift", drift)
+    held = lambda at, shift: F.transform(at, lambda i: F.struct(i.alias("at"), shift.alias("shift")))
+    alone = F.transform(places, lambda x: held(x["at"], x["shift"]))
+
+    def around(x: Column, k: Column) -> Column:
+        """The words of the place itself first, then what the places around it add, the nearest first."""
+        some = F.slice(places, F.greatest(k + 1 - F.col("drift"), F.lit(1)), 2 * F.col("drift") + 1)
+        near = F.array_sort(F.transform(F.filter(some, lambda y: F.abs(y["shift"] - x["shift"]) <= F.col("drift")), lambda y: F.struct(F.abs(y["shift"] - x["shift"]).alias("far"), y["shift"].alias("shift"), y["at"].alias("at"))))
+        every = F.array_distinct(F.flatten(F.transform(near, lambda y: y["at"])))
+        return F.transform(every, lambda i: F.struct(i.alias("at"), F.filter(near, lambda y: F.array_contains(y["at"], i))[0]["shift"].alias("shift")))
+
+    def runs(x: Column) -> Column:
+        first = F.filter(x["at"], lambda i: ~F.array_contains(x["at"], i - 1))
+        last = F.filter(x["at"], lambda i: ~F.array_contains(x["at"], i + 1))
+        long = F.filter(F.arrays_zip(first.alias("a"), last.alias("z")), lambda r: r["z"] - r["a"] + 1 >= PASSAGE)
+        return F.transform(long, lambda r: held(F.sequence(r["a"], r["z"]), x["shift"]))
+
+    whole = F.filter(F.concat(alone, F.transform(places, around)), lambda c: F.size(c) >= COVERAGE * F.col("words"))
+    return pairs.select("doc_id", "copy", "item_id", "t", "v", "words", F.explode(F.array_distinct(F.concat(whole, F.flatten(F.transform(places, runs))))).alias("held"))
+
+
+def _consistent(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Drops places at which a value of the item stands against two values of the document."""
+    kind = lambda i: F.col("t")[i - 1]
+    slot = lambda i: kind(i).isin(NUMBER, UNIT) | (kind(i).startswith(MARK) & ~F.array_contains("t", F.col("v")[i - 1]))
+    slots = F.filter("held", lambda c: slot(c["at"]))
+    asked = found.withColumn("slots", slots)
+    texts = rows.join(asked.where(F.size("slots") > 0).select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", words(F.col("text")).alias("d"))
+    value = lambda c: F.struct(F.when(kind(c["at"]).startswith(MARK), F.lit(NAME)).otherwise(kind(c["at"])).alias("kind"), F.col("v")[c["at"] - 1].alias("own"))
+    against = F.transform("slots", lambda c: F.struct(value(c).alias("value"), F.lower(F.get("d", c["at"] + c["shift"] - 1)).alias("other")))
+    fits = F.size(F.array_distinct(against)) == F.size(F.array_distinct(F.transform("slots", value)))
+    good = asked.join(texts, ["doc_id", "copy"], "left").where((F.size("slots") == 0) | fits)
+    return good.select("doc_id", "item_id", F.size("held").alias("matched"), "words", (F.size("held") / F.col("words")).alias("coverage"))
+
+
+def _verbatim(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of a document and an item that no window tells, all of whose words stand in the document in a row."""
+    items = items.select("item_id", "v", F.least(F.size("v"), F.lit(WINDOW)).alias("length"))
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    lower = rows.select("doc_id", "copy", F.transform(words(F.col("text")), lambda w: F.lower(w)).alias("d"))
+    n = F.size("v").alias("words")
+    out = items.select(F.lit(None).alias("doc_id"), "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")).where("false").withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
+    for length in lengths:
+        own = items.where(F.col("length") == length).withColumn("h", F.xxhash64(F.slice("v", 1, length)))
+        hashes = F.transform(F.when(F.size("d") >= length, F.sequence(F.lit(1), F.size("d") - (length - 1))), lambda i: F.xxhash64(F.slice("d", i, length)))  # noqa: B023
+        met = lower.select("doc_id", "copy", F.posexplode(hashes).alias("at", "h")).join(own, "h")
+        met = met.join(lower, ["doc_id", "copy"]).where(F.slice("d", F.col("at") + 1, F.size("v")) == F.col("v"))
+        out = out.unionByName(met.select("doc_id", "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")))
+    return out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
