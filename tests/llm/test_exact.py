@@ -250,3 +250,13 @@ def test_decontamination_edits_passages_short_items(spark):
     assert held(spark, "see: " + " ".join(long[: len(long) // 2 + 2]) + " and other things", ITEMS[0][1])
     assert held(spark, "well, too short.", "Too short") and not held(spark, "too very short", "Too short")
     assert held(spark, "ask: 12 + 7 - 3 + 4 + 5 = what?", "12 + 7 - 3 + 4 + 5 = What") and not held(spark, "ask: 12 + 8 - 3 + 4 + 5 = what?", "12 + 7 - 3 + 4 + 5 = What")
+
+
+def test_pii_iban_before_capitals_and_numbers():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for after in (" BIC COBADEFFXXX", " 12345", " EUR 20", ", BIC X", "", " AB12 GB82 WEST 1234 5698 7654 32"):
+        assert [s[3] for s in pii.find(f"iban {iban}{after}") if s[0] == "iban"][0] == iban
+    both = [s[3] for s in pii.find(f"XX00 AAAA BBBB {iban} THEN GB82 WEST 1234 5698 7654 32 NOW") if s[0] == "iban"]
+    assert both == [iban, "GB82 WEST 1234 5698 7654 32"]
+    assert not [s for s in pii.find("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") if s[0] == "iban"]
+    assert pii.redacted(f"pay {iban} BIC COBADEFFXXX") == "pay <IBAN> BIC COBADEFFXXX"

@@ -35,7 +35,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
+#: IBAN length of each country.
+_IBAN_LENGTHS = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -68,6 +74,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the ends at word limits are tried, that of the country's length first, then the longest, until mod-97 holds."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        start, most = m.span(1)
+        if start < done:
+            continue
+        ends = [(e.end(), text[start : e.end()].replace(" ", "")) for e in _END.finditer(text, start, most + 1) if e.end() <= most]
+        own = _IBAN_LENGTHS.get(text[start : start + 2])
+        for end, value in sorted(ends, key=lambda e: (len(e[1]) != own, -e[0])):
+            if len(value) >= 15 and mod97(value):
+                yield start, end
+                done = end
+                break
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -86,7 +108,7 @@ def find(text: str | None, min_score: float = 0.5) -> list[tuple[str, int, int,
         found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))]
         found += [("card", *m.span()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
-        found += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        found += [("iban", *s) for s in _ibans(text)]
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     scored = [(k, s, e, text[s:e], _score(k, text, s, e)) for k, s, e in found]
     return sorted((x for x in scored if x[0] in KINDS[:4] or x[4] >= min_score), key=lambda x: (x[1], KINDS.index(x[0])))
