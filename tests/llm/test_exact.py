@@ -260,3 +260,12 @@ def test_pii_iban_before_capitals_and_numbers():
     assert both == [iban, "GB82 WEST 1234 5698 7654 32"]
     assert not [s for s in pii.find("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") if s[0] == "iban"]
     assert pii.redacted(f"pay {iban} BIC COBADEFFXXX") == "pay <IBAN> BIC COBADEFFXXX"
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    near = text("a") + " else"
+    rows = [(1, text("a")), (2, near), (2, text("b")), (3, text("b")), (4, text("c")), (4, text("d")), (4, text("d")), (5, text("d") + " end"), (None, text("a"))]
+    got = jaccard.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    told = [(1, text("a")), (2, text("b")), (4, text("c")), (4, text("d")), (None, text("a"))]
+    assert Counter(map(tuple, got)) == Counter(told)

@@ -203,8 +203,15 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Rows without id stay."""
-    groups = join(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays: that with the smallest id, of those the one whose text has the smallest hash.
+
+    An id that repeats with other texts is a document for each of them: each text belongs to its own group and only members of
+    one group go. Rows that repeat id and text are one document. Rows without id stay.
+    """
+    copy = F.xxhash64("text")
+    marked = docs.where("doc_id is not null").withColumn("_node", F.xxhash64("doc_id", copy))
+    groups = join(marked, id_col="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    ids = marked.select("_node", "doc_id", copy.alias("copy")).distinct()
+    kept = groups.join(ids, "_node").groupBy("component_id").agg(F.min(F.struct("doc_id", "copy", "_node")).alias("first")).select(F.col("first._node").alias("_node"))
+    named = marked.join(kept, "_node", "left_semi").dropDuplicates(["_node"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
