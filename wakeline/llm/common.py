@@ -65,6 +65,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def owned(out: DataFrame, table: DataFrame) -> DataFrame:
+    """out, a selection of a staged table: dropping it deletes that table."""
+    _paths[out] = _paths.pop(table)
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in tables:

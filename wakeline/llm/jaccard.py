@@ -1,16 +1,18 @@
 """Similarity join of shingle sets by token-combination prefixes.
 
-Equal sets form one class. All sets order their tokens alike: tokens that many documents hold come last, then by hash. Two sets
-of Jaccard similarity t or more share a token among the first |x| - ceil(t|x|) + 1 of each, and two tokens among one more. So
-the join looks only at these prefixes: rare tokens are indexed singly; where all tokens that two sets share are frequent, pairs
-of frequent tokens are indexed. Every candidate pair is verified on the whole sets.
+Equal sets form one class. All sets order their tokens alike: by how many documents hold them (in powers of two, rare ones
+first), then by hash. Two sets of Jaccard similarity t or more share a token among the first |x| - ceil(t|x|) + 1 of each, and
+two among one more. So the join looks only at these extended prefixes. Rare tokens are indexed singly, frequent ones by pairs;
+sets with too many frequent tokens for pairs meet the whole lists of theirs. A place p in the order bounds what two sets can
+share from there on, so each posting has a largest size of partner. Candidates are verified on the whole sets.
 
-Only components are asked for, so lists don't expand into all pairs. First each list's members are verified against one member
-(its pivot); a list whose members are then connected is done. Of the others only pairs of different components are verified,
-by size and by a parity bitmap whose distance bounds the sets' difference from below. Both tests lose no link.
+Only components are asked for, so lists don't expand into all pairs. First each list's members are verified against a pivot,
+the member in which the list's token comes earliest; what they link is contracted. In a list whose members are still in more
+than one component, only the members outside of its largest component meet the others, by size and place. A parity bitmap whose
+distance bounds the sets' difference from below drops most of these before the sets are built. None of the tests loses a link.
 
 Null, blank and empty texts have an empty set and link with nothing. Rows with null ids link with nothing and are their own,
-null, component. Rows that repeat an id get the component of their own text.
+null, component. Of rows that repeat an id each has the component of its own text.
 """
 
 from __future__ import annotations
@@ -21,74 +23,79 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import dropped, staged, table
+from wakeline.llm.common import dropped, looked_up, staged, table
 from wakeline.llm.graph import components
 from wakeline.llm.shingles import mixed, sets
 
-#: Tokens in more documents than this come last in the order; at most FREQUENT_MOST are told to the executors (8 MB).
+#: Tokens in more documents than this are ordered by their counts; at most FREQUENT_MOST are told to the executors (9 MB). The
+#: others count as rare: an order that is alike for all sets, so no link depends on the bound.
 FREQUENT = 4
 FREQUENT_MOST = 1 << 20
-#: Lists up to this length pair their members; longer ones are indexed by pairs of tokens.
+#: Tokens in lists up to this length are rare; longer ones are indexed by pairs in sets with up to PAIRED_TOKENS of them.
 SHORT_LIST = 32
 PAIRED_TOKENS = 40
 BITMAP = 8
-SETS = "doc_id long, n_shingles long, key binary, prefix array<long>, bitmap array<long>"
+#: Members of a list that one pivot takes, and that meet in one task.
+PIVOT_MEMBERS, TASK_MEMBERS = 1024, 4096
+SETS = "doc_id long, copy long, n_shingles long, key binary, prefix array<long>, bitmap array<long>"
 
 
 def _texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("copy"), F.col(text).cast("string").alias("text"))
 
 
-def _low_tokens(docs: DataFrame, n: int, share: float) -> DataFrame:
-    """token of every distinct shingle whose hash is in the lowest share of all hashes: only those can be early in the order."""
-    most = np.uint64(min(share, 1.0) * float((1 << 64) - 2048))
+def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the frequent tokens and the binary logarithms of their counts over all documents; the bound rises until
+    FREQUENT_MOST hold them all."""
 
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s[: np.searchsorted(s, most, side="right")] for s in sets(batch.column(0).to_pylist(), n)]
+            found = list(sets(batch.column(0).to_pylist(), n))
             yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["token"])
 
-    return docs.select("text").mapInArrow(low, "token long")
-
-
-def frequent_tokens(docs: DataFrame, n: int, t: float) -> np.ndarray:
-    """Sorted hashes of the frequent tokens, counted over all documents; the bound rises until FREQUENT_MOST hold them all."""
-    counts = staged(_low_tokens(docs, n, (1 - t) * 1.35).groupBy("token").count().where(F.col("count") > FREQUENT), "frequent")
-    by_size = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("count"))).count().collect()), reverse=True)
-    bound, held = FREQUENT, 0
-    for power, tokens in by_size:
-        held += tokens
+    counts = docs.select("text").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") > FREQUENT)
+    counts = staged(counts.select("token", F.floor(F.log2("count")).cast("byte").alias("rank")), "frequent")
+    by_rank = sorted(((r[0], r[1]) for r in counts.groupBy("rank").count().collect()), reverse=True)
+    least, held = 0, 0
+    for rank, some in by_rank:
+        held += some
         if held > FREQUENT_MOST:
-            bound = 2 ** (power + 1) - 1
+            least = rank + 1
             break
-    last = np.sort(counts.where(F.col("count") > bound).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    told = counts.where(F.col("rank") >= least).toPandas()
     dropped(counts)
-    return last
+    hashes = told["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], told["rank"].to_numpy(np.uint8)[order]
 
 
-def _signed(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> DataFrame:
+def _signed(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Of every document: size of its set, a 128-bit key of the set, its extended prefix and its parity bitmap."""
+    known, ranks = frequent
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, key, prefix, bitmap = [], [], [], []
-            for s in sets(batch.column(1).to_pylist(), n):
+            for s in sets(batch.column(2).to_pylist(), n):
                 size.append(len(s))
                 key.append(np.array([mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
                 # A smaller set can't be t-similar to another set: one token more or less is too much.
                 if len(s) and len(s) * (den - num) >= num:
-                    often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                    prefix.append(np.concatenate([s[~often], s[often]])[: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
+                    rank = np.zeros(len(s), np.uint8)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        rank = np.where(known[at] == s, ranks[at], 0)
+                    prefix.append(s[np.argsort(rank, kind="stable")][: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
                     bit = (mixed(s) >> np.uint64(64 - 9)).astype(np.int64)
                     bitmap.append(np.packbits(np.bincount(bit, minlength=64 * BITMAP) % 2 == 1).view(np.int64))
                 else:
                     prefix.append(None)
                     bitmap.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, longs), pa.array(bitmap, longs)], ["doc_id", "n_shingles", "key", "prefix", "bitmap"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, longs), pa.array(bitmap, longs)], ["doc_id", "copy", "n_shingles", "key", "prefix", "bitmap"])
 
     return docs.mapInArrow(sign, SETS)
 
@@ -101,103 +108,135 @@ def _can_link(num: int, den: int, a: str = "", b: str = "o_") -> Column:
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (den + num) <= (na + nb) * (den - num))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs a, b of classes whose sizes and bitmaps allow a link."""
+    left = classes.select(F.col("node").alias("a"), "n", "bitmap")
+    right = classes.select(F.col("node").alias("b"), F.col("n").alias("o_n"), F.col("bitmap").alias("o_bitmap"))
+    return pairs.distinct().join(right, "b").join(left, "a").where(_can_link(num, den)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs a, b whose whole sets are similar, staged. Sets are built again from the texts of the classes asked for."""
     pairs = staged(pairs, "pairs")
-    asked = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "asked")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = staged(classes.join(nodes, "node", "left_semi").select("node", "doc_id", "copy"), "asked")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [s.view(np.int64) for s in sets(batch.column(1).to_pylist(), n)]
-            yield pa.record_batch([batch.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "tokens"])
+            yield pa.record_batch([batch.column(0), pa.array(got, pa.list_(pa.int64()))], ["node", "tokens"])
 
-    whole = staged(docs.join(asked, "doc_id", "left_semi").mapInArrow(build, "id long, tokens array<long>"), "whole")
-    # b first: it is seldom hot; then rows are large and Spark splits a hot a.
-    found = pairs.join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
+    whole = staged(docs.join(asked, ["doc_id", "copy"]).select("node", "text").mapInArrow(build, "node long, tokens array<long>"), "whole")
+    # b first: it is seldom hot; then rows are large and Spark splits what is left of a hot a.
+    found = pairs.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     inter = F.size(F.array_intersect("ta", "tb"))
     links = staged(found.where(inter * den >= (F.size("ta") + F.size("tb") - inter) * num).select("a", "b").distinct(), "links")
     dropped(pairs, asked, whole)
     return links
 
 
-def _star_pairs(lists: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
-    """Each member of a list with the list's smallest id."""
-    pivots = lists.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("k", "a")
-    pairs = lists.join(pivots, "k").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    return _filtered(pairs, meta, num, den)
+def _lists(classes: DataFrame) -> DataFrame:
+    """k, node, n, p: the prefix tokens that two classes or more hold, and their places. Of tokens that the same classes hold,
+    which say the same about them, the two that come first stay (two, as pairs of tokens must stay, too); `twin` marks the second."""
+    postings = classes.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("p", "k"))
+    mark = [F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(20,0)")) for seed in (1, 2)]]
+    about = postings.groupBy("k").agg(F.count("*").alias("length"), F.struct(*mark).alias("members"), F.min(F.struct("node", "p")).alias("first")).where("length > 1")
+    order = Window.partitionBy("members").orderBy("first.p")
+    kept = about.withColumn("_n", F.row_number().over(order)).where("_n <= 2").select("k", "length", (F.col("_n") == 2).alias("twin"))
+    return looked_up(postings, kept, ["k"], F.col("node"), 8).where("length is not null")
 
 
-def _filtered(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
-    left = meta.select(F.col("id").alias("a"), "n", "bitmap")
-    right = meta.select(F.col("id").alias("b"), F.col("n").alias("o_n"), F.col("bitmap").alias("o_bitmap"))
-    return pairs.join(right, "b").join(left, "a").where(_can_link(num, den)).select("a", "b").distinct()
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """Each member of a list with a pivot a; a long list has several, each with the first of them."""
+    parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("length") / PIVOT_MEMBERS)))).cast("long")
+    rows = lists.where("not twin").withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    pivots = rows.groupBy("k", "part").agg(F.min(F.struct("p", "node")).alias("pivot"))
+    top = pivots.groupBy("k").agg(F.min("pivot").alias("top"))
+    own = rows.join(pivots, ["k", "part"]).select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+    over = pivots.join(top, "k").select(F.col("top.node").alias("a"), F.col("pivot.node").alias("b"))
+    return own.unionByName(over).where("a <> b")
 
 
-def _unconnected(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists whose members are in two components or more, with each member's component and the list's length."""
-    known = lists.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = known.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("length")).where("lo <> hi").select("k", "length")
-    return known.join(open_, "k")
+def _outside(lists: DataFrame) -> DataFrame:
+    """The rows of lists whose members are in two components or more, and whether a member is outside of the largest."""
+    sizes = lists.groupBy("k", "root").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1")
+    return looked_up(lists, open_.select("k", "major", "size"), ["k"], F.col("node"), 8).where("major is not null").withColumn("asks", F.col("root") != F.col("major"))
 
 
-def _distinct_lists(lists: DataFrame) -> DataFrame:
-    """Of lists with the same members one stays: tokens that occur in the same documents say the same about them."""
-    mark = [F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(20,0)")) for seed in (1, 2)]]
-    one = lists.groupBy("k").agg(F.struct(*mark).alias("members")).groupBy("members").agg(F.min("k").alias("k")).select("k")
-    return lists.join(one, "k")
+def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs a, b of one list and of two components of which one asks, sizes and places permitting.
 
-
-def _cross_pairs(left: DataFrame, right: DataFrame | None, meta: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one list and different components that pass the two tests, met in bands of size. right: None for left itself."""
-    step = math.log(den / num)
-    more = meta.select("id", "n", "bitmap", F.floor(F.log("n") / step).alias("band"))
-    a = left.select("k", "id", "root").join(more, "id")
-    b = a if right is None else right.select("k", "id", "root").join(more, "id")
-    # Of two members of the same lists the larger one (then the larger id) is on the right, so it needs two bands only.
-    bands = [F.col("band") - 1, F.col("band")] + [F.col("band") + 1] * (right is not None)
-    b = b.select("k", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("n").alias("o_n"), F.col("bitmap").alias("o_bitmap"), F.explode(F.array(*bands)).alias("band"))
-    once = F.lit(True) if right is not None else (F.col("n") < F.col("o_n")) | ((F.col("n") == F.col("o_n")) & (F.col("id") < F.col("o_id")))
-    met = a.join(b, ["k", "band"]).where(once & (F.col("root") != F.col("o_root")) & _can_link(num, den))
-    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    From place p on a set of n tokens shares n - p at most, and one more if the pair's first shared token is indexed by pairs.
+    That bounds the partner's size. Partners are met in bands of size; members of very long lists are spread over tasks.
+    """
+    step = math.log(den / num) / 2
+    band = lambda c: F.floor(F.log(c.cast("double")) / step + 1e-9)
+    cap = F.least(F.floor(F.col("n") * den / num), F.floor((F.col("n") - F.col("p") + 1) * (num + den) / num) - F.col("n"))
+    least = F.ceil(F.col("n") * num / den)
+    rows = rows.withColumn("cap", cap).withColumn("least", least).where("cap >= least")
+    spread = F.ceil(F.col("size") / TASK_MEMBERS)
+    left = rows.where("asks").withColumn("task", F.pmod(F.xxhash64("node"), spread)).withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.col("cap")))))
+    right = rows.select("k", band(F.col("n")).alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)).alias("task"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "cap", "least", "asks")])
+    once = ~F.col("o_asks") | (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_node") < F.col("node")))
+    met = left.join(right, ["k", "band", "task"]).where((F.col("root") != F.col("o_root")) & once & F.col("o_n").between(F.col("least"), F.col("cap")) & F.col("n").between(F.col("o_least"), F.col("o_cap")))
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+
+
+def _open_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components that share a rare token, two frequent ones, or one of a set with many frequent ones."""
+    known = lists.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = staged(_outside(known), "open")
+    short, long = rows.where((F.col("length") <= SHORT_LIST) & ~F.col("twin")), rows.where(F.col("length") > SHORT_LIST)
+    many = long.groupBy("node").agg(F.count("*").alias("tokens"))
+    marked = long.join(many, "node")
+    few = marked.where(F.col("tokens") <= PAIRED_TOKENS).groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("p", "k"))).alias("own"))
+    own = F.col("own")
+    two = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, PAIRED_TOKENS), lambda y: F.struct(x["p"].alias("p"), F.xxhash64(x["k"], y["k"]).alias("k")))))
+    pairs = few.select("node", "n", "root", F.explode(two).alias("x")).select("x.k", "node", "n", "x.p", "root")
+    # Sets with more frequent tokens than that ask in the whole lists of theirs.
+    whole = marked.withColumn("asks", F.col("tokens") > PAIRED_TOKENS)
+    found = _met(short, num, den).unionByName(_met(_outside(pairs), num, den)).unionByName(_met(whole, num, den))
+    out = staged(found.distinct(), "met")
+    dropped(rows)
+    return out
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: documents link where inter * den >= union * num."""
-    docs = _texts(docs, text, id_col)
-    last = frequent_tokens(docs, n, num / den)
-    rows = staged(_signed(docs, n, num, den, last), "sets")
-    classes = staged(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")), "classes")
-    members = staged(rows.select("doc_id", "n_shingles", "key"), "members")
+def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, copy, n_shingles, group, least of every row of _texts: group numbers a component (null for empty sets and null
+    ids) and least is its smallest doc_id. Staged."""
+    frequent = frequent_tokens(docs, n)
+    rows = staged(_signed(docs, n, num, den, frequent), "sets")
+    # A class is one text or texts with equal sets; its node is a number of its own, whatever ids repeat.
+    first = F.min(F.struct("doc_id", "copy")).alias("first")
+    own = rows.where("key is not null and doc_id is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
+    classes = staged(own.select("key", "first.*", "n", "prefix", "bitmap", F.monotonically_increasing_id().alias("node")), "classes")
+    members = staged(rows.select("doc_id", "copy", "n_shingles", "key"), "members")
     dropped(rows)
-    meta = classes.where("prefix is not null").select("id", "n", "bitmap")
-    postings = classes.where("prefix is not null").select("id", F.explode("prefix").alias("k"))
-    shared = postings.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    lists = staged(postings.join(shared, "k"), "lists")
-
-    links = _verified(_star_pairs(_distinct_lists(lists), meta, num, den), docs, n, num, den)
+    lists = staged(_lists(classes), "lists")
+    links = _verified(_filtered(_star_pairs(lists), classes, num, den), classes, docs, n, num, den)
     roots = components(links)
-    rest = staged(_unconnected(lists, roots), "open")
+    met = _open_pairs(lists, roots, num, den)
     dropped(links, lists)
-    if not rest.isEmpty():
-        short, long = _distinct_lists(rest.where(F.col("length") <= SHORT_LIST)), rest.where(F.col("length") > SHORT_LIST)
-        # Sets with more frequent tokens than pairs of them are indexed for meet all members of their lists instead.
-        many = long.groupBy("id").agg(F.collect_set("k").alias("tokens"), F.first("root").alias("root"))
-        few = many.where(F.size("tokens") <= PAIRED_TOKENS)
-        big = long.join(many.where(F.size("tokens") > PAIRED_TOKENS).select("id"), "id", "left_semi")
-        spot = F.array_sort("tokens")
-        two = few.select("id", "root", F.explode(F.flatten(F.transform(spot, lambda x, i: F.transform(F.slice(spot, i + 2, F.size(spot)), lambda y: F.xxhash64(x, y))))).alias("k"))
-        two = _distinct_lists(two)
-        pairs = _cross_pairs(short, None, meta, num, den).unionByName(_cross_pairs(two, None, meta, num, den)).unionByName(_cross_pairs(big, long, meta, num, den))
-        more = _verified(pairs.distinct(), docs, n, num, den)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    owner = classes.select("key", "id", "copies").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    owner = owner.where("copies > 1 or root is not null").select("key", F.coalesce("root", "id").alias("component"))
-    out = members.join(owner, "key", "left")
-    out = staged(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "components")
-    dropped(members, classes, rest)
+    more = _verified(_filtered(met, classes, num, den), classes, docs, n, num, den)
+    ends = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    dropped(met, more, roots)
+    owner = classes.select("key", "doc_id", "node").join(ends, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("group"))
+    least = owner.groupBy("group").agg(F.min("doc_id").alias("least"))
+    owner = looked_up(owner, least, ["group"], F.col("key"), 8).select("key", "group", "least")
+    found = looked_up(members, owner, ["key"], F.coalesce("doc_id", F.lit(0)))
+    alone = F.col("doc_id").isNull() | F.col("key").isNull()
+    out = staged(found.select("doc_id", "copy", "n_shingles", *[F.when(~alone, F.col(c)).alias(c) for c in ("group", "least")]), "groups")
+    dropped(members, classes, ends)
     return out
 
 
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: documents link where inter * den >= union * num."""
+    found = grouped(_texts(docs, text, id_col), n, num, den)
+    return found.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -206,12 +245,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays: that with the smallest id, of those the one whose text has the smallest hash.
 
     An id that repeats with other texts is a document for each of them: each text belongs to its own group and only members of
-    one group go. Rows that repeat id and text are one document. Rows without id stay.
+    one group go. Rows that repeat id and text are one document. Rows without id stay, and so do null, empty and blank texts.
+    Columns of any name pass through.
     """
-    copy = F.xxhash64("text")
-    marked = docs.where("doc_id is not null").withColumn("_node", F.xxhash64("doc_id", copy))
-    groups = join(marked, id_col="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    ids = marked.select("_node", "doc_id", copy.alias("copy")).distinct()
-    kept = groups.join(ids, "_node").groupBy("component_id").agg(F.min(F.struct("doc_id", "copy", "_node")).alias("first")).select(F.col("first._node").alias("_node"))
-    named = marked.join(kept, "_node", "left_semi").dropDuplicates(["_node"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = grouped(_texts(docs, "text", "doc_id"), 5, 80, 100).where("doc_id is not null")
+    first = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("first")).select("first.*")
+    kept = first.unionByName(found.where("group is null").select("doc_id", "copy").distinct())
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy"))
+    own = docs.where("doc_id is not null")
+    same = (own["doc_id"] == kept["kept_id"]) & (F.xxhash64(own["text"]) == kept["kept_copy"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
