@@ -20,10 +20,12 @@ their smallest text. Rows with null ids take no part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import table
+from wakeline.llm.common import staged, table
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -32,6 +34,8 @@ MIN_WORDS = 3
 PASSAGE = 13
 #: Windows of the benchmark that are broadcast; with more, Spark's ordinary join takes over.
 BROADCAST_WINDOWS = 400_000
+#: Candidate documents whose ids are broadcast to fetch their words; with more, Spark's ordinary join takes over.
+BROADCAST_IDS = 500_000
 NUMBER, NAME, UNIT = "0", "ℕ", "ℚ"
 #: Stands before a word that may be a name.
 MARK = "\ue000"
@@ -41,11 +45,12 @@ _TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+)"
 
 
 def template(text: Column) -> Column:
-    """The words of a text in one string, MARK before capitalised ones, typed placeholders in the place of numbers and units."""
-    t = F.regexp_replace(F.translate(text, MARK, " "), r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})", MARK)
+    """The words of a text, MARK before capitalised ones, typed placeholders in the place of numbers and units."""
+    t = F.regexp_replace(F.translate(text, MARK, " "), r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})(?=\p{Ll})", MARK + "$0")
     t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER} ")
-    t = F.regexp_replace(F.lower(t), rf"(?<= {NUMBER} )\s*(?:{UNITS})(?![\p{{L}}])", UNIT)
-    return F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+", " "))
+    t = F.regexp_replace(F.lower(t), rf" {NUMBER} \s*(?:{UNITS})(?!\p{{L}})", f" {NUMBER} {UNIT}")
+    t = F.split(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+")
+    return F.array_remove(t, "")  # what stands before the first word and after the last one
 
 
 def words(text: Column) -> Column:
@@ -70,26 +75,44 @@ def _item_windows(items: DataFrame) -> DataFrame:
     plain = lambda w: F.size(F.array_except(w, F.array(F.lit(NUMBER), F.lit(NAME), F.lit(UNIT)))) >= MIN_WORDS
     at = items.select("item_id", "t", F.explode(_starts(F.size("t"))).alias("item_at"))
     read = at.select("item_id", "item_at", F.explode(_forms(F.slice("t", F.col("item_at"), WINDOW))).alias("w"))
-    return read.where(plain(F.col("w"))).select("item_id", "item_at", F.xxhash64("w").alias("h")).distinct()
+    return read.where(plain(F.col("w"))).select("item_id", "item_at", _xor(_placed([F.col("w")[i] for i in range(WINDOW)])).alias("h")).distinct()
+
+
+def _placed(words: list[Column]) -> list[Column]:
+    """A hash of each word of a window at its place. That of the window is their exclusive or, so a reading changes it by one
+    difference for each name."""
+    return [F.xxhash64(w, F.lit(i)) for i, w in enumerate(words)]
+
+
+def _xor(columns: list[Column]) -> Column:
+    return reduce(lambda x, y: x.bitwiseXOR(y), columns)
 
 
 def _doc_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, copy, doc_at, h of every reading of every window. Only windows around a marked word have more than one."""
-    cut = docs.withColumn("p", F.split(F.translate("s", MARK, ""), " ")).withColumn("t", F.when(F.contains("s", F.lit(MARK)), F.split("s", " ")))
-    one = F.transform(_starts(F.size("p")), lambda i: F.struct(i.alias("doc_at"), F.xxhash64(F.slice("p", i, WINDOW)).alias("h")))
-    marked = F.filter(F.transform("t", lambda w, i: F.when(w.startswith(MARK), i + 1)), lambda i: i.isNotNull())
-    last = F.size("t") - (WINDOW - 1)
-    around = F.array_distinct(F.flatten(F.transform(marked, lambda i: F.when((last >= 1), F.sequence(F.least(F.greatest(i - (WINDOW - 1), F.lit(1)), last), F.least(i, last))).otherwise(F.array().cast("array<int>")))))
-    more = F.flatten(F.transform(around, lambda i: F.transform(_forms(F.slice("t", i, WINDOW)), lambda w: F.struct(i.alias("doc_at"), F.xxhash64(w).alias("h")))))
-    return cut.select("doc_id", "copy", F.explode(F.when(F.col("t").isNull(), one).otherwise(F.concat(one, more))).alias("x")).select("doc_id", "copy", "x.doc_at", "x.h")
+    """doc_id, copy, doc_at, h of every reading of every window of t. Only windows with a marked word have more than one."""
+    shifted = F.arrays_zip(*[F.slice("t", i + 1, F.size("t")).alias(f"w{i}") for i in range(WINDOW)])
+    rows = docs.where(F.size("t") >= WINDOW).select("doc_id", "copy", F.posexplode(shifted).alias("at", "w")).select("doc_id", "copy", (F.col("at") + 1).alias("doc_at"), "w.*").where(f"w{WINDOW - 1} is not null")
+    marked = [F.col(f"w{i}").startswith(MARK) for i in range(WINDOW)]
+    plain = _placed([F.when(m, F.substring(f"w{i}", 2, 1_000_000)).otherwise(F.col(f"w{i}")) for i, m in enumerate(marked)])
+    rows = rows.select("doc_id", "copy", "doc_at", _xor(plain).alias("h"), *[F.when(m, x.bitwiseXOR(n)).alias(f"d{i}") for i, (m, x, n) in enumerate(zip(marked, plain, _placed([F.lit(NAME)] * WINDOW), strict=True))])
+    d = [F.col(f"d{i}") for i in range(WINDOW)]
+    count = sum((x.isNotNull().cast("int") for x in d), F.lit(0))
+    every, first = _xor([F.coalesce(x, F.lit(0).cast("long")) for x in d]), F.coalesce(*d)
+    few = [every], [every, first, every.bitwiseXOR(first)]
+    many = [*d, *[d[i].bitwiseXOR(d[j]) for i in range(WINDOW) for j in range(i)]]
+    changes = F.when(count == 1, F.array(*few[0])).when(count == 2, F.array(*few[1])).when(count > 2, F.array(*many))
+    none = F.array(F.lit(0).cast("long"))
+    read = rows.select("doc_id", "copy", "doc_at", "h", F.explode(F.when(count == 0, none).otherwise(F.concat(none, changes))).alias("change"))
+    return read.where("change is not null").select("doc_id", "copy", "doc_at", F.col("h").bitwiseXOR(F.col("change")).alias("h"))
 
 
 def _items(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
     """item_id, its template t, its words v in lower case; the first word is always marked."""
     own = benchmark.select(F.col(id_col).alias("item_id"), F.col(text).alias("item_text")).where("item_id is not null and item_text is not null")
     own = own.groupBy("item_id").agg(F.min("item_text").alias("item_text"))
-    t = F.split(template(F.col("item_text")), " ")
-    first = F.when(F.col("t")[0].isin(NUMBER, UNIT, "") | F.col("t")[0].startswith(MARK), F.col("t")[0]).otherwise(F.concat(F.lit(MARK), F.col("t")[0]))
+    t = template(F.col("item_text"))
+    head = F.get("t", F.lit(0))
+    first = F.when(head.isin(NUMBER, UNIT) | head.startswith(MARK), head).otherwise(F.concat(F.lit(MARK), head))
     v = F.transform(words(F.col("item_text")), lambda w: F.lower(w))
     return own.select("item_id", t.alias("t"), v.alias("v")).withColumn("t", F.concat(F.array(first), F.slice("t", 2, F.size("t")))).where(F.size("v") > 0)
 
@@ -106,7 +129,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     reach = F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda i: F.sequence(i, i + (WINDOW - 1)))))
     told = windows.groupBy("item_id").agg(F.size(reach).alias("words")).join(items, "item_id")
     known = F.broadcast(windows) if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else windows
-    met = _doc_windows(rows.select("doc_id", "copy", template(F.col("text")).alias("s"))).join(known, "h")
+    met = _doc_windows(rows.select("doc_id", "copy", template(F.col("text")).alias("t"))).join(known, "h")
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda i: F.sequence(i, i + (WINDOW - 1))))))
     places = met.groupBy("doc_id", "copy", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(covered.alias("at"))
     pairs = places.groupBy("doc_id", "copy", "item_id").agg(F.array_sort(F.collect_list(F.struct("shift", "at"))).alias("places")).join(told, "item_id")
@@ -144,8 +167,10 @@ def _consistent(found: DataFrame, rows: DataFrame) -> DataFrame:
     kind = lambda i: F.col("t")[i - 1]
     slot = lambda i: kind(i).isin(NUMBER, UNIT) | (kind(i).startswith(MARK) & ~F.array_contains("t", F.col("v")[i - 1]))
     slots = F.filter("held", lambda c: slot(c["at"]))
-    asked = found.withColumn("slots", slots)
-    texts = rows.join(asked.where(F.size("slots") > 0).select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", words(F.col("text")).alias("d"))
+    asked = staged(found.withColumn("slots", slots), "places")
+    ids = asked.where(F.size("slots") > 0).select("doc_id", "copy").distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    texts = rows.join(ids, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", words(F.col("text")).alias("d"))
     value = lambda c: F.struct(F.when(kind(c["at"]).startswith(MARK), F.lit(NAME)).otherwise(kind(c["at"])).alias("kind"), F.col("v")[c["at"] - 1].alias("own"))
     against = F.transform("slots", lambda c: F.struct(value(c).alias("value"), F.lower(F.get("d", c["at"] + c["shift"] - 1)).alias("other")))
     fits = F.size(F.array_distinct(against)) == F.size(F.array_distinct(F.transform("slots", value)))

@@ -30,10 +30,15 @@ from wakeline.llm.common import dropped, looked_up, staged, table
 from wakeline.llm.graph import components
 from wakeline.llm.shingles import mixed, sets
 
-#: Tokens in more documents than this are ordered by their counts; at most FREQUENT_MOST are told to the executors (9 MB). The
+#: Tokens in more documents than this are ordered by their counts; at most FREQUENT_MOST are told to the executors (5 MB). The
 #: others count as rare: an order that is alike for all sets, so no link depends on the bound.
-FREQUENT = 4
-FREQUENT_MOST = 1 << 20
+FREQUENT = 7
+FREQUENT_MOST = 1 << 19
+#: Tokens are counted by their first KEPT_BITS bits, in buckets of the tokens of about BUCKET_BYTES of text each.
+KEPT_BITS = 48
+FLUSH_TOKENS = 1 << 21
+BUCKET_BYTES = 12 << 20
+LEVEL_BITS = 11
 #: Tokens in lists up to this length are rare; longer ones are indexed by pairs in sets with up to PAIRED_TOKENS of them.
 SHORT_LIST = 32
 PAIRED_TOKENS = 40
@@ -47,17 +52,76 @@ def _texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("copy"), F.col(text).cast("string").alias("text"))
 
 
+def _packed(arrays: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Truncated hashes, sorted, some millions at a time: a row for each bucket, which is the first `bits` bits."""
+
+    def row(held: list[np.ndarray]) -> pa.RecordBatch:
+        t = np.sort(np.concatenate(held))
+        cuts = np.searchsorted(t, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEPT_BITS - bits))
+        some = np.flatnonzero(np.diff(cuts))
+        high, low = (t >> np.uint64(32)).astype(np.uint16), t.astype(np.uint32)
+        bodies = [high[cuts[i] : cuts[i + 1]].tobytes() + low[cuts[i] : cuts[i + 1]].tobytes() for i in some]
+        return pa.record_batch([pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+    held, size = [], 0
+    for t in arrays:
+        held.append(t)
+        size += len(t)
+        if size >= FLUSH_TOKENS:
+            yield row(held)
+            held, size = [], 0
+    if size:
+        yield row(held)
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    n = len(body) // 6
+    return (np.frombuffer(body, np.uint16, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(body, np.uint32, n, 2 * n)
+
+
+def _bucketed(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """bucket, body: the truncated tokens of all documents. Beyond LEVEL_BITS the buckets are split in a second exchange, so the
+    rows stay in proportion to the text."""
+    first = min(bits, LEVEL_BITS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed((s >> np.uint64(64 - KEPT_BITS) for batch in batches for s in sets(batch.column(0).to_pylist(), n)), first)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed((_unpacked(body) for batch in batches for body in batch.column(1).to_pylist()), bits)
+
+    rows = docs.select("text").mapInArrow(pack, "bucket int, body binary")
+    return rows if bits == first else rows.repartition(1 << first, "bucket").mapInArrow(split, "bucket int, body binary")
+
+
 def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the frequent tokens and the binary logarithms of their counts over all documents; the bound rises until
-    FREQUENT_MOST hold them all."""
+    """Sorted truncated hashes of the frequent tokens and the binary logarithms of their counts over all documents; the bound
+    rises until FREQUENT_MOST hold them all. Tokens that truncation joins share a rank, for all sets alike."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(0, int(total // BUCKET_BYTES)).bit_length()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
+
+        def told() -> pa.RecordBatch:
+            t = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+            cuts = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)) if len(t) else np.zeros(1, np.int64)
+            count = np.diff(cuts)
+            often = count > FREQUENT
+            rank = np.floor(np.log2(count[often])).astype(np.int8)
+            return pa.record_batch([pa.array(t[cuts[:-1][often]].view(np.int64)), pa.array(rank)], ["token", "rank"])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(sets(batch.column(0).to_pylist(), n))
-            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["token"])
-
-    counts = docs.select("text").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") > FREQUENT)
-    counts = staged(counts.select("token", F.floor(F.log2("count")).cast("byte").alias("rank")), "frequent")
+            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    yield told()
+                    held, at = [], bucket
+                held.append(_unpacked(body))
+        yield told()
+
+    dealt = _bucketed(docs, n, bits).repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    counts = staged(dealt.mapInArrow(counted, "token long, rank byte"), "frequent")
     by_rank = sorted(((r[0], r[1]) for r in counts.groupBy("rank").count().collect()), reverse=True)
     least, held = 0, 0
     for rank, some in by_rank:
@@ -65,11 +129,11 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if held > FREQUENT_MOST:
             least = rank + 1
             break
-    told = counts.where(F.col("rank") >= least).toPandas()
+    told = counts.where(F.col("rank") >= least).toArrow()
     dropped(counts)
-    hashes = told["token"].to_numpy(np.int64).view(np.uint64)
+    hashes, ranks = told.column("token").to_numpy().astype(np.uint64), told.column("rank").to_numpy().astype(np.uint8)
     order = np.argsort(hashes)
-    return hashes[order], told["rank"].to_numpy(np.uint8)[order]
+    return hashes[order], ranks[order]
 
 
 def _signed(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -86,8 +150,9 @@ def _signed(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.ndar
                 if len(s) and len(s) * (den - num) >= num:
                     rank = np.zeros(len(s), np.uint8)
                     if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        rank = np.where(known[at] == s, ranks[at], 0)
+                        short = s >> np.uint64(64 - KEPT_BITS)
+                        at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                        rank = np.where(known[at] == short, ranks[at], 0)
                     prefix.append(s[np.argsort(rank, kind="stable")][: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
                     bit = (mixed(s) >> np.uint64(64 - 9)).astype(np.int64)
                     bitmap.append(np.packbits(np.bincount(bit, minlength=64 * BITMAP) % 2 == 1).view(np.int64))
