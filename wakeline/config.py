@@ -17,14 +17,45 @@ class CleanParams:
     rolling: int = 5
 
 
-#: What the functions default to, and what the batch job passes.
+@dataclass(frozen=True)
+class WindowParams:
+    observed: int = 10
+    predicted: int = 10
+    skip: int = 1
+    threshold: float = 0.002
+    min_entities: int = 1
+
+    @property
+    def length(self) -> int:
+        return self.observed + self.predicted
+
+
+#: Boxes of the named regions: latitudes, longitudes.
+REGIONS = {
+    "southwestern": ((28.0, 35.0), (-120.0, -114.0)),
+    "northeastern": ((41.0, 46.0), (-71.0, -65.0)),
+    "southeastern": ((30.0, 36.0), (-81.0, -75.0)),
+    "northwestern": ((42.0, 50.0), (-127.0, -122.0)),
+}
+#: What the functions default to.
 FUNCTION_PRESET = CleanParams(lat=(30.0, 35.0), lon=(-120.0, -115.0), sog=(1.0, 22.0))
-JOB_PRESET = CleanParams(lat=(30.0, 35.0), lon=(-120.0, -115.0), sog=(0.5, 40.0), min_entities=2, step_s=600)
+
+
+def job_preset(region: str = "southwestern") -> CleanParams:
+    """What the batch job passes for a region."""
+    lat, lon = REGIONS[region]
+    return CleanParams(lat=lat, lon=lon, sog=(0.5, 40.0), min_entities=2, step_s=600)
+
+
 
 #: offset and range of the inverse min-max scaling of positions.
 LAT_SCALE = (20.90883, 28.32044)
 LON_SCALE = (-133.29703, 72.60811)
 SPLIT_DAYS = {"train": (1, 25), "val": (26, 28), "test": (29, 31)}
 BUCKET_MS = 600_000
+#: Windows that the persistence baseline takes.
+BASELINE_WINDOWS = 1000
+#: Ranges in which the statistics of scaled data are expected: mean and deviation.
+EXPECTED_STATS = {"lon": ((-133.30, -133.29), (72.0, 73.0)), "lat": ((20.90, 20.91), (28.0, 29.0)), "sog": ((-0.1, 0.1), (29.0, 32.0)), "heading": ((-0.1, 0.1), (3.0, 3.2))}
 #: Published displacement errors by horizon in minutes: average and final.
 PUBLISHED = {10: (0.000609, 0.000807), 20: (0.000853, 0.001164), 30: (0.001157, 0.001771), 40: (0.001522, 0.002378), 50: (0.002436, 0.003946)}

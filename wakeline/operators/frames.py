@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.config import BUCKET_MS, LAT_SCALE, LON_SCALE, SPLIT_DAYS
+from wakeline.config import BUCKET_MS, LAT_SCALE, LON_SCALE, REGIONS, SPLIT_DAYS
 
 FEATURES = ("lon", "lat", "sog", "heading")
 
@@ -30,13 +30,12 @@ def unscaled(lon: Column, lat: Column) -> tuple[Column, Column]:
     return lon * LON_SCALE[1] + LON_SCALE[0], lat * LAT_SCALE[1] + LAT_SCALE[0]
 
 
-
-
-def frame_format(df: DataFrame, unit_s: int = 60) -> DataFrame:
-    """frame_id: time units since the first row of the file, half to even. First times are joined in: no task holds a whole file."""
+def frame_format(df: DataFrame, unit_s: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """frame_id: time units since the first row of the file, half to even. First times are joined in: no task holds a whole file.
+    keep: further columns to carry."""
     first = df.groupBy("source_file").agg(F.min("ts").alias("_t0"))
     since = (F.unix_micros("ts") - F.unix_micros("_t0")) / (unit_s * 1e6)
-    return df.join(first, "source_file").select("source_file", F.bround(since).cast("int").alias("frame_id"), F.col("mmsi").alias("vessel_id"), *FEATURES)
+    return df.join(first, "source_file").select("source_file", F.bround(since).cast("int").alias("frame_id"), F.col("mmsi").alias("vessel_id"), *FEATURES, *keep)
 
 
 def bucket_of(ms: Column) -> Column:
@@ -44,12 +43,12 @@ def bucket_of(ms: Column) -> Column:
 
 
 def day_of_name(name: Column) -> Column:
-    """Day of month in AIS_yyyy_mm_dd.zip, null in any other name."""
-    return F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"^AIS_\d{4}_\d{2}_(\d{2})\.zip$", 1).try_cast("int")
+    """Day of month where AIS_yyyy_mm_dd.zip stands in the name, else null."""
+    return F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"AIS_\d{4}_\d{2}_(\d{2})\.zip", 1).try_cast("int")
 
 
 def date_of_name(name: Column) -> Column:
-    found = F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"^AIS_(\d{4}_\d{2}_\d{2})\.zip$", 1)
+    found = F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"AIS_(\d{4}_\d{2}_\d{2})\.zip", 1)
     return F.nullif(found, F.lit(""))
 
 
@@ -60,10 +59,11 @@ def split_of_day(day: Column) -> Column:
 
 def flattened(trajectories: DataFrame, column: str = "trajectories") -> DataFrame:
     """Frames from nested arrays: empty trajectories go, the entity is that of a trajectory's first point."""
-    one = trajectories.select(F.explode(column).alias("t")).where(F.size("t") > 0)
-    points = one.select(F.col("t")[0][12].cast("long").alias("vessel_id"), F.explode("t").alias("p"))
-    return points.select(bucket_of(F.col("p")[0]).alias("frame_id"), "vessel_id", *[F.col("p")[i].alias(c) for i, c in ((2, "lon"), (1, "lat"), (3, "sog"), (4, "heading"))])
+    one = trajectories.select("source_file", F.explode(column).alias("t")).where(F.size("t") > 0)
+    points = one.select("source_file", F.col("t")[0][12].cast("long").alias("vessel_id"), F.explode("t").alias("p"))
+    return points.select("source_file", bucket_of(F.col("p")[0]).alias("frame_id"), "vessel_id", *[F.col("p")[i].alias(c) for i, c in ((2, "lon"), (1, "lat"), (3, "sog"), (4, "heading"))])
 
 
-def regions(spark: SparkSession, boxes: dict[str, tuple[float, float, float, float]]) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in boxes.items()], "region string, lat_lo double, lat_hi double, lon_lo double, lon_hi double")
+def region_of(lat: Column, lon: Column) -> Column:
+    """The region in whose box a position lies; outside of all of them null."""
+    return reduce(lambda c, kv: c.when(lat.between(*kv[1][0]) & lon.between(*kv[1][1]), kv[0]), REGIONS.items(), F.when(F.lit(False), ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.config import EXPECTED_STATS
+
 
 def sizes(frames: DataFrame) -> DataFrame:
     return frames.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("vessel_id").alias("vessels"), F.count_distinct("frame_id").alias("frames"))
@@ -39,11 +41,22 @@ def gaps(frames: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), F.sum(F.when(F.col("step") > 1, 1).otherwise(0)).alias("gaps"))
 
 
+def total_windows(summary: DataFrame) -> DataFrame:
+    """The windows that all splits together allow."""
+    return summary.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("windows"))
+
+
 def verdicts(summary: DataFrame, stats: DataFrame, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """Issues of a profile: missing splits, too few windows, too small deviations."""
+    """Issues of a profile: too small deviations of positions, missing splits, too few windows in all. No issue, no row."""
     spark = summary.sparkSession
-    wanted = spark.createDataFrame([(s,) for s in splits], "split string").join(summary.select("split", "windows"), "split", "left")
-    few = F.when(F.col("windows").isNull(), "missing split").when(F.col("windows") < 1000, "under 1000 windows").when(F.col("windows") < 10000, "under 10000 windows")
-    names = [c for c in stats.columns if c.endswith("_std")]
-    flat = stats.select(F.explode(F.array(*[F.struct(F.lit(c[:-4]).alias("about"), F.col(c).alias("v")) for c in names])).alias("s")).where("s.v < 0.1")
-    return wanted.select(F.col("split").alias("about"), few.alias("issue")).where("issue is not null").unionByName(flat.select("s.about", F.lit("deviation under 0.1").alias("issue")))
+    missing = spark.createDataFrame([(s,) for s in splits], "about string").join(summary.select(F.col("split").alias("about")), "about", "left_anti").withColumn("issue", F.lit("missing split"))
+    few = F.when(F.col("windows") < 1000, "under 1000 windows").when(F.col("windows") < 10000, "under 10000 windows")
+    total = total_windows(summary).select(F.lit("windows").alias("about"), few.alias("issue")).where("issue is not null")
+    flat = stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("about"), F.col(f"{c}_std").alias("v")) for c in ("lon", "lat")])).alias("s")).where("s.v < 0.1")
+    return missing.unionByName(total).unionByName(flat.select("s.about", F.lit("deviation under 0.1").alias("issue")))
+
+
+def expected_ranges(stats: DataFrame) -> DataFrame:
+    """about, mean, std of each column of a statistics row, and whether each is in the range expected of scaled data."""
+    one = lambda c: F.struct(F.lit(c).alias("about"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std"), F.col(f"{c}_mean").between(*EXPECTED_STATS[c][0]).alias("mean_ok"), F.col(f"{c}_std").between(*EXPECTED_STATS[c][1]).alias("std_ok"))
+    return stats.select(F.explode(F.array(*[one(c) for c in EXPECTED_STATS])).alias("s")).select("s.*")

@@ -1,4 +1,4 @@
-"""Scores of predicted tracks. Rows are (window, vessel_id, step, ...); window stands for file and start."""
+"""Scores of predicted tracks. Rows are (source_file, window, vessel_id, step, ...)."""
 
 from __future__ import annotations
 
@@ -7,55 +7,63 @@ from pyspark.sql import functions as F
 
 from wakeline.config import PUBLISHED
 
+SCENE = ("source_file", "window")
+TRACK = (*SCENE, "vessel_id")
+STEP = (*TRACK, "step")
+
 
 def integrated(acc: DataFrame) -> DataFrame:
     """Positions from accelerations: summed to velocity (plus the last one), summed to position (plus the last one)."""
-    order = Window.partitionBy("window", "vessel_id").orderBy("step")
+    order = Window.partitionBy(*TRACK).orderBy("step")
     v = acc.withColumns({f"v_{c}": F.sum(f"acc_{c}").over(order) + F.col(f"vel_{c}") for c in ("lon", "lat")})
-    return v.withColumns({c: F.sum(f"v_{c}").over(order) + F.col(f"last_{c}") for c in ("lon", "lat")}).select("window", "vessel_id", "step", "lon", "lat")
+    return v.withColumns({c: F.sum(f"v_{c}").over(order) + F.col(f"last_{c}") for c in ("lon", "lat")}).select(*STEP, "lon", "lat")
 
 
 def absolute(rel: DataFrame, columns: tuple[str, ...] = ("lon", "lat")) -> DataFrame:
     """Running sums of differences from each track's first node (first_<column>)."""
-    order = Window.partitionBy("window", "vessel_id").orderBy("step")
+    order = Window.partitionBy(*TRACK).orderBy("step")
     return rel.withColumns({c: F.sum(f"d_{c}").over(order) + F.col(f"first_{c}") for c in columns})
 
 
-def distances(pred: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("window", "vessel_id", "step")) -> DataFrame:
+def distances(pred: DataFrame, truth: DataFrame, keys: tuple[str, ...] = STEP) -> DataFrame:
     t = truth.select(*keys, F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    gap = F.sqrt((F.col("lon") - F.col("t_lon")) ** 2 + (F.col("lat") - F.col("t_lat")) ** 2)
-    return pred.join(t, list(keys)).withColumn("distance", gap)
+    return held(pred.join(t, list(keys)))
 
 
 def ade_fde(dist: DataFrame, last_step: int) -> DataFrame:
     """Means over windows of each window's mean distance: over all steps, and of the last step."""
-    one = dist.groupBy("window").agg(F.avg("distance").alias("ade"), F.avg(F.when(F.col("step") == last_step, F.col("distance"))).alias("fde"))
+    one = dist.groupBy(*SCENE).agg(F.avg("distance").alias("ade"), F.avg(F.when(F.col("step") == last_step, F.col("distance"))).alias("fde"))
     return one.agg(F.avg("ade").alias("ade"), F.avg("fde").alias("fde"), F.count("*").alias("windows"))
 
 
 def by_step(dist: DataFrame, slots: int = 5) -> DataFrame:
     """The mean over windows of each step's mean distance; slots without steps stay null."""
-    one = dist.groupBy("window", "step").agg(F.avg("distance").alias("d")).groupBy("step").agg(F.avg("d").alias("distance"))
+    one = dist.groupBy(*SCENE, "step").agg(F.avg("distance").alias("d")).groupBy("step").agg(F.avg("d").alias("distance"))
     return dist.sparkSession.range(1, slots + 1).select(F.col("id").cast("int").alias("step")).join(one, "step", "left")
 
 
 def persistence(observed: DataFrame, truth: DataFrame) -> DataFrame:
     """Distances of the last observed position, held for every predicted step."""
-    held = truth.select("window", "vessel_id", "step").join(observed.select("window", "vessel_id", "lon", "lat"), ["window", "vessel_id"])
+    held = truth.select(*STEP).join(observed.select(*TRACK, "lon", "lat"), list(TRACK))
     return distances(held, truth)
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """distance of rows that hold a position (lon, lat) beside the truth (t_lon, t_lat): persistence without a join."""
+    return rows.withColumn("distance", F.sqrt((F.col("lon") - F.col("t_lon")) ** 2 + (F.col("lat") - F.col("t_lat")) ** 2))
+
+
 def scene_scores(dist: DataFrame, counts: DataFrame, last_step: int) -> DataFrame:
-    """ade_fde of the first n entities (by id) of each window; counts: window, n."""
-    rank = Window.partitionBy("window").orderBy("vessel_id")
-    ids = dist.select("window", "vessel_id").distinct().withColumn("_r", F.row_number().over(rank)).join(counts, "window").where(F.col("_r") <= F.col("n"))
-    return ade_fde(dist.join(ids.select("window", "vessel_id"), ["window", "vessel_id"], "left_semi"), last_step)
+    """ade_fde of the first n entities (by id) of each window; counts: source_file, window, n."""
+    rank = Window.partitionBy(*SCENE).orderBy("vessel_id")
+    ids = dist.select(*TRACK).distinct().withColumn("_r", F.row_number().over(rank)).join(counts, list(SCENE)).where(F.col("_r") <= F.col("n"))
+    return ade_fde(dist.join(ids.select(*TRACK), list(TRACK), "left_semi"), last_step)
 
 
 def best_of_k(dist: DataFrame, last_step: int) -> DataFrame:
-    """Of each window's samples the one of least mean distance, with its own final distance."""
-    one = dist.groupBy("window", "sample").agg(F.avg("distance").alias("ade"), F.avg(F.when(F.col("step") == last_step, F.col("distance"))).alias("fde"))
-    return one.groupBy("window").agg(F.min_by(F.struct("sample", "ade", "fde"), F.struct("ade", "sample")).alias("b"), F.collect_list("ade").alias("_all")).select("window", "b.sample", "b.ade", "b.fde", F.size("_all").alias("k"))
+    """Of each window's samples the one of least mean distance, with its own final distance; ades: those of all samples, in order."""
+    one = dist.groupBy(*SCENE, "sample").agg(F.avg("distance").alias("ade"), F.avg(F.when(F.col("step") == last_step, F.col("distance"))).alias("fde"))
+    return one.groupBy(*SCENE).agg(F.min_by(F.struct("sample", "ade", "fde"), F.struct("ade", "sample")).alias("b"), F.array_sort(F.collect_list(F.struct("sample", "ade"))).alias("_all")).select(*SCENE, "b.sample", "b.ade", "b.fde", F.col("_all.ade").alias("ades"))
 
 
 def huber(d: Column, delta: float = 1.0) -> Column:
@@ -64,22 +72,29 @@ def huber(d: Column, delta: float = 1.0) -> Column:
 
 def position_loss(pred: DataFrame, truth: DataFrame, steps: int, scale: float = 10.0) -> DataFrame:
     """Per window: the weighted sum of each step's mean loss, weights falling linearly to 1 and adding to 1."""
-    both = pred.join(truth.select("window", "vessel_id", "step", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat")), ["window", "vessel_id", "step"])
-    one = both.groupBy("window", "step").agg(F.avg((huber(F.col("lon") - F.col("t_lon")) + huber(F.col("lat") - F.col("t_lat"))) / 2).alias("loss"))
+    both = pred.join(truth.select(*STEP, F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat")), list(STEP))
+    one = both.groupBy(*SCENE, "step").agg(F.avg((huber(F.col("lon") - F.col("t_lon")) + huber(F.col("lat") - F.col("t_lat"))) / 2).alias("loss"))
     weight = (F.lit(steps) - (F.col("step") - 1)) / F.lit(steps * (steps + 1) / 2)
-    return one.groupBy("window").agg((F.sum(weight * F.col("loss")) * scale).alias("loss"))
+    return one.groupBy(*SCENE).agg((F.sum(weight * F.col("loss")) * scale).alias("loss"))
 
 
 def gaussian_nll(x: Column, y: Column, mx: Column, my: Column, log_sx: Column, log_sy: Column, raw_rho: Column) -> Column:
     """Negative log-likelihood of a bivariate normal; deviations are exponentials, the correlation a hyperbolic tangent."""
     sx, sy, rho = F.exp(log_sx), F.exp(log_sy), F.tanh(raw_rho)
+    # The least product of deviations, the least 1 - rho^2 and the least density.
+    area, free = F.greatest(sx * sy, F.lit(1e-6)), F.greatest(1 - rho**2, F.lit(1e-6))
     zx, zy = x - mx, y - my
-    z = (zx / sx) ** 2 + (zy / sy) ** 2 - 2 * (rho * zx * zy) / (sx * sy)
-    free = 1 - rho**2
-    density = F.exp(-z / (2 * free)) / (2 * 3.141592653589793 * (sx * sy * F.sqrt(free)))
+    z = (zx / sx) ** 2 + (zy / sy) ** 2 - 2 * (rho * zx * zy) / area
+    density = F.exp(-z / (2 * free)) / (2 * 3.141592653589793 * (area * F.sqrt(free)))
     return -F.log(F.greatest(density, F.lit(1e-20)))
 
 
+def batch_losses(losses: DataFrame, batch: int = 32) -> DataFrame:
+    """losses: kind, position (from 0), loss. The sum of each batch over the full batch size, a last short one, too."""
+    own = losses.groupBy("kind", F.floor(F.col("position") / batch).alias("batch"))
+    return own.agg((F.sum("loss") / batch).alias("loss"))
+
+
 def samples(params: DataFrame, k: int = 20, seed: int = 0) -> DataFrame:
     """k draws for each row of mx, my, log_sx, log_sy, raw_rho."""
     drawn = params.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumns({"_a": F.randn(seed), "_b": F.randn(seed + 1)})
@@ -103,8 +118,9 @@ def inverse_distance(d: Column) -> Column:
     return F.when(d == 0, 0.0).otherwise(1 / d)
 
 
-def closer_to_zero(a: Column, b: Column) -> Column:
-    return F.when(F.abs(b) < F.abs(a), b).otherwise(a)
+def closer_to_zero(current: Column, new: Column) -> Column:
+    """Whether the new value wins: it is nearer to zero, or as near and the smaller of the two."""
+    return F.least(F.struct(F.abs(current).alias("far"), current.alias("x")), F.struct(F.abs(new).alias("far"), new.alias("x")))["x"] != current
 
 
 def sparse(score: Column, threshold: float = 0.5) -> Column:

@@ -22,8 +22,9 @@ def require(df: DataFrame, columns: tuple[str, ...] = REQUIRED) -> DataFrame:
 
 
 def parsed_time(df: DataFrame, column: str = "ts") -> DataFrame:
-    """Text to UTC timestamps; what can't be parsed becomes null."""
-    return df.withColumn(column, F.try_to_timestamp(F.col(column).cast("string")))
+    """Text to UTC timestamps, whatever the session's zone; text with a zone of its own keeps it, what can't be parsed is null."""
+    text = F.trim(F.col(column).cast("string"))
+    return df.withColumn(column, F.coalesce(F.try_to_timestamp(F.concat(text, F.lit("Z"))), F.try_to_timestamp(text)))
 
 
 def clean(df: DataFrame, p: CleanParams) -> DataFrame:
@@ -54,21 +55,23 @@ def on_grid(df: DataFrame, step_s: int, rolling: int = 5) -> DataFrame:
     grid = bounds.select(*key, F.explode(F.sequence("lo", "hi", F.make_dt_interval(secs=F.lit(step_s)))).alias("ts"))
     rows = grid.join(df.select(*key, "ts", "lon", "lat", "sog", "heading", "status"), [*key, "ts"], "left")
     order = Window.partitionBy(*key).orderBy("ts")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is looking back in the other order: frames that only grow cost one step a row.
+    back, ahead = (o.rowsBetween(Window.unboundedPreceding, 0) for o in (order, Window.partitionBy(*key).orderBy(F.desc("ts"))))
     around = order.rowsBetween(-(rolling - 1 - (rolling - 1) // 2), (rolling - 1) // 2)
     now = F.unix_micros("ts")
 
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(now.alias("t"), F.col(c).alias("x")))
+    smooth = lambda c: F.coalesce(F.col(c), F.avg(c).over(around))
+    filled = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    rows = rows.select(*key, "ts", "lon", "lat", *[filled(known(c), back).alias(f"_{c}_a") for c in ("lon", "lat")], smooth("sog").alias("sog"), smooth("heading").alias("heading"), filled("status", back).alias("status"))
+    rows = rows.withColumns({c: filled(c, back) for c in ("sog", "heading")})
+    rows = rows.withColumns({f"_{c}_b": filled(known(c), ahead) for c in ("lon", "lat")} | {c: filled(c, ahead) for c in ("sog", "heading", "status")})
+
     def linear(c: str):
-        known = F.when(F.col(c).isNotNull(), now)
-        a, b = F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)
-        ta, tb = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
-        return F.coalesce(F.col(c), a + (b - a) * ((now - ta) / F.nullif(tb - ta, F.lit(0))), a)
+        a, b = F.col(f"_{c}_a"), F.col(f"_{c}_b")
+        return F.coalesce(F.col(c), a["x"] + (b["x"] - a["x"]) * ((now - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0))), a["x"])
 
-    smooth = lambda c: F.coalesce(F.col(c), F.avg(c).over(around))
-    rows = rows.select(*key, "ts", linear("lon").alias("lon"), linear("lat").alias("lat"), smooth("sog").alias("sog"), smooth("heading").alias("heading"), "status")
-    for c in ("sog", "heading", "status"):
-        rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(back)).withColumn(c, F.first(c, ignorenulls=True).over(ahead))
-    return rows.na.drop(subset=["lon", "lat", "sog", "heading"])
+    return rows.select(*key, "ts", linear("lon").alias("lon"), linear("lat").alias("lat"), "sog", "heading", "status").na.drop(subset=["lon", "lat", "sog", "heading"])
 
 
 def resample(df: DataFrame, step_s: int, max_gap_s: int, rolling: int = 5) -> DataFrame:

@@ -42,9 +42,32 @@ def windows(indexed: DataFrame, length: int, skip: int = 1, min_entities: int =
 
 def steps(found: DataFrame) -> DataFrame:
     """A row for each member and step, with first differences; that of step 0 is 0."""
-    order = Window.partitionBy("source_file", "start", "vessel_id").orderBy("step")
-    rows = found.select("source_file", "start", "vessel_id", F.posexplode("path").alias("step", "p")).select("source_file", "start", "vessel_id", "step", *[F.col(f"p.{c}").alias(c) for c in FEATURES])
-    return rows.withColumns({f"d_{c}": F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0.0)) for c in FEATURES})
+    before = F.concat(F.slice("path", 1, 1), F.slice("path", 1, F.size("path") - 1))
+    rows = found.select("source_file", "start", "vessel_id", F.posexplode(F.arrays_zip(F.col("path").alias("p"), before.alias("q"))).alias("step", "x"))
+    now, last = (lambda c: F.col(f"x.p.{c}")), (lambda c: F.col(f"x.q.{c}"))
+    return rows.select("source_file", "start", "vessel_id", "step", *[now(c).alias(c) for c in FEATURES], *[F.when(F.col("step") == 0, 0.0).otherwise(F.coalesce(now(c) - last(c), F.lit(0.0))).alias(f"d_{c}") for c in FEATURES])
+
+
+def nodes(found: DataFrame, columns: tuple[str, ...] = tuple(f"d_{c}" for c in FEATURES)) -> DataFrame:
+    """A row for each window and step: the columns of its entities, in the order of their ids. Deltas by default."""
+    one = F.struct("vessel_id", F.array(*columns).alias("x"))
+    every = steps(found).groupBy("source_file", "start", "step").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return every.select("source_file", "start", "step", F.col("all.x").alias("nodes"))
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """window: the number from 0 of a window among those of all files, by file name and start. Only windows are ranked, by file."""
+    one = found.select("source_file", "start").distinct()
+    own = one.withColumn("_own", F.row_number().over(Window.partitionBy("source_file").orderBy("start")) - 1)
+    sizes = one.groupBy("source_file").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("source_file", (F.sum("_n").over(Window.orderBy("source_file")) - F.col("_n")).alias("_ahead"))
+    placed = own.join(ahead, "source_file").select("source_file", "start", (F.col("_own") + F.col("_ahead")).alias("window"))
+    return found.join(placed, ["source_file", "start"])
+
+
+def shuffled(found: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows in an order of windows that the seed decides, the same in every run."""
+    return found.orderBy(F.xxhash64(F.lit(seed), "source_file", "start"), "source_file", "start", "vessel_id")
 
 
 def split_paths(found: DataFrame, observed: int, predicted: int) -> DataFrame:

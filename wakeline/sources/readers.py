@@ -5,19 +5,28 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wakeline.operators.tracks import parsed_time
+
 RAW = "MMSI long, BaseDateTime string, LAT double, LON double, SOG double, Heading double, Status string"
 FRAMES = "frame_id int, vessel_id long, LON double, LAT double, SOG double, Heading double"
+SPLITS = ("train", "val", "test")
 _NAMES = {"MMSI": "mmsi", "BaseDateTime": "ts", "LAT": "lat", "LON": "lon", "SOG": "sog", "Heading": "heading", "Status": "status"}
 
 
-def _reports(raw: DataFrame) -> DataFrame:
-    named = raw.select(*[F.col(a).alias(b) for a, b in _NAMES.items()], "source_file", "ordinal")
-    return named.withColumn("ts", F.try_to_timestamp("ts"))
+def _reports(raw: DataFrame, nrows: int | None) -> DataFrame:
+    """Text columns to typed ones; what can't be read is null. nrows: the first rows of each file."""
+    kinds = dict(x.split() for x in RAW.split(", "))
+    named = parsed_time(raw.select(*[F.col(a).try_cast(kinds[a]).alias(b) for a, b in _NAMES.items()], "source_file", "ordinal"))
+    if nrows is None:
+        return named
+    order = Window.partitionBy("source_file").orderBy("ordinal")
+    return named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= nrows).drop("_n")
 
 
 def reports_csv(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
@@ -26,13 +35,11 @@ def reports_csv(spark: SparkSession, path: str, nrows: int | None = None) -> Dat
     missing = [c for c in _NAMES if c not in header.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    types = dict(x.split() for x in RAW.split(", "))
-    raw = header.select(*[F.col(c).try_cast(types[c]).alias(c) for c in _NAMES], F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("ordinal"))
-    return _reports(raw.limit(nrows) if nrows is not None else raw)
+    return _reports(header.select(*_NAMES, F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("ordinal")), nrows)
 
 
-def reports_zip(spark: SparkSession, path: str, inner: str | None = None) -> DataFrame:
-    """Zip archives: the member named, else the first that ends in .csv; ValueError if there is none. Read in pieces."""
+def reports_zip(spark: SparkSession, path: str, inner: str | None = None, nrows: int | None = None, names: str = "AIS_*.[zZ][iI][pP]") -> DataFrame:
+    """Zip archives: the member named, else the first that ends in .csv; ValueError if there is none. Rows leave in pieces."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -43,26 +50,34 @@ def reports_zip(spark: SparkSession, path: str, inner: str | None = None) -> Dat
                         raise ValueError(f"no CSV member in {name}")
                     at = 0
                     with z.open(found[0]) as member:
-                        for part in pd.read_csv(member, usecols=list(_NAMES), dtype={"BaseDateTime": str, "Status": str}, chunksize=50_000):
-                            out = part.assign(MMSI=pd.to_numeric(part["MMSI"], errors="coerce").astype("Int64"), source_file=name, ordinal=range(at, at + len(part)))
+                        for part in pd.read_csv(member, usecols=list(_NAMES), dtype=str, chunksize=50_000, nrows=nrows):
+                            yield part.assign(source_file=name, ordinal=range(at, at + len(part)))[[*_NAMES, "source_file", "ordinal"]]
                             at += len(part)
-                            yield out[[*_NAMES, "source_file", "ordinal"]]
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path).select("path", "content")
-    kinds = dict(x.split() for x in RAW.split(", "))
-    return _reports(files.mapInPandas(unpack, ", ".join([*(f"{c} {kinds[c]}" for c in _NAMES), "source_file string", "ordinal long"])))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("path", "content")
+    return _reports(files.mapInPandas(unpack, ", ".join([*(f"{c} string" for c in _NAMES), "source_file string", "ordinal long"])), None)
+
+
+def frames_csv(spark: SparkSession, path: str, names: str = "*.[cC][sS][vV]", compat_float_ids: bool = False) -> DataFrame:
+    """Frame tables of a folder, measurements in single precision; a folder without such files is an error.
+
+    compat_float_ids: ids in single precision, too, in which some ids of nine digits fall together.
+    """
+    df = spark.read.schema(FRAMES).option("header", True).option("pathGlobFilter", names).csv(path)
+    if not df.inputFiles():
+        raise ValueError(f"no frame tables under {path}")
+    number = lambda c: F.col(c).cast("float").cast("long").alias(c) if compat_float_ids else F.col(c)
+    return df.select(F.col("_metadata.file_path").alias("source_file"), "frame_id", number("vessel_id"), *[F.col(c).cast("float").alias(c.lower()) for c in ("LON", "LAT", "SOG", "Heading")])
 
 
-def frames_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Frame tables of a folder, in single precision; an empty folder is an error."""
-    df = spark.read.schema(FRAMES).option("header", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
-    if df.isEmpty():
-        raise ValueError(f"no frames under {path}")
-    return df.select(F.col("_metadata.file_path").alias("source_file"), "frame_id", "vessel_id", *[F.col(c).cast("float").alias(c.lower()) for c in ("LON", "LAT", "SOG", "Heading")])
+def split_frames_csv(spark: SparkSession, root: str, splits: tuple[str, ...] = SPLITS, names: str = "*.[cC][sS][vV]") -> DataFrame:
+    """The frame tables of every split's folder, with a column split. names="day_*.csv" takes daily files alone."""
+    return reduce(DataFrame.unionByName, [frames_csv(spark, f"{root}/{s}", names).withColumn("split", F.lit(s)) for s in splits])
 
 
 def trajectories_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<array<double>>>").alias("trajectories"))
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.col("_metadata.file_path").alias("source_file"), F.from_json("value", "array<array<array<double>>>").alias("trajectories"))
 
 
 def stats_json(spark: SparkSession, path: str) -> DataFrame:

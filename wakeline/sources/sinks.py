@@ -22,10 +22,19 @@ def frames_csv(frames: DataFrame, path: str) -> None:
     frames.select(*_frame_columns(frames)).orderBy("frame_id", "vessel_id").write.mode("overwrite").option("header", True).csv(path)
 
 
+def _stats_columns() -> list:
+    return [F.struct(F.col(f"{c.lower()}_mean").alias("mean"), F.col(f"{c.lower()}_std").alias("std")).alias(c) for c in ("LON", "LAT", "SOG", "Heading")]
+
+
+def stats_by_day(stats: DataFrame, frames: DataFrame, path: str) -> None:
+    """A copy of the single statistics row for each split and day of the frames."""
+    days = frames.select("split", "date_str").distinct()
+    days.crossJoin(F.broadcast(stats)).select("split", "date_str", *_stats_columns()).write.mode("overwrite").partitionBy("split", "date_str").json(path)
+
+
 def stats_json(stats: DataFrame, path: str, note: str | None = None) -> None:
     """A single row, so one file."""
-    cols = [F.struct(F.col(f"{c.lower()}_mean").alias("mean"), F.col(f"{c.lower()}_std").alias("std")).alias(c) for c in ("LON", "LAT", "SOG", "Heading")]
-    stats.select(*cols, *([F.lit(note).alias("_note")] if note else [])).coalesce(1).write.mode("overwrite").json(path)
+    stats.select(*_stats_columns(), *([F.lit(note).alias("_note")] if note else [])).coalesce(1).write.mode("overwrite").json(path)
 
 
 def fixed_stats(spark: SparkSession) -> DataFrame:
@@ -34,5 +43,6 @@ def fixed_stats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([row], ", ".join(f"{c}_{k} double" for c in ("lon", "lat", "sog", "heading") for k in ("mean", "std")))
 
 
-def metrics(scores: DataFrame, path: str) -> None:
-    scores.write.mode("append").json(path)
+def metrics(scores: DataFrame, path: str, run: str) -> None:
+    """Scores of a run, in a folder of its own; a repeated run replaces it."""
+    scores.write.mode("overwrite").json(f"{path}/run={run}")
