@@ -156,6 +156,8 @@ def test_nearest(spark):
         told += [(q, r, c, round(-s, 9)) for r, (s, c) in enumerate(near, 1)]
     got = [(r[0], r[1], r[2], round(r[3], 9)) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()]
     assert sorted(got) == told
+    tiny = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [5e-324] * 4), (2, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r[0], r[2]) for r in ann.nearest(tiny, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 2), (0, 1)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
@@ -171,6 +173,8 @@ def test_warc_round_trip(spark, tmp_path):
         other = 3 if h == long and i != 3 else None
         told[(i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if other else "response", other)] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == told
+    ids = spark.createDataFrame([("3",), ("11",), ("404",), ("3",)], "record_id string")
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.lookup(stored, ids).collect()) == [(3, len(long.encode()))] * 2 + [(11, 700_000)]
     paths = warc.export(stored, f"file://{tmp_path}").collect()
     import zstandard
 

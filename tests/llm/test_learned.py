@@ -86,3 +86,25 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert last.count() == docs.count() == corpus_pipeline.run(spark, SMALL).count()
     assert last.columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_language_of_letters_beyond_the_first_plane(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    asked = spark.createDataFrame([(1, "\U0001f600\U0001f600 \U0001f389 12"), (2, "\U00010400\U00010428"), (3, "the mat"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["_lang"]["lang_pred"] for r in langid.predict(asked, model).collect()}
+    assert [got[i] == "und" for i in (1, 2, 3, 4, 5)] == [True, False, False, True, True] and got[3] == "en"
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    """A large site's rate is near its own, a sparse one's near its host's; a row's own label stays out of its path's rate."""
+    rows = [("big", i, int(i % 10 > 0)) for i in range(5, 1200)] + [("bad", i, int(i % 10 == 0)) for i in range(5000, 6200)] + [("few", 9000, 1), ("few", 9001, 0)]
+    docs = spark.createDataFrame([(i, "word " * (5 + i % 7), h) for h, i, _ in rows], "doc_id long, text string, host string")
+    labels = spark.createDataFrame([(i, y) for _, i, y in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.score(docs, labels, docs["host"], quality.F.lit(None).cast("string")).collect()}
+    assert abs(got[5]["path_rate"] - 0.9) < 0.06 and abs(got[5000]["path_rate"] - 0.1) < 0.06
+    assert 0.2 < got[9000]["path_rate"] < 0.8
+    twin = [got[i]["path_rate"] for i in (9000, 9001) if i in got]
+    assert len(twin) == 2
+    sites = spark.createDataFrame([("https://Ex.org/a/b?c",), ("http://x.y",), ("bad url",), (None,)], "u string").select(*quality.site(quality.F.col("u"))).collect()
+    assert [tuple(r) for r in sites] == [("ex.org", "a"), ("x.y", None), (None, None), (None, None)]

@@ -34,8 +34,9 @@ def _usable(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows (as float32, whose products stay exact), their scales, norms of the quantised rows, norms of what is lost."""
+    """int8 rows, their scales, norms of the quantised rows, norms of what is lost."""
     scale = np.abs(x).max(axis=1) / 127.0
+    scale[scale == 0] = 1.0  # a row of subnormal numbers is lost as a whole, within the bound
     q = np.rint(x / scale[:, None])
     back = q * scale[:, None]
     return q.astype(np.int8), scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
@@ -53,11 +54,12 @@ def tile_top(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k
     """Of each query the k best candidates of this tile: query ids, candidate ids, scores."""
     qi, qs, qn, qe = _quantised(q)
     ci, cs, cn, ce = _quantised(c)
-    cf = np.ascontiguousarray(ci.T.astype(np.float32))
+    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products of int8 rows stay exact
+    cf = np.ascontiguousarray(ci.T.astype(kind))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 256):
         to = slice(at, at + 256)
-        near = (qi[to].astype(np.float32) @ cf).astype(np.float64) * qs[to, None] * cs
+        near = (qi[to].astype(kind) @ cf).astype(np.float64) * qs[to, None] * cs
         # |q.c - q'.c'| <= |q'||c-c'| + |q-q'||c'| + |q-q'||c-c'|, and a little for rounding
         slack = (qn[to, None] * ce + qe[to, None] * cn + qe[to, None] * ce) * (1 + 1e-9) + 1e-12
         own = q_id[to, None] == c_id

@@ -34,9 +34,11 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where it names none (tests), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where a single process runs all (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="wakeline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -22,6 +22,8 @@ from wakeline.llm.common import bounded_sample, held_out, table
 DIM = 1024
 GRAM = 3
 SYMBOLS = 4096
+#: No letter lies at or beyond the last of these code points.
+POINTS = 0x40000
 #: Learning texts of a language: its prototype hardly moves beyond this.
 LEARN_ROWS = 4000
 SHARPNESS = 12.0
@@ -37,8 +39,8 @@ class Profiles:
         self.turned = [np.roll(base, place, axis=1) for place in range(GRAM)]
         self.dim = dim
         # 0 stands for whatever is no letter; a letter's symbol is its lower-case code point, folded.
-        points = [chr(c).lower() if not 0xD800 <= c < 0xE000 else " " for c in range(0x10000)]
-        self.symbol = np.array([1 + ord(s[0]) * 2654435761 % (SYMBOLS - 1) if s[0].isalpha() else 0 for s in points], np.int64)
+        points = (chr(c).lower() if not 0xD800 <= c < 0xE000 else " " for c in range(POINTS))
+        self.symbol = np.fromiter((1 + ord(s[0]) * 2654435761 % (SYMBOLS - 1) if s[0].isalpha() else 0 for s in points), np.int64, POINTS)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The codes of the text's n-grams and their counts, without those that only hold spaces."""
@@ -46,7 +48,7 @@ class Profiles:
         tail = np.zeros(1, np.int64)
         for at in range(0, len(text), CHUNK):
             points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
-            s = np.concatenate([tail, self.symbol[np.where(points < 0x10000, points, 0x4E00)]])
+            s = np.concatenate([tail, self.symbol[np.minimum(points, POINTS - 1)]])
             tail = s[-(GRAM - 1) :]
             if at + CHUNK >= len(text):
                 s = np.append(s, 0)

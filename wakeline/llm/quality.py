@@ -3,7 +3,10 @@
 A logistic model over counts of the whole text gives the document's evidence. Labelled outcomes (weight 1) and the evidence of
 the other documents (weight SOFT) are summed by host and path. A host's rate is shrunk towards the global rate and a path's
 towards its host's, with strengths estimated from the spread between hosts and between paths, so sparse sites stay close to
-their parents. The score adds the path's log odds against the global ones to the document's.
+their parents. The score adds the path's log odds against the global ones to the document's; a document's own share is left out
+of its path's sums, so neither its label nor its evidence counts twice.
+
+Labels are learned from about LEARN_ROWS labelled rows of each kind (all, if fewer); all other sums cover all rows.
 
 Null and empty texts have counts of zero; null hosts and paths form groups of their own. Without labels of both kinds the
 evidence is the neutral 0.5. Every document gives one row. Labels of the held-out fold and of null ids are never used.
@@ -94,12 +97,20 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text:
     s_host, s_path = _strength(hosts, mean), _strength(paths, mean)
     hosts = hosts.select("host", ((F.col("good") + s_host * mean) / (F.col("n") + s_host)).alias("host_rate"))
     # A host with very many paths is hot here: salted too.
-    rates = looked_up(paths, hosts, ["host"], F.col("path")).select("host", "path", "host_rate", ((F.col("good") + s_path * F.col("host_rate")) / (F.col("n") + s_path)).alias("path_rate"))
+    rates = looked_up(paths, hosts, ["host"], F.col("path")).select("host", "path", "host_rate", "good", "n")
+    own = weight * F.coalesce(F.col("y").cast("double"), F.col("evidence"))
+    others = (F.greatest(F.col("good") - own, F.lit(0.0)) + s_path * F.col("host_rate")) / (F.greatest(F.col("n") - weight, F.lit(0.0)) + s_path)
     score_col = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + _logit(F.col("path_rate")) - _logit(F.lit(mean)))))
-    out = looked_up(rows, rates, ["host", "path"], F.col("doc_id")).withColumn("score", score_col)
+    out = looked_up(rows, rates, ["host", "path"], F.col("doc_id")).withColumn("path_rate", others).withColumn("score", score_col)
     return out.select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= KEEP_AT).alias("keep"))
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a URL; null where there is none."""
+    path = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/([^/]+)", 1)
+    return F.lower(F.try_parse_url(url, F.lit("HOST"))), F.nullif(path, F.lit(""))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents name a source and a language: these stand for a host and a path on it."""
     docs = table(spark, sf_dir, "documents")

@@ -152,6 +152,18 @@ def read_back(stored: DataFrame) -> DataFrame:
     return stored.mapInPandas(read, PAGES)
 
 
+def lookup(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of ids (record_id string), read_back's columns: the index leads to frames, and only these are opened.
+
+    ids may be a table of any size; bundles without a hit are not read.
+    """
+    entry = F.explode(F.arrays_zip("record_ids", "frames", "offsets", "lengths"))
+    hits = stored.select("bundle", entry.alias("e")).select("bundle", "e.*").join(ids.select(F.col("record_id").alias("record_ids")).distinct(), "record_ids", "left_semi")
+    own = hits.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frames", "offsets", "lengths"))).alias("hits"))
+    found = own.join(stored.select("bundle", "body"), "bundle")
+    return read_back(found.select("bundle", "body", *[F.col(f"hits.{c}").alias(c) for c in ("frames", "offsets", "lengths")]))
+
+
 def export(stored: DataFrame, folder: str) -> DataFrame:
     """Writes every bundle as <bundle>.warc.zst under folder, a URI that pyarrow's file systems open; returns the paths."""
 
