@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm import bpe, pii
-from wakeline.llm.common import staged, table
+from wakeline.llm.common import dropped, staged, table
 from wakeline.llm.decontaminate import decontamination_stage
 from wakeline.llm.jaccard import near_duplicate_stage
 from wakeline.llm.langid import language_stage
@@ -20,12 +20,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to typed placeholders; every document stays."""
+    """Personal data gives way to typed placeholders; every row stays, whatever its id, and null and empty texts stay as they are.
+    Other columns of any name pass through."""
     return pii.redact(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the number of token ids and the SHA-256 of the ids and of the bytes that they decode to."""
+    """doc_id, the number of token ids and the SHA-256 of the ids and of the bytes that they decode to, a row for each row of docs.
+    Null texts count as empty."""
     return bpe.encode(docs, *bpe.vocabulary(), hashed=True, keep=False)
 
 
@@ -42,7 +44,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
