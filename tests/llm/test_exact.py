@@ -28,7 +28,7 @@ def test_jaccard_components(documents, n, num):
 
 def test_jaccard_long_lists(spark, monkeypatch):
     """Tokens of many documents go through pairs of tokens, and sets with many of those meet whole lists."""
-    monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
+    monkeypatch.setattr(jaccard, "ASKING", 1)
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
     rng = np.random.default_rng(3)
     rows = []

@@ -39,8 +39,9 @@ KEPT_BITS = 48
 FLUSH_TOKENS = 1 << 21
 BUCKET_BYTES = 12 << 20
 LEVEL_BITS = 11
-#: Tokens in lists up to this length are rare; longer ones are indexed by pairs in sets with up to PAIRED_TOKENS of them.
-SHORT_LIST = 32
+#: Tokens in whose lists at most so many members ask count as rare, so a list costs its length; the others are indexed by pairs
+#: in sets with up to PAIRED_TOKENS of them.
+ASKING = 32
 PAIRED_TOKENS = 40
 BITMAP = 8
 #: Members of a list that one pivot takes, and that meet in one task.
@@ -225,15 +226,15 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
 def _outside(lists: DataFrame) -> DataFrame:
     """The rows of lists whose members are in two components or more, and whether a member is outside of the largest."""
     sizes = lists.groupBy("k", "root").agg(F.count("*").alias("c"))
-    open_ = sizes.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("parts"), F.sum("c").alias("size")).where("parts > 1")
-    return looked_up(lists, open_.select("k", "major", "size"), ["k"], F.col("node"), 8).where("major is not null").withColumn("asks", F.col("root") != F.col("major"))
+    open_ = sizes.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("parts"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("asking")).where("parts > 1")
+    return looked_up(lists, open_.select("k", "major", "size", "asking"), ["k"], F.col("node"), 8).where("major is not null").withColumn("asks", F.col("root") != F.col("major"))
 
 
 def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs a, b of one list and of two components of which one asks, sizes and places permitting.
 
-    From place p on a set of n tokens shares n - p at most, and one more if the pair's first shared token is indexed by pairs.
-    That bounds the partner's size. Partners are met in bands of size; members of very long lists are spread over tasks.
+    Two sets meet at their first or second shared token, for pairs of tokens p is the place of the second. From place p on a set
+    of n tokens shares n - p at most, and one token before. That bounds the partner's size. Partners are met in bands of size; members of very long lists are spread over tasks.
     """
     step = math.log(den / num) / 2
     band = lambda c: F.floor(F.log(c.cast("double")) / step + 1e-9)
@@ -252,12 +253,12 @@ def _open_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
     """Pairs of different components that share a rare token, two frequent ones, or one of a set with many frequent ones."""
     known = lists.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = staged(_outside(known), "open")
-    short, long = rows.where((F.col("length") <= SHORT_LIST) & ~F.col("twin")), rows.where(F.col("length") > SHORT_LIST)
+    short, long = rows.where((F.col("asking") <= ASKING) & ~F.col("twin")), rows.where(F.col("asking") > ASKING)
     many = long.groupBy("node").agg(F.count("*").alias("tokens"))
     marked = long.join(many, "node")
     few = marked.where(F.col("tokens") <= PAIRED_TOKENS).groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("p", "k"))).alias("own"))
     own = F.col("own")
-    two = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, PAIRED_TOKENS), lambda y: F.struct(x["p"].alias("p"), F.xxhash64(x["k"], y["k"]).alias("k")))))
+    two = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, PAIRED_TOKENS), lambda y: F.struct(y["p"].alias("p"), F.xxhash64(x["k"], y["k"]).alias("k")))))
     pairs = few.select("node", "n", "root", F.explode(two).alias("x")).select("x.k", "node", "n", "x.p", "root")
     # Sets with more frequent tokens than that ask in the whole lists of theirs.
     whole = marked.withColumn("asks", F.col("tokens") > PAIRED_TOKENS)
