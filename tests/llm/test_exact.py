@@ -144,6 +144,26 @@ def test_bpe_equals_tiktoken(spark, documents):
         assert hashed[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_long_words():
+    """Words of many kinds, far over LONG bytes, against the public library; parts only ever cut where no merge crosses."""
+    import base64
+    import random
+
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    told = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coder, r = bpe.Coder(path, pattern), random.Random(5)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "".join(r.choice(["the", "and", "tion", "er", "of"]) for _ in range(4000))]
+    texts += ["etao" * 500, "a" * 30_000, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(10_000)), "-=" * 5000, "é" * 3000 + "ß", " " * 9000, "x" * 65]
+    for text, (n, ids, back) in zip(texts, coder.encode(texts), strict=True):
+        assert ids == ",".join(map(str, told.encode_ordinary(text))) and n == ids.count(",") + 1 and back == text.encode()
+    assert all(len(w.encode()) <= bpe.LONG for w in coder.met)
+    assert coder.parts(b"a") == [b"a"] and b"".join(coder.parts(texts[1].encode())) == texts[1].encode()
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -88,6 +89,60 @@ def test_pipeline_stages(spark):
     assert last.columns[:2] == ["doc_id", "n_tokens"]
 
 
+CLASHES = ("_lang", "copy", "kept_id", "leak_id", "score", "spans", "node", "n", "t", "_salt")
+
+
+@pytest.fixture(scope="module")
+def edges(spark, documents):
+    """Rows of every odd kind, ids that repeat with a leak and without one, and columns named as the stages' own."""
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "a quiet text about boats, rivers and the long way home in autumn rain"
+    rows = [*documents[0], (910_001, leak), (910_001, clean), (910_002, "write to someone@example.org soon"), (None, "call or write to someone@example.org")]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").withColumn("lang", langid.F.lit("en"))
+    for name in CLASHES:
+        df = df.withColumn(name, langid.F.lit(7))
+    return leak, clean, rows, df.repartition(3).cache()
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stage_on_odd_rows(spark, edges, place):
+    leak, clean, rows, df = edges
+    name, stage = corpus_pipeline.STAGES[place]
+    got = stage(spark, df, SMALL)
+    assert stage(spark, df.where("false"), SMALL).count() == 0
+    if name == "tokens":
+        found = [(r["doc_id"], r["n_tokens"]) for r in got.collect()]
+        assert Counter(i for i, _ in found) == Counter(i for i, _ in rows)
+        assert {n for i, n in found if i in (900_001, 900_002)} == {0} and all(n > 0 for i, n in found if i == 910_001)
+        return
+    assert got.columns == df.columns and all(r[c] == 7 for r in got.select(*CLASHES).collect() for c in CLASHES)
+    kept = Counter((r["doc_id"], r["text"]) for r in got.select("doc_id", "text").collect())
+    lost = Counter(rows) - kept
+    blank = {(i, t) for i, t in rows if not t or not t.strip()}
+    if name == "language":
+        assert blank <= set(lost) and not any(t and len(t) < 200 and any(c.isalpha() for c in t) for _, t in lost)
+    elif name == "near_duplicates":
+        assert not blank & set(lost) and not any(i is None for i, _ in lost) and {(910_001, leak), (910_001, clean)} <= set(kept)
+    elif name == "decontamination":
+        assert (910_001, leak) in lost and (910_001, clean) in kept and not blank & set(lost) and not any(i is None for i, _ in lost)
+    else:
+        assert sum(kept.values()) == len(rows) and Counter(i for i, _ in kept.elements()) == Counter(i for i, _ in rows)
+        assert (910_002, "write to <EMAIL> soon") in kept and (None, "call or write to <EMAIL>") in kept and kept[(900_001, None)] == 1
+
+
+def test_pairs_that_no_sum_of_weights_tells():
+    """Two words are toxic together and harmless alone, as often as not: the machine ranks them, weights without factors can't."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000)
+    spots = [np.array([i for i, on in enumerate((x, y, 1)) if on], np.int64) for x, y in zip(a, b, strict=True)]
+    y = (a != b).astype(float)
+    buckets = np.arange(3)
+    bias, w, v = toxicity.fit(spots, y, 3)
+    pair, alone = toxicity.Machine(buckets, bias, w, v), toxicity.Machine(buckets, bias, w, np.zeros_like(v))
+    assert auc(np.array([pair.raw(s) for s in spots]), y) > 0.95
+    assert auc(np.array([alone.raw(s) for s in spots]), y) < 0.95
+
+
 def test_language_of_letters_beyond_the_first_plane(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
     model = langid.learn(docs)

@@ -5,10 +5,12 @@ rank of their pair with the next row in the merge table, and each word's leftmos
 word has a pair. Decoding joins the ids with the vocabulary and concatenates the bytes in order.
 
 Words met before are looked up in a table that a Python worker keeps; its size is bounded and it changes no result. Words over
-LONG bytes contract all their pairs of least rank in one round; that is the same unless a new pair ranks lower than the round
-that made it, which the query notices: such words go one pair a round.
+LONG bytes are cut first wherever no token of the vocabulary that stands in the word reaches across: no merge can cross there,
+so the parts merge alone and most are short. Parts that are still over LONG bytes (runs such as one repeated letter) contract all
+their pairs of least rank in one round; that is the same unless a new pair ranks lower than the round that made it, which the
+query notices: such parts go one pair a round.
 
-Null texts are empty: no ids, and the hashes of the empty string. Every document gives one row.
+Null texts are empty: no ids, and the hashes of the empty string. Every document gives one row, whatever ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -86,6 +88,22 @@ class Coder:
             self.db.register("given", pa.table(data))
             self.db.execute(f"create table {name} as select * from given")
         self.met: dict[str, tuple[str, int, bytes | None]] = {}
+        self.tokens = frozenset(t for t in ranks if len(t) > 1)
+        self.begun = frozenset(t[:i] for t in self.tokens for i in range(2, len(t) + 1))
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """The word, cut where no token in it reaches across."""
+        out, start, reach = [], 0, 0
+        for at in range(len(word)):
+            if at and at >= reach:
+                out.append(word[start:at])
+                start = at
+            end = at + 2
+            while (some := word[at:end]) in self.begun and end <= len(word):
+                if some in self.tokens:
+                    reach = max(reach, end)
+                end += 1
+        return [*out, word[start:]]
 
     def _merged(self, words: list[bytes], rounds: str) -> list[tuple]:
         size = np.array([len(w) for w in words])
@@ -97,18 +115,32 @@ class Coder:
         self.db.register("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": pos.astype(np.int32), "tok": tok, "nt": nxt.astype(np.int32)}))
         return self.db.execute(rounds + _TAIL).fetchall()
 
-    def learn(self, new: list[str]) -> None:
-        """Adds words to the table. They are new and not empty."""
-        short = [w for w in new if len(w.encode()) <= LONG]
-        for some, rounds in ((short, _ONE), ([w for w in new if len(w.encode()) > LONG], _ALL)):
+    def merged(self, words: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
+        """Of each word, none empty and none twice, its ids, their number and the bytes that they decode to."""
+        out = {}
+        for some, rounds in (([w for w in words if len(w) <= LONG], _ONE), ([w for w in words if len(w) > LONG], _ALL)):
             for at in range(0, len(some), WORDS_AT_ONCE):
-                words = some[at : at + WORDS_AT_ONCE]
-                coded = [w.encode() for w in words]
+                coded = some[at : at + WORDS_AT_ONCE]
                 for w, ids, n, decoded, doubtful in self._merged(coded, rounds):
                     if doubtful:
                         ((_, ids, n, decoded, _),) = self._merged([coded[w]], _ONE)
-                    back = bytes.fromhex(decoded)
-                    self.met[words[w]] = (ids, n, None if back == coded[w] else back)
+                    out[coded[w]] = ids, n, bytes.fromhex(decoded)
+        return out
+
+    def learn(self, new: list[str]) -> dict[str, tuple[str, int, bytes | None]]:
+        """Adds words, new and not empty, to the table; those over LONG bytes are only returned."""
+        coded = {w: w.encode() for w in new}
+        cut = {w: self.parts(c) for w, c in coded.items() if len(c) > LONG}
+        got = self.merged(sorted({c for w, c in coded.items() if w not in cut} | {p for parts in cut.values() for p in parts}))
+        for w, c in coded.items():
+            if w not in cut:
+                ids, n, back = got[c]
+                self.met[w] = ids, n, None if back == c else back
+        told = {}
+        for w, parts in cut.items():
+            ids, n, back = zip(*[got[p] for p in parts], strict=True)
+            told[w] = ",".join(ids), sum(n), None if b"".join(back) == coded[w] else b"".join(back)
+        return told
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Of each text the number of ids, the ids joined by commas, and the bytes that the ids decode to."""
@@ -118,9 +150,9 @@ class Coder:
             if len(self.met) + len(new) > KEPT_WORDS:
                 self.met.clear()
                 new = {w for words in split for w in words}
-            self.learn(sorted(new))
+            long = self.learn(sorted(new))
             for words in split:
-                got = [self.met[w] for w in words]
+                got = [self.met.get(w) or long[w] for w in words]
                 yield sum(n for _, n, _ in got), ",".join([ids for ids, _, _ in got]), b"".join([w.encode() if b is None else b for w, (_, _, b) in zip(words, got, strict=True)])
 
 

@@ -124,6 +124,12 @@ def _documents(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, matched and words (covered words, and those that windows reach), coverage of every pair that the rules above find."""
+    found = _found(docs, benchmark, text, id_col, item_col, item_text)
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("words").alias("words"), F.max("coverage").alias("coverage"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, id_col: str, item_col: str, item_text: str) -> DataFrame:
+    """The same by text: doc_id, copy (the text's hash), item_id, matched, words, coverage."""
     items, rows = _items(benchmark, item_col, item_text), _documents(docs, text, id_col)
     windows = _item_windows(items)
     reach = F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda i: F.sequence(i, i + (WINDOW - 1)))))
@@ -133,8 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda i: F.sequence(i, i + (WINDOW - 1))))))
     places = met.groupBy("doc_id", "copy", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(covered.alias("at"))
     pairs = places.groupBy("doc_id", "copy", "item_id").agg(F.array_sort(F.collect_list(F.struct("shift", "at"))).alias("places")).join(told, "item_id")
-    found = _consistent(_candidates(pairs), rows).unionByName(_verbatim(rows, items.join(windows.select("item_id").distinct(), "item_id", "left_anti")))
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("words").alias("words"), F.max("coverage").alias("coverage"))
+    return _consistent(_candidates(pairs), rows).unionByName(_verbatim(rows, items.join(windows.select("item_id").distinct(), "item_id", "left_anti")))
 
 
 def _candidates(pairs: DataFrame) -> DataFrame:
@@ -175,7 +180,7 @@ def _consistent(found: DataFrame, rows: DataFrame) -> DataFrame:
     against = F.transform("slots", lambda c: F.struct(value(c).alias("value"), F.lower(F.get("d", c["at"] + c["shift"] - 1)).alias("other")))
     fits = F.size(F.array_distinct(against)) == F.size(F.array_distinct(F.transform("slots", value)))
     good = asked.join(texts, ["doc_id", "copy"], "left").where((F.size("slots") == 0) | fits)
-    return good.select("doc_id", "item_id", F.size("held").alias("matched"), "words", (F.size("held") / F.col("words")).alias("coverage"))
+    return good.select("doc_id", "copy", "item_id", F.size("held").alias("matched"), "words", (F.size("held") / F.col("words")).alias("coverage"))
 
 
 def _verbatim(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -184,13 +189,13 @@ def _verbatim(rows: DataFrame, items: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     lower = rows.select("doc_id", "copy", F.transform(words(F.col("text")), lambda w: F.lower(w)).alias("d"))
     n = F.size("v").alias("words")
-    out = items.select(F.lit(None).alias("doc_id"), "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")).where("false").withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
+    out = items.select(F.lit(None).alias("doc_id"), F.lit(None).cast("long").alias("copy"), "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")).where("false").withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
     for length in lengths:
         own = items.where(F.col("length") == length).withColumn("h", F.xxhash64(F.slice("v", 1, length)))
         hashes = F.transform(F.when(F.size("d") >= length, F.sequence(F.lit(1), F.size("d") - (length - 1))), lambda i: F.xxhash64(F.slice("d", i, length)))  # noqa: B023
         met = lower.select("doc_id", "copy", F.posexplode(hashes).alias("at", "h")).join(own, "h")
         met = met.join(lower, ["doc_id", "copy"]).where(F.slice("d", F.col("at") + 1, F.size("v")) == F.col("v"))
-        out = out.unionByName(met.select("doc_id", "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")))
+        out = out.unionByName(met.select("doc_id", "copy", "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")))
     return out
 
 
@@ -199,6 +204,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go. Of rows that repeat an id those go whose own text holds one. Null and empty texts
+    and rows without id stay, and columns of any name pass through."""
+    found = _found(docs, table(spark, sf_dir, "benchmark"), "text", "doc_id", "item_id", "text")
+    leaks = found.select(F.col("doc_id").alias("leak_id"), F.col("copy").alias("leak_copy")).distinct()
+    same = (docs["doc_id"] == leaks["leak_id"]) & (F.xxhash64(docs["text"]) == leaks["leak_copy"])
+    return docs.join(leaks, same, "left_anti")

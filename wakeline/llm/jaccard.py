@@ -307,6 +307,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+OP10_SQL = """
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                                           else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) s from d),
+sized as (select doc_id, len(s)::bigint n, s from sets),
+one as (select doc_id, n, unnest(s) t from sized),
+common as (select a.doc_id a, b.doc_id b from one a join one b on a.t = b.t and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+           group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links as (select a, b from common union all select b, a from common),
+reached(a, b) as (select doc_id, doc_id from sized union select r.a, l.b from reached r join links l on r.b = l.a)
+select sized.doc_id, n n_shingles, min(b) component_id from sized join reached on a = sized.doc_id group by sized.doc_id, n
+"""
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id, of those the one whose text has the smallest hash.
 

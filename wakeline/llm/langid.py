@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import bounded_sample, held_out, table
@@ -129,8 +129,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, protos / np.where(length > 0, length, 1)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of docs with lang_pred and score, a share of 1 that the best cosine takes against the others."""
+def guessed(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
+    """lang_pred, score (a share of 1 that the best cosine takes against the others) and cosine of a text."""
     names, protos = model
 
     @F.pandas_udf("lang_pred string, score double, cosine double")
@@ -151,7 +151,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             out.loc[take, "cosine"] = np.where(some, top, 0.0)
         return out
 
-    return docs.withColumn("_lang", guess(F.col(text)))
+    return guess(text)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs with what is guessed of them in _lang, in the place of a column of that name."""
+    return docs.withColumn("_lang", guessed(F.col(text), model))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +173,11 @@ ENOUGH_CHARS = 200
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of a language stay, and all with letters that are too short to judge. If nothing can be learned, every row stays.
 
-    The prototypes are learned from the rows of docs outside the held-out fold.
+    The prototypes are learned from the rows of docs outside the held-out fold. Null and empty texts have no letter and go, rows
+    that repeat and rows with null ids are judged one by one, columns of any name pass through.
     """
     model = learn(docs.where(~held_out("doc_id")))
     if not model[0]:
         return docs
-    alike = (F.col("_lang.cosine") >= MIN_COSINE) | (F.length("text") < ENOUGH_CHARS)
-    return predict(docs, model).where((F.col("_lang.lang_pred") != "und") & alike).select(*docs.columns)
+    lang = guessed(F.col("text"), model)
+    return docs.where((lang["lang_pred"] != "und") & ((lang["cosine"] >= MIN_COSINE) | (F.length("text") < ENOUGH_CHARS)))

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are tested against brute force, round trips or held-out labels in tests/llm."""
-    return {"op2_ann": ann.OP2_SQL, "op7_warc": warc.OP7_SQL}
+    return {"op2_ann": ann.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_suffix_dedup": suffix.OP9_SQL, "op10_jaccard": jaccard.OP10_SQL}

@@ -411,3 +411,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
+#: Long texts are cut into pieces of 1000 windows first, so no window is sought in a whole text.
+OP9_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+pieces as (select doc_id, k, substr(x, 2000 * k + 1, 2098) y from (select doc_id, x, unnest(range((length(x) // 2 - 50) // 1000 + 1)) k from d where length(x) >= 100)),
+w as (select doc_id, 1000 * k + i p, md5_number(substr(y, 2 * i + 1, 100)) h from (select doc_id, k, y, unnest(range(length(y) // 2 - 49)) i from pieces)),
+f as (select h, min(doc_id) least from w group by h having count(*) > 1),
+gone as (select w.doc_id, w.p from w join f on w.h = f.h and f.least < w.doc_id),
+runs as (select doc_id, p, sum(opens) over (partition by doc_id order by p) run
+         from (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end opens from gone)),
+spans as (select doc_id, min(p) a, max(p) + 50 z from runs group by doc_id, run),
+gaps as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) since from spans),
+cut as (select g.doc_id, count(*) n, sum(z - a) lost, max(z) last, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' order by a) kept
+        from gaps g join d on g.doc_id = d.doc_id group by g.doc_id)
+select d.doc_id, (length(x) // 2)::bigint n_bytes, coalesce(lost, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) kept_sha256
+from d left join cut on d.doc_id = cut.doc_id
+"""

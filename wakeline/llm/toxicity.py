@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Machine | N
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text") -> DataFrame:
-    """The rows of docs with a column score from 0 to 1."""
+    """The rows of docs with a column score from 0 to 1, in the place of a column of that name."""
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
