@@ -80,12 +80,14 @@ def test_suffix_empty(empty):
     assert suffix.remove_repeats(empty).collect() == []
 
 
-def test_equal_windows():
+@pytest.mark.parametrize("small", [0, 2, 2048])
+def test_equal_windows(monkeypatch, small):
+    monkeypatch.setattr(suffix, "SMALL", small)
     data = np.frombuffer(b"abcab" * 40 + b"a" * 130 + bytes(range(200)), np.uint8)
     starts = np.arange(len(data) - suffix.LENGTH + 1)
     order, opens = suffix.equal_windows(data, starts)
     text = [data[s : s + suffix.LENGTH].tobytes() for s in order]
-    assert sorted(order.tolist()) == starts.tolist()
+    assert sorted(order.tolist()) == starts.tolist() and text == sorted(text)
     assert opens.sum() == len(set(text))
     assert all(opens[i] == (text[i] != text[i - 1]) for i in range(1, len(text)))
 

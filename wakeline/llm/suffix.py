@@ -3,7 +3,7 @@
 1. Every LENGTH-byte window has an anchor, the GRAM-byte string of least hash in it; equal windows have equal anchors. One
    pass finds the anchors that different texts share. Copies of a whole text need no search: all but the smallest id go.
 2. The windows of each shared anchor travel as one segment of bytes to the task of that anchor. There a suffix array of all
-   segments is sorted deep-shallow: multikey sorting by words of eight bytes to SHALLOW bytes, then blind tries, which branch
+   segments is sorted deep-shallow: multikey quicksort by words of eight bytes to SHALLOW bytes, then blind tries, which branch
    only on words in which their suffixes differ, order the groups that still agree. Equal windows end side by side.
 3. Anchors of very many documents would gather in one task. Their segments are reduced to distinct ones first, whose windows
    are spread by their own bytes and joined back.
@@ -28,6 +28,8 @@ from wakeline.llm.shingles import _BYTE, mixed, powers
 LENGTH = 50
 GRAM = 20
 SHALLOW = 16
+#: Groups of up to this many suffixes are sorted plainly, as quicksort does with its small parts.
+SMALL = 2048
 PIECE = 1 << 19
 FLUSH_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20
@@ -247,21 +249,50 @@ def _segments(texts: DataFrame, places: DataFrame) -> DataFrame:
     return texts.join(places, ["doc_id", "cls"]).select("doc_id", "cls", "text", "p").mapInArrow(cut, "h long, seg binary, doc_id long, cls long, lo int")
 
 
+def _quicksorted(a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multikey quicksort to SHALLOW bytes, a character being the word a[start + depth] of eight bytes.
+
+    Each group has a median of three as pivot and splits into less, equal and greater; the equal part goes on with its next word.
+    All groups split in one pass, which numpy does at once. Groups of up to SMALL rows are left to plain sorting. Returns the
+    starts, whether each opens a new group, and the depth from which its group is not yet in order.
+    """
+    order, opens, sorted_to = starts.copy(), np.zeros(len(starts), bool), np.full(len(starts), SHALLOW)
+    opens[:1] = True
+    rows, size, depth = np.arange(len(order)), np.array([len(order)]), np.zeros(1, np.int64)
+    while True:
+        large = size > SMALL
+        stays = np.repeat(large, size)
+        sorted_to[rows[~stays]] = np.repeat(depth, size)[~stays]
+        rows, size, depth = rows[stays], size[large], depth[large]
+        if not len(size):
+            return order, opens, sorted_to
+        first, held = np.cumsum(size) - size, order[rows]
+        word = a[held + np.repeat(depth, size)]
+        pivot = np.repeat(np.sort(np.stack([word[first], word[first + size // 2], word[first + size - 1]]), axis=0)[1], size)
+        sides = [word < pivot, word == pivot, word > pivot]
+        parts = np.stack([np.add.reduceat(side, first, dtype=np.int64) for side in sides])
+        begins = first + np.cumsum(parts, axis=0) - parts
+        to = np.empty(len(rows), np.int64)
+        for side, n, at in zip(sides, parts, begins, strict=True):
+            to[side] = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        order[rows[to]] = held
+        parts, begins, deeper = parts.T.ravel(), begins.T.ravel(), np.stack([depth, depth + 8, depth], axis=1).ravel()
+        opens[rows[begins[parts > 0]]] = True
+        go = (parts > 1) & (deeper < SHALLOW)
+        rows, size, depth = rows[np.repeat(go, parts)], parts[go], deeper[go]
+
+
 def equal_windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The starts in suffix order, and for each whether it opens a new group of equal LENGTH-byte windows."""
     a = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     for shift, step in ((8, 1), (16, 2), (32, 4)):
         a = (a[:-step] << np.uint64(shift)) | a[step:]
-    # Shallow: multikey sorting by words of eight bytes, the next word only inside groups that agree so far.
-    order = starts[np.argsort(a[starts], kind="stable")]
-    opens = np.append(True, np.diff(a[order]) != 0) if len(order) else np.empty(0, bool)
-    depths = [*range(8, LENGTH - 7, 8), LENGTH - 8]
-    for depth in depths:
+    order, opens, sorted_to = _quicksorted(a, starts)
+    for depth in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
         group = np.cumsum(opens) - 1
-        size = np.bincount(group)
-        rows = np.flatnonzero(size[group] > 1)
+        rows = np.flatnonzero((np.bincount(group)[group] > 1) & (sorted_to <= depth)) if len(order) else order
         if not len(rows):
-            break
+            continue
         word = a[order[rows] + depth]
         if depth >= SHALLOW:  # deep: a blind trie's node passes over a word on which all its suffixes agree
             cuts = np.flatnonzero(np.append(True, np.diff(group[rows]) != 0))
