@@ -4,11 +4,11 @@ A word (a match of the splitting pattern) starts as one row a byte: its position
 rank of their pair with the next row in the merge table, and each word's leftmost pair of least rank is contracted, until no
 word has a pair. Decoding joins the ids with the vocabulary and concatenates the bytes in order.
 
-Words met before are looked up in a table that a Python worker keeps; its size is bounded and it changes no result. Words over
-LONG bytes are cut first wherever no token of the vocabulary that stands in the word reaches across: no merge can cross there,
-so the parts merge alone and most are short. Parts that are still over LONG bytes (runs such as one repeated letter) contract all
-their pairs of least rank in one round; that is the same unless a new pair ranks lower than the round that made it, which the
-query notices: such parts go one pair a round.
+Words are cut first wherever no token of the vocabulary that stands in the word reaches across: no merge can cross there, so the
+parts merge alone, are short and repeat more than words do. Words and parts met before are looked up in tables that a Python
+worker keeps; their size is bounded and they change no result. Parts over LONG bytes (runs such as one repeated letter) contract
+all their pairs of least rank in one round; that is the same unless a new pair ranks lower than the round that made it, which
+the query notices: such parts go one pair a round.
 
 Null texts are empty: no ids, and the hashes of the empty string. Every document gives one row, whatever ids repeat or are null.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import duckdb
 import numpy as np
@@ -31,7 +31,7 @@ from wakeline.llm.common import table
 
 WORDS_AT_ONCE = 40_000
 LONG = 64
-KEPT_WORDS = 700_000
+KEPT_WORDS, KEPT_PARTS = 700_000, 400_000
 
 # A state row: word, position, token, next token (-1 at the end), round, and the rank and position that the round contracted.
 _ONE = """
@@ -88,19 +88,25 @@ class Coder:
             self.db.register("given", pa.table(data))
             self.db.execute(f"create table {name} as select * from given")
         self.met: dict[str, tuple[str, int, bytes | None]] = {}
-        self.tokens = frozenset(t for t in ranks if len(t) > 1)
-        self.begun = frozenset(t[:i] for t in self.tokens for i in range(2, len(t) + 1))
+        self.seen: dict[bytes, tuple[str, int, bytes | None]] = {}
+        self.ranks = ranks
+
+    @cached_property
+    def begun(self) -> dict[bytes, bool]:
+        """What tokens of two bytes or more start with, and whether it is a token itself."""
+        starts = {t[:i] for t in self.ranks for i in range(2, len(t) + 1)}
+        return {t: t in self.ranks for t in starts}
 
     def parts(self, word: bytes) -> list[bytes]:
         """The word, cut where no token in it reaches across."""
-        out, start, reach = [], 0, 0
+        out, start, reach, begun = [], 0, 0, self.begun
         for at in range(len(word)):
             if at and at >= reach:
                 out.append(word[start:at])
                 start = at
             end = at + 2
-            while (some := word[at:end]) in self.begun and end <= len(word):
-                if some in self.tokens:
+            while end <= len(word) and (token := begun.get(word[at:end])) is not None:
+                if token:
                     reach = max(reach, end)
                 end += 1
         return [*out, word[start:]]
@@ -115,31 +121,35 @@ class Coder:
         self.db.register("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": pos.astype(np.int32), "tok": tok, "nt": nxt.astype(np.int32)}))
         return self.db.execute(rounds + _TAIL).fetchall()
 
-    def merged(self, words: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
-        """Of each word, none empty and none twice, its ids, their number and the bytes that they decode to."""
+    def merged(self, parts: list[bytes]) -> dict[bytes, tuple[str, int, bytes | None]]:
+        """Of each part, none empty and none twice, its ids, their number and what they decode to (None: the part itself)."""
         out = {}
-        for some, rounds in (([w for w in words if len(w) <= LONG], _ONE), ([w for w in words if len(w) > LONG], _ALL)):
+        for some, rounds in (([p for p in parts if len(p) <= LONG], _ONE), ([p for p in parts if len(p) > LONG], _ALL)):
             for at in range(0, len(some), WORDS_AT_ONCE):
                 coded = some[at : at + WORDS_AT_ONCE]
                 for w, ids, n, decoded, doubtful in self._merged(coded, rounds):
                     if doubtful:
                         ((_, ids, n, decoded, _),) = self._merged([coded[w]], _ONE)
-                    out[coded[w]] = ids, n, bytes.fromhex(decoded)
+                    back = bytes.fromhex(decoded)
+                    out[coded[w]] = ids, n, None if back == coded[w] else back
         return out
 
     def learn(self, new: list[str]) -> dict[str, tuple[str, int, bytes | None]]:
-        """Adds words, new and not empty, to the table; those over LONG bytes are only returned."""
-        coded = {w: w.encode() for w in new}
-        cut = {w: self.parts(c) for w, c in coded.items() if len(c) > LONG}
-        got = self.merged(sorted({c for w, c in coded.items() if w not in cut} | {p for parts in cut.values() for p in parts}))
-        for w, c in coded.items():
-            if w not in cut:
-                ids, n, back = got[c]
-                self.met[w] = ids, n, None if back == c else back
+        """Adds words, new and not empty, to the table; those over LONG bytes are only returned, so the tables hold few bytes."""
+        cut = {w: self.parts(w.encode()) for w in new}
+        need = {p for parts in cut.values() for p in parts if p not in self.seen}
+        if len(self.seen) + len(need) > KEPT_PARTS:
+            self.seen.clear()
+            need = {p for parts in cut.values() for p in parts}
+        got = self.merged(sorted(need))
+        self.seen.update((p, x) for p, x in got.items() if len(p) <= LONG)
         told = {}
         for w, parts in cut.items():
-            ids, n, back = zip(*[got[p] for p in parts], strict=True)
-            told[w] = ",".join(ids), sum(n), None if b"".join(back) == coded[w] else b"".join(back)
+            found = [self.seen.get(p) or got[p] for p in parts]
+            if len(found) > 1:
+                back = None if all(b is None for _, _, b in found) else b"".join([p if b is None else b for p, (_, _, b) in zip(parts, found, strict=True)])
+                found = [(",".join([ids for ids, _, _ in found]), sum(n for _, n, _ in found), back)]
+            (self.met if sum(map(len, parts)) <= LONG else told)[w] = found[0]
         return told
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
@@ -151,8 +161,9 @@ class Coder:
                 self.met.clear()
                 new = {w for words in split for w in words}
             long = self.learn(sorted(new))
+            met = self.met
             for words in split:
-                got = [self.met.get(w) or long[w] for w in words]
+                got = [met.get(w) or long[w] for w in words] if long else [met[w] for w in words]
                 yield sum(n for _, n, _ in got), ",".join([ids for ids, _, _ in got]), b"".join([w.encode() if b is None else b for w, (_, _, b) in zip(words, got, strict=True)])
 
 
