@@ -50,7 +50,7 @@ def terms(text: str | None) -> set[int]:
 
 
 class Machine:
-    """Weights of the chosen buckets. A row is the set of its chosen buckets, scaled to soften long texts."""
+    """Weights of the chosen buckets. A row is the set of its chosen buckets."""
 
     def __init__(self, buckets: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> None:
         self.spot = {int(b): i for i, b in enumerate(buckets)}
