@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import ann, bpe, decontaminate, jaccard, langid, pii, quality, suffix, toxicity, warc
+from wakeline.llm import ann, bpe, centroids, decontaminate, divergence, jaccard, langid, pii, quality, suffix, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_suffix_dedup": suffix.op9_suffix_dedup,
         "op10_jaccard": jaccard.op10_jaccard,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_divergence": divergence.op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are tested against brute force, round trips or held-out labels in tests/llm."""
-    return {"op2_ann": ann.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_suffix_dedup": suffix.OP9_SQL, "op10_jaccard": jaccard.OP10_SQL}
+    return {"op2_ann": ann.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_suffix_dedup": suffix.OP9_SQL, "op10_jaccard": jaccard.OP10_SQL, "op11_centroids": centroids.OP11_SQL, "op12_divergence": divergence.OP12_SQL}
