@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import ann, bpe, centroids, decontaminate, divergence, jaccard, langid, pii, quality, suffix, toxicity, warc
+from wakeline.llm import ann, bpe, centroids, decontaminate, divergence, jaccard, langid, lm, pii, quality, suffix, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard": jaccard.op10_jaccard,
         "op11_centroids": centroids.op11_centroids,
         "op12_divergence": divergence.op12_divergence,
+        "op13_lm": lm.op13_lm,
     }
 
 
