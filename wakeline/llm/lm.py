@@ -36,7 +36,7 @@ from wakeline.llm.trie import CODES, Trie, code
 
 FOLDS, HELD_FOLD = 7, 2
 #: Tokens of a block, about so many token occurrences of a bucket of trigrams, and bytes of text for each bucket of words.
-BLOCK, BUCKET, WORD_BYTES = 1 << 20, 1 << 20, 16 << 20
+BLOCK, BUCKET, WORD_BYTES = 1 << 20, 1 << 19, 16 << 20
 #: A middle word with more occurrences than this is dealt over several buckets.
 HOT = 1 << 22
 #: Strengths of the lower orders: words behind bigrams, bigrams behind trigrams. Chosen on one seventh of the learning rows of sf0.1.

@@ -26,11 +26,11 @@ def code(p: np.ndarray) -> np.ndarray:
 def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the one of that rank in each 64-bit word."""
     parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-    ends = np.cumsum(_POP[parts], axis=1, dtype=np.int64)
+    ends = np.cumsum(_POP[parts], axis=1, dtype=np.uint8)
     byte = (ends <= rank[:, None]).sum(1)
     row = np.arange(len(words))
     found = parts[row, byte]
-    return byte * 8 + _SELECT[found, rank - (ends[row, byte] - _POP[found])]
+    return byte * 8 + _SELECT[found, rank - (ends[row, byte] - _POP[found]).astype(np.int64)]
 
 
 class Monotone:
@@ -50,7 +50,9 @@ class Monotone:
         at = (values >> U64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((last >> bits) + n + 2, np.uint8)
         high[at] = 1
-        low = (values[:, None] >> np.arange(bits, dtype=U64)).astype(np.uint8) & 1 if bits else np.empty(0, np.uint8)
+        low = np.empty((n, bits), np.uint8)
+        for i in range(bits):
+            low[:, i] = (values >> U64(i)) & U64(1)
         packed = lambda b: np.frombuffer(np.packbits(b, bitorder="little").tobytes().ljust(8 * (-(-b.size // 64) + 1), b"\0"), U64)
         return n, bits, packed(low.ravel()), packed(high)
 
