@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from wakeline.config import CleanParams, job_preset
 from wakeline.operators import frames, profile, scores, tracks, windows
 from wakeline.plans import jobs
-from wakeline.sources import readers, sinks
+from wakeline.sources import archives, readers, sinks
 
 HEAD = "MMSI,BaseDateTime,LAT,LON,SOG,Heading,Status,Extra"
 ROWS = ["367000001,2021-12-01T00:00:03,30,-118.5,1.5,10,0,x", "36700000,2021-12-01T00:00:03,30,-118,1.5,10,0,x", "367000002,bad,30,-118,1.5,10,0,x", "367000003,2021-12-01T00:00:04,oops,-118,,10,0,x"]
@@ -46,6 +47,36 @@ def test_reports_csv(spark, tmp_path):
         readers.reports_csv(spark, csv(tmp_path / "b.csv", [], HEAD.replace("LON", "X")))
 
 
+def test_columns_of_any_order(spark, tmp_path):
+    """Each file is read by its own header, whatever the others' order is; what is missing is null in text columns, too."""
+    csv(tmp_path / "a.csv", ["367000001,2021-12-01T00:00:03,30,-118.5,1.5,10,NA,x"])
+    csv(tmp_path / "b.csv", ["x,-118.5,30,2021-12-01T00:00:03,0,n/a,10,367000002"], "Extra,LON,LAT,BaseDateTime,Status,SOG,Heading,MMSI")
+    (tmp_path / "c.csv").write_bytes('\ufeff"LAT",MMSI,BaseDateTime,LON,SOG,Heading,Status,LAT\r\n30,367000003,2021-12-01T00:00:03,-118.5,1.5,10,,99\r\n'.encode())
+    got = {r["mmsi"]: r for r in readers.reports_csv(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [367000001, 367000002, 367000003]
+    assert {(r["lat"], r["lon"], r["heading"]) for r in got.values()} == {(30.0, -118.5, 10.0)}
+    assert [got[m]["status"] for m in sorted(got)] == [None, "0", None] and got[367000002]["sog"] is None
+    csv(tmp_path / "d.csv", [], HEAD.replace("SOG", "speed"))
+    with pytest.raises(ValueError, match="SOG in .*d.csv"):
+        readers.reports_csv(spark, str(tmp_path))
+    (tmp_path / "d.csv").write_text("")
+    with pytest.raises(ValueError, match="no header in .*d.csv"):
+        readers.reports_csv(spark, str(tmp_path))
+
+
+def test_frames_of_any_order(spark, tmp_path):
+    csv(tmp_path / "a.csv", ["7,367000002,1.5,2,3,4"], "frame_id,vessel_id,LON,LAT,SOG,Heading")
+    csv(tmp_path / "b.csv", ["367000002,7,2,1.5,3,4,z"], "vessel_id,frame_id,LAT,LON,SOG,Heading,more")
+    got = readers.frames_csv(spark, str(tmp_path)).drop("source_file").collect()
+    assert [tuple(r) for r in got] == [(7, 367000002, 1.5, 2.0, 3.0, 4.0)] * 2
+    csv(tmp_path / "c.csv", ["1,2,x,2,3,4"], "frame_id,vessel_id,LON,LAT,SOG,Heading")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        readers.frames_csv(spark, str(tmp_path)).collect()
+    csv(tmp_path / "c.csv", [], "frame_id,vessel_id,LON,LAT,SOG")
+    with pytest.raises(ValueError, match="Heading in .*c.csv"):
+        readers.frames_csv(spark, str(tmp_path))
+
+
 def test_rows_of_each_file(spark, tmp_path):
     for name in "ab":
         csv(tmp_path / f"{name}.csv", ROWS)
@@ -66,6 +97,62 @@ def test_reports_zip(spark, tmp_path):
         readers.reports_zip(spark, str(tmp_path)).collect()
 
 
+def test_zip_in_pieces(spark, tmp_path, monkeypatch):
+    """A member of many pieces keeps its order; both readers agree on what is missing."""
+    rows = [f"{367000000 + i % 90},2021-12-01T00:00:{i % 60:02},{30 + i % 5},-118,{'NA' if i % 7 == 0 else 1.5},10,{'NA' if i % 11 == 0 else 0},x" for i in range(120_000)]
+    archive(tmp_path / "AIS_2021_12_01.zip", {"a.csv": rows})
+    got = readers.reports_zip(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 1
+    csv(tmp_path / "a.csv", rows)
+    plain = readers.reports_csv(spark, f"{tmp_path}/a.csv")
+    assert got.orderBy("ordinal").select("ordinal").limit(3).collect() == [(0,), (1,), (2,)]
+    columns = ["mmsi", "ts", "lat", "sog", "status"]
+    assert got.groupBy(*columns).count().exceptAll(plain.groupBy(*columns).count()).count() == 0
+    assert got.agg(F.max("ordinal"), F.count("*"), F.count("sog"), F.count("status")).first() == (119_999, 120_000, 120_000 - 17_143, 120_000 - 10_910)
+    batches = archives.ReportsZipReader({"path": str(tmp_path)}).read(archives.Archive(f"{tmp_path}/AIS_2021_12_01.zip"))
+    assert [b.num_rows for b in batches] == [50_000, 50_000, 20_000]
+    assert readers.reports_zip(spark, f"file:{tmp_path}/AIS_2021_12_01.zip", nrows=5).count() == 5
+    with pytest.raises(Exception, match="nowhere"):
+        readers.reports_zip(spark, f"{tmp_path}/nowhere").collect()
+
+
+def cut(path, split):
+    """All parts of a document, as tasks read them."""
+    reader = archives.TrajectoriesReader({"path": str(path), "split": split})
+    return [(b.column(1)[i].as_py(), b.column(2)[i].as_py()) for p in reader.partitions() for b in reader.read(p) for i in range(b.num_rows)]
+
+
+def test_trajectories_cut_anywhere(tmp_path, monkeypatch):
+    path = tmp_path / "t.json"
+    rng = random.Random(5)
+    for trial in range(40):
+        monkeypatch.setattr(archives, "READ_BYTES", rng.choice([1, 2, 7, 64, 1000]))
+        whole = [[[rng.choice([1, -2.5, 3e10, None]) for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 6))]
+        text = json.dumps(whole, separators=rng.choice([(",", ":"), (", ", ":"), (" ,\n  ", ":")])).replace("[", rng.choice(["[", "[ ", "[" + " " * 90]))
+        path.write_text(text + rng.choice(["", "\n"]))
+        for split in (3, 17, 101, 1 << 20):
+            assert [t for _, t in cut(path, split)] == [t for t in whole if t], (trial, split, text)
+
+
+@pytest.mark.parametrize("text", ["", "{}", "[", "[[[1]]", "[[[1]],]", "[[[1]] [[2]]]", "[[[1]]]x", "[[[1,]]]", "[[[1]],5]", "[[[1]],[2]]", '[[["a"]]]', "[[[1]],[[[2]]]]", "[[],[[1]],[]", "[[[1],[2]"])
+def test_malformed_trajectories(tmp_path, text):
+    (tmp_path / "t.json").write_text(text)
+    with pytest.raises(ValueError, match="t.json"):
+        cut(tmp_path / "t.json", 1 << 20)
+
+
+def test_large_document(spark, tmp_path):
+    """One document gives many rows on many tasks."""
+    one = [[600_000.0 * i, 1.0, 2.0, 3.0, 4.0, 0, 0, 0, 0, 0, 0, 0, 7] for i in range(50)]
+    (tmp_path / "t.json").write_text(json.dumps([one] * 400 + [[]]))
+    rows = readers.trajectories_json(spark, str(tmp_path), split=100_000)
+    assert rows.rdd.getNumPartitions() > 5 and rows.count() == 400
+    assert frames.flattened(rows).groupBy("frame_id").count().where("count = 400").count() == 50
+    (tmp_path / "u.json").write_text("[[[1, 2]")
+    with pytest.raises(Exception, match="u.json"):
+        readers.trajectories_json(spark, str(tmp_path)).collect()
+
+
 def test_utc_whatever_the_zone(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")

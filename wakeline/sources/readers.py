@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.operators.tracks import parsed_time
+from wakeline.sources import archives
+from wakeline.sources.headers import NoFiles, by_name
 
 RAW = "MMSI long, BaseDateTime string, LAT double, LON double, SOG double, Heading double, Status string"
 FRAMES = "frame_id int, vessel_id long, LON double, LAT double, SOG double, Heading double"
@@ -29,45 +27,32 @@ def _reports(raw: DataFrame, nrows: int | None) -> DataFrame:
     return named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= nrows).drop("_n")
 
 
-def reports_csv(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
-    """Plain CSV reports by header name; columns beyond the required ones are tolerated."""
-    header = spark.read.option("header", True).csv(path)
-    missing = [c for c in _NAMES if c not in header.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return _reports(header.select(*_NAMES, F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("ordinal")), nrows)
+def reports_csv(spark: SparkSession, path: str | list[str], nrows: int | None = None) -> DataFrame:
+    """Plain CSV reports, each file by its own header; columns beyond the required ones are tolerated."""
+    return _reports(by_name(spark, path, tuple(_NAMES)), nrows)
 
 
 def reports_zip(spark: SparkSession, path: str, inner: str | None = None, nrows: int | None = None, names: str = "AIS_*.[zZ][iI][pP]") -> DataFrame:
-    """Zip archives: the member named, else the first that ends in .csv; ValueError if there is none. Rows leave in pieces."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, body in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(body)) as z:
-                    found = [n for n in z.namelist() if (n == inner if inner else n.lower().endswith(".csv"))]
-                    if not found:
-                        raise ValueError(f"no CSV member in {name}")
-                    at = 0
-                    with z.open(found[0]) as member:
-                        for part in pd.read_csv(member, usecols=list(_NAMES), dtype=str, chunksize=50_000, nrows=nrows):
-                            yield part.assign(source_file=name, ordinal=range(at, at + len(part)))[[*_NAMES, "source_file", "ordinal"]]
-                            at += len(part)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("path", "content")
-    return _reports(files.mapInPandas(unpack, ", ".join([*(f"{c} string" for c in _NAMES), "source_file string", "ordinal long"])), None)
+    """Zip archives: the member named, else the first that ends in .csv; ValueError if there is none. See sources/archives.py."""
+    archives.register(spark)
+    told = {"names": names} | ({"inner": inner} if inner else {}) | ({"nrows": nrows} if nrows is not None else {})
+    return _reports(spark.read.format("reports_zip").options(**told).load(path), None)
 
 
 def frames_csv(spark: SparkSession, path: str, names: str = "*.[cC][sS][vV]", compat_float_ids: bool = False) -> DataFrame:
-    """Frame tables of a folder, measurements in single precision; a folder without such files is an error.
+    """Frame tables of a folder, each file by its own header, measurements in single precision; a folder without such files, a file
+    that lacks a column and a field that is no number are errors.
 
     compat_float_ids: ids in single precision, too, in which some ids of nine digits fall together.
     """
-    df = spark.read.schema(FRAMES).option("header", True).option("pathGlobFilter", names).csv(path)
-    if not df.inputFiles():
-        raise ValueError(f"no frame tables under {path}")
-    number = lambda c: F.col(c).cast("float").cast("long").alias(c) if compat_float_ids else F.col(c)
-    return df.select(F.col("_metadata.file_path").alias("source_file"), "frame_id", number("vessel_id"), *[F.col(c).cast("float").alias(c.lower()) for c in ("LON", "LAT", "SOG", "Heading")])
+    kinds = dict(x.split() for x in FRAMES.split(", "))
+    try:
+        df = by_name(spark, path, tuple(kinds), names)
+    except NoFiles as none:
+        raise ValueError(f"no frame tables under {path}") from none
+    number = lambda c: F.col(c).cast("double").cast(kinds[c])
+    vessel = F.col("vessel_id").cast("float").cast("long") if compat_float_ids else F.coalesce(F.col("vessel_id").try_cast("long"), number("vessel_id"))
+    return df.select("source_file", number("frame_id").alias("frame_id"), vessel.alias("vessel_id"), *[F.col(c).cast("float").alias(c.lower()) for c in ("LON", "LAT", "SOG", "Heading")])
 
 
 def split_frames_csv(spark: SparkSession, root: str, splits: tuple[str, ...] = SPLITS, names: str = "*.[cC][sS][vV]") -> DataFrame:
@@ -75,9 +60,12 @@ def split_frames_csv(spark: SparkSession, root: str, splits: tuple[str, ...] = S
     return reduce(DataFrame.unionByName, [frames_csv(spark, f"{root}/{s}", names).withColumn("split", F.lit(s)) for s in splits])
 
 
-def trajectories_json(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.col("_metadata.file_path").alias("source_file"), F.from_json("value", "array<array<array<double>>>").alias("trajectories"))
+def trajectories_json(spark: SparkSession, path: str, names: str = "*.json", split: int = archives.SPLIT_BYTES) -> DataFrame:
+    """A row for each trajectory of nested documents, cut while they are read; trajectories is an array of that one. Malformed
+    documents are errors. See sources/archives.py."""
+    archives.register(spark)
+    rows = spark.read.format("nested_trajectories").options(names=names, split=split).load(path)
+    return rows.select("source_file", "position", F.array("trajectory").alias("trajectories"))
 
 
 def stats_json(spark: SparkSession, path: str) -> DataFrame:
