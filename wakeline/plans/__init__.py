@@ -1,0 +1,5 @@
+"""Jobs and registered queries."""
+
+from wakeline.plans import graphs, tracks
+
+QUERIES = tracks.QUERIES | graphs.QUERIES
