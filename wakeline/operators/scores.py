@@ -89,17 +89,35 @@ def gaussian_nll(x: Column, y: Column, mx: Column, my: Column, log_sx: Column, l
     return -F.log(F.greatest(density, F.lit(1e-20)))
 
 
+def gaussian_loss(rows: DataFrame, nll: Column) -> DataFrame:
+    """loss: the mean of the negative log-likelihoods of all rows."""
+    return rows.agg(F.avg(nll).alias("loss"))
+
+
 def batch_losses(losses: DataFrame, batch: int = 32) -> DataFrame:
     """losses: kind, position (from 0), loss. The sum of each batch over the full batch size, a last short one, too."""
     own = losses.groupBy("kind", F.floor(F.col("position") / batch).alias("batch"))
     return own.agg((F.sum("loss") / batch).alias("loss"))
 
 
-def samples(params: DataFrame, k: int = 20, seed: int = 0) -> DataFrame:
-    """k draws for each row of mx, my, log_sx, log_sy, raw_rho."""
-    drawn = params.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumns({"_a": F.randn(seed), "_b": F.randn(seed + 1)})
+def normal(seed: int, keys: tuple[Column, ...]) -> tuple[Column, Column]:
+    """Two independent standard normal draws that the seed and the keys decide, alike on any partitioning: two 52-bit parts of the
+    keys' MD5 as uniform numbers inside (0, 1), turned by Box and Muller's formula. Null keys count as empty text."""
+    told = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    uniform = lambda at: (F.conv(F.substring(told, at, 13), 16, 10).cast("long") + 0.5) / 2**52
+    away, turn = F.sqrt(-2 * F.log(uniform(1))), 2 * 3.141592653589793 * uniform(14)
+    return away * F.cos(turn), away * F.sin(turn)
+
+
+def samples(params: DataFrame, k: int = 20, seed: int = 0, keys: tuple[str, ...] = ("ordinal",)) -> DataFrame:
+    """k draws for each row of mx, my, log_sx, log_sy, raw_rho; the row's keys and the draw's number decide it."""
+    drawn = params.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    a, b = normal(seed, (*[F.col(c) for c in keys], F.col("sample")))
+    drawn = drawn.withColumns({"_a": a, "_b": b})
     rho = F.tanh("raw_rho")
-    return drawn.withColumns({"lon": F.col("mx") + F.exp("log_sx") * F.col("_a"), "lat": F.col("my") + F.exp("log_sy") * (rho * F.col("_a") + F.sqrt(1 - rho**2) * F.col("_b"))}).drop("_a", "_b")
+    # Fixed value: the least 1 - rho^2.
+    free = F.sqrt(F.greatest(1 - rho**2, F.lit(1e-6)))
+    return drawn.withColumns({"lon": F.col("mx") + F.exp("log_sx") * F.col("_a"), "lat": F.col("my") + F.exp("log_sy") * (rho * F.col("_a") + free * F.col("_b"))}).drop("_a", "_b")
 
 
 def against_published(spark: SparkSession, scores: DataFrame) -> DataFrame:

@@ -47,35 +47,74 @@ def segments(df: DataFrame, max_gap_s: int) -> DataFrame:
     return df.withColumn("_new", F.when(gap > max_gap_s * 1_000_000, 1).otherwise(0)).withColumn("segment", F.sum("_new").over(track)).drop("_new")
 
 
-def on_grid(df: DataFrame, step_s: int, rolling: int = 5) -> DataFrame:
-    """Segments of two rows or more on a regular grid from their first time: positions linear in time and then held, speed and
-    heading by a centred rolling mean and then forward and backward fill, rows that stay empty dropped."""
-    key = [*TRACK, "segment"]
-    bounds = df.groupBy(*key).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).where("n >= 2")
-    grid = bounds.select(*key, F.explode(F.sequence("lo", "hi", F.make_dt_interval(secs=F.lit(step_s)))).alias("ts"))
-    rows = grid.join(df.select(*key, "ts", "lon", "lat", "sog", "heading", "status"), [*key, "ts"], "left")
+#: Grid points that one task fills; longer segments are cut into blocks of so many.
+BLOCK_POINTS = 1 << 16
+_POSITION, _MEASURED = ("lon", "lat"), ("sog", "heading")
+_FILLED = (*_POSITION, *_MEASURED, "status")
+
+
+def _known(rows: DataFrame, key: list[str], rolling: tuple[int, int]) -> DataFrame:
+    """Of each row of a key the last values known up to it, <column>_a, and the first from it on, <column>_b. Positions come with their
+    times; speed and heading are known where the rolling mean is. Looking ahead is looking back in the other order: frames that
+    only grow cost one step a row."""
     order = Window.partitionBy(*key).orderBy("ts")
-    # Looking ahead is looking back in the other order: frames that only grow cost one step a row.
     back, ahead = (o.rowsBetween(Window.unboundedPreceding, 0) for o in (order, Window.partitionBy(*key).orderBy(F.desc("ts"))))
-    around = order.rowsBetween(-(rolling - 1 - (rolling - 1) // 2), (rolling - 1) // 2)
-    now = F.unix_micros("ts")
-
-    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(now.alias("t"), F.col(c).alias("x")))
-    smooth = lambda c: F.coalesce(F.col(c), F.avg(c).over(around))
+    around = order.rowsBetween(-rolling[0], rolling[1])
+    timed = {c: F.when(F.col(c).isNotNull(), F.struct(F.unix_micros("ts").alias("t"), F.col(c).alias("x"))) for c in _POSITION}
     filled = lambda c, w: F.last(c, ignorenulls=True).over(w)
-    rows = rows.select(*key, "ts", "lon", "lat", *[filled(known(c), back).alias(f"_{c}_a") for c in ("lon", "lat")], smooth("sog").alias("sog"), smooth("heading").alias("heading"), filled("status", back).alias("status"))
-    rows = rows.withColumns({c: filled(c, back) for c in ("sog", "heading")})
-    rows = rows.withColumns({f"_{c}_b": filled(known(c), ahead) for c in ("lon", "lat")} | {c: filled(c, ahead) for c in ("sog", "heading", "status")})
+    smooth = rows.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(around)) for c in _MEASURED} | {f"_{c}_a": filled(k, back) for c, k in timed.items()} | {"_status_a": filled("status", back)})
+    held = smooth.withColumns({f"_{c}_a": filled(c, back) for c in _MEASURED})
+    return held.withColumns({f"_{c}_b": filled(timed.get(c, F.col(c)), ahead) for c in _FILLED})
+
+
+def _interpolated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Positions linear between the known ones and then held, the rest from before, else from after; rows that stay empty go."""
+    now = F.unix_micros("ts")
 
     def linear(c: str):
         a, b = F.col(f"_{c}_a"), F.col(f"_{c}_b")
-        return F.coalesce(F.col(c), a["x"] + (b["x"] - a["x"]) * ((now - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0))), a["x"])
-
-    return rows.select(*key, "ts", linear("lon").alias("lon"), linear("lat").alias("lat"), "sog", "heading", "status").na.drop(subset=["lon", "lat", "sog", "heading"])
+        return F.coalesce(F.col(c), a["x"] + (b["x"] - a["x"]) * ((now - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0))), a["x"]).alias(c)
+
+    rest = [F.coalesce(f"_{c}_a", f"_{c}_b").alias(c) for c in (*_MEASURED, "status")]
+    return rows.select(*key, "ts", *map(linear, _POSITION), *rest).na.drop(subset=[*_POSITION, *_MEASURED])
+
+
+def _in_blocks(bounds: DataFrame, own: DataFrame, key: list[str], step: int, rolling: tuple[int, int], points: int) -> DataFrame:
+    """Long segments: each block of grid points is filled by a task of its own, with copies of the rows beside it for the rolling
+    mean. What a block has not seen itself comes from the blocks around, which tell their last and first known values in a row each."""
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / points))
+    parts = bounds.select(*key, "lo", "top", F.explode(numbers).alias("_part"))
+    places = F.sequence(F.col("_part") * points, F.least(F.col("top"), F.col("_part") * points + points - 1))
+    grid = parts.select(*key, F.explode(places).alias("_i"), "lo").select(*key, "_i", F.timestamp_micros(F.unix_micros("lo") + F.col("_i") * step).alias("ts"))
+    beside = F.sequence(F.greatest(F.floor((F.col("_i") - rolling[1]) / points), F.lit(0)), F.floor((F.col("_i") + rolling[0]) / points))
+    block = [*key, "block"]
+    rows = grid.join(own, [*key, "ts"], "left").withColumn("block", F.explode(beside)).repartition(*block)
+    rows = _known(rows, block, rolling).where(F.floor(F.col("_i") / points) == F.col("block"))
+    path = Window.partitionBy(*key)
+    told = lambda way, c: F.last(c, ignorenulls=True).over(path.orderBy(way).rowsBetween(Window.unboundedPreceding, 0))
+    ends, starts = rows.where(F.col("_i") % points == points - 1), rows.where((F.col("_i") % points == 0) & (F.col("_i") > 0))
+    before = ends.select(*key, (F.col("block") + 1).alias("block"), *[told(F.col("block"), f"_{c}_a").alias(f"_{c}_c") for c in _FILLED])
+    after = starts.select(*key, (F.col("block") - 1).alias("block"), *[told(F.desc("block"), f"_{c}_b").alias(f"_{c}_d") for c in _FILLED])
+    both = rows.join(before, block, "left").join(after, block, "left")
+    return both.withColumns({f"_{c}_a": F.coalesce(f"_{c}_a", f"_{c}_c") for c in _FILLED} | {f"_{c}_b": F.coalesce(f"_{c}_b", f"_{c}_d") for c in _FILLED})
+
+
+def on_grid(df: DataFrame, step_s: int, rolling: int = 5, points: int = BLOCK_POINTS) -> DataFrame:
+    """Segments of two rows or more on a regular grid from their first time: positions linear in time and then held, speed and
+    heading by a centred rolling mean and then forward and backward fill, rows that stay empty dropped. Segments of more than
+    `points` grid points are filled in blocks, with the same result."""
+    key, step = [*TRACK, "segment"], step_s * 1_000_000
+    around = (rolling - 1 - (rolling - 1) // 2, (rolling - 1) // 2)
+    bounds = df.groupBy(*key).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).where("n >= 2")
+    bounds = bounds.withColumn("top", F.floor((F.unix_micros("hi") - F.unix_micros("lo")) / step))
+    own = df.select(*key, "ts", *_FILLED)
+    short = bounds.where(F.col("top") < points).select(*key, F.explode(F.sequence("lo", "hi", F.make_dt_interval(secs=F.lit(step_s)))).alias("ts"))
+    whole = _interpolated(_known(short.join(own, [*key, "ts"], "left"), key, around), key)
+    return whole.unionByName(_interpolated(_in_blocks(bounds.where(F.col("top") >= points), own, key, step, around, points), key))
 
 
-def resample(df: DataFrame, step_s: int, max_gap_s: int, rolling: int = 5) -> DataFrame:
-    return on_grid(segments(last_of_duplicates(df), max_gap_s), step_s, rolling)
+def resample(df: DataFrame, step_s: int, max_gap_s: int, rolling: int = 5, points: int = BLOCK_POINTS) -> DataFrame:
+    return on_grid(segments(last_of_duplicates(df), max_gap_s), step_s, rolling, points)
 
 
 def shared_times(df: DataFrame, k: int) -> DataFrame:

@@ -22,14 +22,26 @@ def rounded4(c: Column) -> Column:
     return (F.rint(c.cast("float") * F.lit(10000).cast("float")) / 1e4).cast("float")
 
 
-def members(indexed: DataFrame, length: int, skip: int = 1) -> DataFrame:
+#: Frames of a track that one task starts windows in.
+SPAN = 4096
+
+
+def spans(indexed: DataFrame, length: int, span: int) -> DataFrame:
+    """The rows with span, the range of frames whose windows need them: their own, and the one before where it reaches over by the
+    length of a window less one. A track of any length is dealt over as many tasks as it has spans."""
+    own = F.floor(F.col("idx") / span)
+    reached = F.greatest(F.lit(0), F.floor((F.col("idx") - (length - 1)) / span))
+    return indexed.withColumn("span", F.explode(F.sequence(reached, own)))
+
+
+def members(indexed: DataFrame, length: int, skip: int = 1, span: int = SPAN) -> DataFrame:
     """source_file, start, vessel_id, path: entities with exactly one row in each of the window's frames."""
-    ahead = Window.partitionBy("source_file", "vessel_id").orderBy("idx").rangeBetween(0, length - 1)
-    seen = indexed.withColumns({
+    ahead = Window.partitionBy("source_file", "vessel_id", "span").orderBy("idx").rangeBetween(0, length - 1)
+    seen = spans(indexed, length, span).withColumns({
         "_n": F.count("*").over(ahead), "_last": F.max("idx").over(ahead),
         "path": F.collect_list(F.struct("idx", *FEATURES)).over(ahead),
     })
-    full = seen.where((F.col("_n") == length) & (F.col("_last") == F.col("idx") + length - 1) & (F.col("idx") % skip == 0))
+    full = seen.where((F.floor(F.col("idx") / span) == F.col("span")) & (F.col("_n") == length) & (F.col("_last") == F.col("idx") + length - 1) & (F.col("idx") % skip == 0))
     return full.select("source_file", F.col("idx").alias("start"), "vessel_id", "path").dropDuplicates(["source_file", "start", "vessel_id"])
 
 
@@ -70,6 +82,18 @@ def shuffled(found: DataFrame, seed: int = 0) -> DataFrame:
     return found.orderBy(F.xxhash64(F.lit(seed), "source_file", "start"), "source_file", "start", "vessel_id")
 
 
+def shuffle_order(found: DataFrame, seed: int = 0) -> DataFrame:
+    """source_file, start, position: the number from 0 of each window in an order that the seed decides. Windows are ranked in parts
+    by the first digits of a hash, so no task holds all of them."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "source_file", F.col("start").cast("string")).cast("binary"))
+    one = found.select("source_file", "start").distinct().withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 3))
+    own = one.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("_key", "source_file", "start")) - 1)
+    # At most 4096 parts are summed up in one task.
+    sizes = one.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    return own.join(ahead, "_part").select("source_file", "start", (F.col("_own") + F.col("_ahead")).alias("position"))
+
+
 def split_paths(found: DataFrame, observed: int, predicted: int) -> DataFrame:
     """The observed and the predicted part of every path, and the mask of ones."""
     return found.select("source_file", "start", "vessel_id", F.slice("path", 1, observed).alias("observed"), F.slice("path", observed + 1, predicted).alias("predicted"), F.array_repeat(F.lit(1.0), observed + predicted).alias("mask"))
