@@ -30,6 +30,23 @@ class WindowParams:
         return self.observed + self.predicted
 
 
+@dataclass(frozen=True)
+class EvaluationParams:
+    """What an evaluation reads and how: frame tables in root/dataset/split, windows, and the minutes of a step."""
+
+    root: str
+    dataset: str
+    split: str = "test"
+    tag: str = "run"
+    windows: WindowParams = WindowParams(predicted=5)
+    step_minutes: int = 10
+    slots: int = 5
+
+    @property
+    def folder(self) -> str:
+        return f"{self.root}/{self.dataset}/{self.split}"
+
+
 #: Boxes of the named regions: latitudes, longitudes.
 REGIONS = {
     "southwestern": ((28.0, 35.0), (-120.0, -114.0)),

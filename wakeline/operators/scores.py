@@ -127,6 +127,21 @@ def against_published(spark: SparkSession, scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(known), "horizon", "left").withColumn("ratio", F.when(F.col("published").isNull() | F.col("distance").isNull(), "N/A").otherwise(ratio))
 
 
+def compared(dist: DataFrame, predicted: int, step_minutes: int = 10, slots: int = 5) -> DataFrame:
+    """measure, horizon (minutes), distance, published, ratio, windows: each step's mean distance, then ADE and FDE over all steps,
+    beside the published figures of their horizon."""
+    spark = dist.sparkSession
+    whole = ade_fde(dist, predicted)
+    steps = by_step(dist, slots).crossJoin(F.broadcast(whole.select("windows"))).select(F.concat(F.lit("step "), "step").alias("measure"), (F.col("step") * step_minutes).alias("horizon"), "distance", F.lit("ADE").alias("kind"), "windows")
+    both = whole.select("windows", F.explode(F.array(*[F.struct(F.lit(k.upper()).alias("measure"), F.col(k).alias("distance")) for k in ("ade", "fde")])).alias("x"))
+    rows = steps.unionByName(both.select("x.measure", F.lit(predicted * step_minutes).alias("horizon"), "x.distance", F.col("x.measure").alias("kind"), "windows"))
+    # A handful of fixed rows.
+    known = spark.createDataFrame([(h, k, v) for h, (a, f) in PUBLISHED.items() for k, v in (("ADE", a), ("FDE", f))], "horizon int, kind string, published double")
+    ratio = F.coalesce(F.format_string("%.2fx", F.when(F.col("distance").isNotNull(), F.col("distance") / F.col("published"))), F.lit("N/A"))
+    told = F.when(F.col("distance").isNull() | F.col("published").isNull(), "N/A").otherwise(ratio)
+    return rows.join(F.broadcast(known), ["horizon", "kind"], "left").select("measure", "horizon", "distance", "published", told.alias("ratio"), "windows")
+
+
 def best_epoch(log: DataFrame) -> DataFrame:
     """The epoch of least loss for each kind of loss; of ties the first."""
     return log.groupBy("kind").agg(F.min_by("epoch", F.struct("loss", "epoch")).alias("epoch"), F.min("loss").alias("loss"))

@@ -125,10 +125,22 @@ def residual_matrix(n: int) -> np.ndarray:
     return np.eye(n) - x @ np.linalg.solve(x.T @ x, x.T)
 
 
+def curvature(path: Column, predicted: int) -> Column:
+    """The squared error of the best quadratics through the last points of lon and lat."""
+    m = residual_matrix(predicted)
+    last = F.slice(path, -predicted, predicted)
+    error = lambda c: sum((last[i][c].cast("double") * last[j][c].cast("double") * float(m[i, j]) for i in range(predicted) for j in range(predicted)), F.lit(0.0))
+    return error("lon") + error("lat")
+
+
 def non_linear(found: DataFrame, predicted: int, threshold: float = 0.002) -> DataFrame:
     """1 if a quadratic misses the last points of lon and lat by at least threshold (sum of squares)."""
-    m = residual_matrix(predicted)
-    last = F.slice("path", -predicted, predicted)
-    error = lambda c: sum((last[i][c] * last[j][c] * float(m[i, j]) for i in range(predicted) for j in range(predicted)), F.lit(0.0))
-    total = error("lon") + error("lat")
+    total = curvature(F.col("path"), predicted)
     return found.select("source_file", "start", "vessel_id", total.alias("residual"), (total >= threshold).cast("int").alias("non_linear"))
+
+
+def differences(path: Column) -> Column:
+    """A path's first differences; those of its first step are 0."""
+    zero = F.lit(0.0)
+    one = lambda x, i: F.struct(*[F.when(i == 0, zero.cast("float")).otherwise((x[c] - F.get(path, i - 1)[c]).cast("float")).alias(c) for c in FEATURES])
+    return F.transform(path, one)

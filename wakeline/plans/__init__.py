@@ -1,5 +1,5 @@
 """Jobs and registered queries."""
 
-from wakeline.plans import graphs, tracks
+from wakeline.plans import files, graphs, learning, tracks
 
-QUERIES = tracks.QUERIES | graphs.QUERIES
+QUERIES = tracks.QUERIES | graphs.QUERIES | learning.QUERIES | files.QUERIES
