@@ -52,7 +52,8 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and lost executors lose nothing.
 
-    The shuffle files of the write go when it ends. That costs nothing, as df is not run again.
+    The shuffle files of the write go when it ends. That costs nothing, as df is not run again. A table that nobody drops goes when
+    the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -62,6 +63,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
