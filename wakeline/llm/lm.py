@@ -36,7 +36,9 @@ from wakeline.llm.trie import CODES, Trie, code
 
 FOLDS, HELD_FOLD = 7, 2
 #: Tokens of a block, about so many token occurrences of a bucket of trigrams, and bytes of text for each bucket of words.
-BLOCK, BUCKET, WORD_BYTES = 1 << 20, 1 << 19, 16 << 20
+BLOCK, BUCKET, WORD_BYTES = 1 << 21, 1 << 19, 16 << 20
+#: Trigrams that a trie is asked for at once.
+ASKED = 1 << 17
 #: A middle word with more occurrences than this is dealt over several buckets.
 HOT = 1 << 22
 #: Strengths of the lower orders: words behind bigrams, bigrams behind trigrams. Chosen on one seventh of the learning rows of sf0.1.
@@ -47,15 +49,15 @@ U64 = np.uint64
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte by byte plane, compressed."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(arrays[0])).tobytes(), *planes]))
+    """Arrays, byte by byte plane, compressed."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *planes]))
 
 
 def expanded(body: bytes, *kinds: str) -> list[np.ndarray]:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    n, at, out = int(data[:8].view(np.int64)[0]), 8, []
-    for kind in kinds:
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(data[:at].view(np.int64).tolist(), kinds, strict=True):
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
         at += n * size
@@ -276,47 +278,38 @@ class Model:
             to = _bucket_of(own, a, b, c, n, split)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(n + 1))
-            p1 = code((own.count[c] + 1) / (total + known + 1))
-            columns = [own.word[b], own.word[c], own.word[a], p1, learned.astype(np.uint32)]
+            p1 = code((own.count + 1) / (total + known + 1))
+            counts = []
             if row.get("pairs"):
                 _, _, places = _pairs(own, split)
                 sums = np.concatenate([expanded(r["body"], "i8", "i8")[1] for r in sorted(row["pairs"], key=lambda r: r["bucket"])])
-                columns += [np.where(places[0] >= 0, own.count[b], 0), *[np.where(p >= 0, sums[np.maximum(p, 0)], 0) for p in places]]
+                counts = [np.where(places[0] >= 0, own.count[b], 0), *[np.where(p >= 0, sums[np.maximum(p, 0)], 0) for p in places]]
             rows = []
             for bucket in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[bucket] : cuts[bucket + 1]]
-                # The first byte says whether hot words' counts come along.
-                rows.append((own.block, bucket, bytes([len(columns) > 5]) + squeezed(*[x[at] for x in columns])))
+                rows.append((own.block, bucket, _asking(own, a[at], b[at], c[at], p1, learned[at], [x[at] for x in counts])))
             return _record({"block": pa.int64(), "bucket": pa.int32(), "body": pa.binary()}, rows)
 
         return self._of_blocks(told, "block long, bucket int, body binary")
 
-    def _by_bucket(self, told: Callable[[int, Trie | bytes, list], Iterator[tuple]], schema: str, names: dict[str, pa.DataType]) -> DataFrame:
+    def _by_bucket(self, told: Callable[[int, _Asked, bytes], Iterator[tuple]], names: dict[str, pa.DataType], schema: str) -> DataFrame:
         priors = self.priors
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket, rows in _buckets(batches):
-                asked = []
-                for block, body in rows:
-                    parts = expanded(body[1:], "i8", "i8", "i8", "u2", "u4", *(["i8"] * 3 if body[0] else []))
-                    asked.append((block, parts[:5], np.array(parts[5:]) if body[0] else None))
-                yield _record(names, list(told(bucket, _built(asked, priors), asked)))
+                asked = _Asked(rows)
+                yield _record(names, list(told(bucket, asked, asked.trie(priors))))
 
         return _dealt(self.asked(), self.n_buckets).mapInArrow(each, schema)
 
     def levels(self) -> DataFrame:
         """bucket, trie: the model itself, one buffer of compact levels for each bucket (see Trie)."""
-        return self._by_bucket(lambda bucket, trie, _: iter([(bucket, trie)]), "bucket int, trie binary", {"bucket": pa.int32(), "trie": pa.binary()})
+        return self._by_bucket(lambda bucket, _, trie: iter([(bucket, trie)]), {"bucket": pa.int32(), "trie": pa.binary()}, "bucket int, trie binary")
 
     def answers(self) -> DataFrame:
         """block, bucket, body: the codes of the block's trigrams in the order in which it asked."""
-
-        def told(bucket: int, trie: bytes, asked: list) -> Iterator[tuple]:
-            model = Trie(trie)
-            for block, (w2, w3, w1, p1, _), _ in asked:
-                yield block, bucket, squeezed(model.codes(w1, w2, w3, p1.astype(np.int64)))
-
-        return self._by_bucket(told, "block long, bucket int, body binary", {"block": pa.int64(), "bucket": pa.int32(), "body": pa.binary()})
+        told = lambda bucket, asked, trie: ((block, bucket, body) for block, body in asked.answers(Trie(trie)))
+        return self._by_bucket(told, {"block": pa.int64(), "bucket": pa.int32(), "body": pa.binary()}, "block long, bucket int, body binary")
 
     def scores(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
@@ -337,16 +330,51 @@ class Model:
         return self._of_blocks(told, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", {"codes": answers})
 
 
-def _built(asked: list[tuple[int, list[np.ndarray], np.ndarray | None]], priors: tuple[float, float]) -> bytes:
-    """The trie of the learning rows' trigrams of a bucket, whose counts in blocks are added up."""
-    some = [(parts, told, np.flatnonzero((parts[4] > 0) | (told is not None and told.max(axis=0) > 0))) for _, parts, told in asked]
-    w2, w3, w1, p1, n = (np.concatenate([parts[i][at] for parts, _, at in some]) for i in range(5))
-    told = np.concatenate([np.zeros((3, len(at)), np.int64) if given is None else given[:, at] for _, given, at in some], axis=1)
-    order = np.lexsort((w1, w3, w2))
-    w1, w2, w3, p1, n, told = w1[order], w2[order], w3[order], p1[order], n[order].astype(np.int64), told[:, order]
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(n)), bool), (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (w3[1:] != w3[:-1])]))
-    whole = np.add.reduceat(n, at) if len(at) else n
-    return Trie.built(w1[at], w2[at], w3[at], whole, p1[at], priors, told[:, at])
+def _asking(own: _Block, a: np.ndarray, b: np.ndarray, c: np.ndarray, p1: np.ndarray, learned: np.ndarray, counts: list[np.ndarray]) -> bytes:
+    """A block's trigrams for a bucket: the words at the sides by their places in a list of numbers and codes, the middle ones, which
+    come in runs, by run. The first byte says whether hot words' counts come along."""
+    sides = own.word[np.concatenate([c, a])]
+    numbers, first, place = np.unique(sides, return_index=True, return_inverse=True)
+    known = p1[np.concatenate([c, a])[first]]
+    turn = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    runs = np.diff(np.append(turn, len(b)))
+    return bytes([bool(counts)]) + squeezed(np.diff(numbers, prepend=0), known, place[: len(c)].astype(np.uint32), place[len(c) :].astype(np.uint32), own.word[b[turn]], runs.astype(np.uint32), learned.astype(np.uint32), *counts)
+
+
+class _Asked:
+    """The trigrams that all blocks ask a bucket for, each once, with their counts in the learning rows of all blocks."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]) -> None:
+        self.blocks, parts, told = [b for b, _ in rows], [], []
+        for _, body in rows:
+            steps, known, third, first, middle, runs, learned, *counts = expanded(body[1:], "i8", "u2", "u4", "u4", "i8", "u4", "u4", *["i8"] * (3 if body[0] else 0))
+            numbers = np.cumsum(steps)
+            parts.append((numbers[first], np.repeat(middle, runs), numbers[third], known[third], learned))
+            told.append(np.array(counts) if counts else None)
+        self.sizes = [len(p[0]) for p in parts]
+        w1, w2, w3, p1, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        order = np.lexsort((w1, w3, w2))
+        w1, w2, w3 = w1[order], w2[order], w3[order]
+        fresh = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (w3[1:] != w3[:-1])])
+        at = np.flatnonzero(fresh)
+        self.one = np.empty(len(order), np.int64)
+        self.one[order] = np.cumsum(fresh) - 1
+        self.words, self.p1, self.n = (w1[at], w2[at], w3[at]), p1[order[at]].astype(np.int64), np.add.reduceat(n[order].astype(np.int64), at)
+        self.told = None
+        if any(t is not None for t in told):
+            self.told = np.concatenate([np.zeros((3, k), np.int64) if t is None else t for t, k in zip(told, self.sizes, strict=True)], axis=1)[:, order[at]]
+
+    def trie(self, priors: tuple[float, float]) -> bytes:
+        """The levels of the learning rows' trigrams, and of the hot words' pairs that are counted elsewhere."""
+        at = np.flatnonzero((self.n > 0) if self.told is None else (self.n > 0) | (self.told.max(axis=0) > 0))
+        return Trie.built(*(w[at] for w in self.words), self.n[at], self.p1[at], priors, None if self.told is None else self.told[:, at])
+
+    def answers(self, trie: Trie) -> Iterator[tuple[int, bytes]]:
+        parts = [slice(i, i + ASKED) for i in range(0, len(self.p1), ASKED)]
+        codes = np.concatenate([trie.codes(*(w[p] for w in self.words), self.p1[p]) for p in parts])[self.one]
+        cuts = np.cumsum([0, *self.sizes])
+        for block, lo, hi in zip(self.blocks, cuts[:-1], cuts[1:], strict=True):
+            yield block, squeezed(codes[lo:hi])
 
 
 def score(docs: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_id", priors: tuple[float, float] = PRIORS, split: int = HOT) -> DataFrame:

@@ -69,10 +69,10 @@ class Monotone:
         at = 64 * word + _in_word(self.high[word], i - self.ones[word])
         return ((at - i) << self.bits) + self.lows(i).astype(np.int64)
 
-    def _upto(self, h: np.ndarray) -> np.ndarray:
-        """How many elements have a high part of h or less."""
+    def _zero(self, h: np.ndarray) -> np.ndarray:
+        """Place of the zero of rank h: it ends the elements with a high part of h."""
         word = np.searchsorted(self.zeros, h, side="right") - 1
-        return 64 * word + _in_word(~self.high[word], h - self.zeros[word]) - h
+        return 64 * word + _in_word(~self.high[word], h - self.zeros[word])
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of each value, by search for its successor; -1 where the successor is another value."""
@@ -82,8 +82,14 @@ class Monotone:
         h = x >> self.bits
         some = np.flatnonzero(h < self.zeros[-1])
         h, low = h[some], (x[some] & ((1 << self.bits) - 1)).astype(U64)
-        end = self._upto(h)
-        lo, hi = np.where(h > 0, self._upto(np.maximum(h - 1, 0)), 0), end.copy()
+        place = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0)
+        lo = place - h
+        # The elements with this high part are the ones up to the next zero, which seldom lies in another word.
+        rest = ~self.high[place >> 6] >> (place & 63).astype(U64)
+        hi = lo + np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        over = np.flatnonzero(rest == 0)
+        hi[over] = self._zero(h[over]) - h[over]
+        end = hi.copy()
         while len(wide := np.flatnonzero(lo < hi)):
             mid = (lo[wide] + hi[wide]) >> 1
             less = self.lows(mid) < low[wide]
@@ -201,10 +207,14 @@ class Trie:
 
     def codes(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, p1: np.ndarray) -> np.ndarray:
         """The code of -log10 p(w3|w1 w2): the trigram's own, or back-off weights and the next lower order that is known."""
-        word = self.words.find(w2)
-        second = self.after.find(word, w3)
+        # Neighbours that share words share look-ups; sorted queries make the most of it.
+        change = lambda *keys: np.concatenate([np.ones(min(1, len(w2)), bool), np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+        new2, new23 = change(w2), change(w2, w3)
+        word = self.words.find(w2[new2])[np.cumsum(new2) - 1]
+        second = self.after.find(word[new23], w3[new23])[np.cumsum(new23) - 1]
         context = self.before.find(word, w1)
-        third = self.next.find(np.where(second >= 0, context, -1), np.where(second >= 0, second - self.after.start[np.maximum(word, 0)], 0) if len(self.after.start) else second)
+        near = np.where(second >= 0, second - (self.after.start[np.maximum(word, 0)] if len(self.after.start) else 0), 0)
+        third = self.next.find(np.where(second >= 0, context, -1), near)
         own = lambda codes, at: np.where(at >= 0, codes[np.maximum(at, 0)].astype(np.int64), 0) if len(codes) else np.zeros(len(at), np.int64)
         lower = np.where(second >= 0, own(self.code2, second), own(self.back2, word) + p1)
         return np.minimum(np.where(third >= 0, own(self.code3, third), own(self.back3, context) + lower), 65535).astype(np.uint16)
