@@ -170,7 +170,7 @@ class _Block:
     def __init__(self, row: dict, bits: int) -> None:
         self.block, self.ids, self.learn = row["block"], row["ids"], np.array(row["learn"], bool)
         self.lengths = np.array(row["lengths"], np.int64)
-        self.tokens = expanded(row["tokens"], "u4")[0].astype(np.int64)
+        self.tokens = expanded(row["tokens"], "u4")[0].view(np.int32)
         parts = [(r["bucket"], *expanded(r["body"], "i8", "i8")) for r in sorted(row["words"], key=lambda r: r["bucket"])]
         self.count = np.concatenate([p[2] for p in parts])
         rank = np.concatenate([p[1] for p in parts])
@@ -181,15 +181,19 @@ class _Block:
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct trigrams as places of their words, in a fixed order; the one of each token; and counts in the learning rows."""
-        before = np.concatenate([[self.begin], self.tokens])[:-1]
         starts = np.cumsum(self.lengths) - self.lengths
+        begin = np.array([self.begin], np.int32)
+        before = np.concatenate([begin, self.tokens[:-1]])
         before[starts] = self.begin
-        first = np.concatenate([[self.begin], before])[:-1]
+        first = np.concatenate([begin, before[:-1]])
         first[starts] = self.begin
-        n = len(self.word)
-        if n < 1 << 21:
-            keys, one = np.unique((before << 42) | (self.tokens << 21) | first, return_inverse=True)
-            b, c, a = keys >> 42, (keys >> 21) & 0x1FFFFF, keys & 0x1FFFFF
+        if len(self.word) < 1 << 21:
+            keys = before.astype(np.int64)
+            for part in (self.tokens, first):
+                keys <<= 21
+                keys |= part
+            keys, one = np.unique(keys, return_inverse=True)
+            a, b, c = ((keys >> shift & 0x1FFFFF).astype(np.int32) for shift in (0, 42, 21))
         else:
             order = np.lexsort((first, self.tokens, before))
             a, b, c = first[order], before[order], self.tokens[order]
@@ -197,7 +201,7 @@ class _Block:
             one = np.empty(len(order), np.int64)
             one[order] = np.cumsum(fresh) - 1
             a, b, c = a[fresh], b[fresh], c[fresh]
-        learned = np.bincount(one[np.repeat(self.learn, self.lengths)], minlength=len(a))
+        learned = np.bincount(one[np.repeat(self.learn, self.lengths)], minlength=len(a)).astype(np.uint32)
         return a, b, c, one, learned
 
 
@@ -223,11 +227,14 @@ def _pairs(own: _Block, split: int) -> tuple[np.ndarray, np.ndarray, list[np.nda
 
 def _bucket_of(own: _Block, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: int, split: int) -> np.ndarray:
     """By middle word; hot ones by a grid of both sides, unknown ones by the sides."""
-    w1, w2, w3 = (own.word[x].astype(U64) for x in (a, b, c))
-    grid = np.ceil(np.sqrt(np.maximum(own.count[b], 1) / split)).astype(U64)
-    part = np.where(own.count[b] > split, (mixed(w1) % grid) * grid + mixed(w3 + U64(7)) % grid, U64(0))
-    part = np.where(w2 == UNKNOWN, mixed(w1 * U64(3) + mixed(w3)), part)
-    return (mixed(mixed(w2) + part) % U64(n)).astype(np.int64)
+    to = lambda word, part: (mixed(mixed(word.astype(U64)) + part) % U64(n)).astype(np.int32)
+    out = to(own.word, np.zeros(len(own.word), U64))[b]
+    apart = np.flatnonzero(((own.count > split) | (own.word == UNKNOWN))[b])
+    w1, w3 = (own.word[x[apart]].astype(U64) for x in (a, c))
+    grid = np.ceil(np.sqrt(np.maximum(own.count[b[apart]], 1) / split)).astype(U64)
+    part = np.where(own.word[b[apart]] == UNKNOWN, mixed(w1 * U64(3) + mixed(w3)), (mixed(w1) % grid) * grid + mixed(w3 + U64(7)) % grid)
+    out[apart] = to(own.word[b[apart]], part)
+    return out
 
 
 class Model:
