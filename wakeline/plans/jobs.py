@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.config import BASELINE_WINDOWS, CleanParams, EvaluationParams, WindowParams, job_preset
 from wakeline.operators import frames, scores, tracks, windows
 from wakeline.sources import readers, sinks
+from wakeline.sources.scratch import shared_folder
 
 
 def prepared(reports: DataFrame, p: CleanParams) -> DataFrame:
@@ -29,12 +29,15 @@ def frame_table(reports: DataFrame, p: CleanParams, stats: DataFrame | None = No
 def split_frames(reports: DataFrame, p: CleanParams) -> tuple[DataFrame, DataFrame]:
     """Frames with split and date_str from each file's name, scaled by the statistics of the training files alone, and these.
 
-    Files whose name tells no split are left out. The prepared rows are kept, as the statistics and the frames both need them.
+    Files whose name tells no split are left out. The prepared rows are written to the shared folder, as the statistics and the
+    frames both need them; they go when the application ends.
     """
     name = F.col("source_file")
     routed = reports.where(frames.split_of_day(frames.day_of_name(name)).isNotNull())
     rows = prepared(routed, p).withColumn("split", frames.split_of_day(frames.day_of_name(name))).withColumn("date_str", frames.date_of_name(name))
-    rows = rows.persist(StorageLevel.DISK_ONLY)
+    path = shared_folder(reports.sparkSession, "prepared")
+    rows.write.mode("overwrite").parquet(path)
+    rows = reports.sparkSession.read.schema(rows.schema).parquet(path)
     stats = frames.statistics(rows.where("split = 'train'"))
     return frames.frame_format(frames.zscored(rows, stats), keep=("split", "date_str")), stats
 

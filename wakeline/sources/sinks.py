@@ -13,8 +13,9 @@ def _frame_columns(frames: DataFrame) -> list:
 
 
 def frames_by_split(frames: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """frames has split and date_str besides the frame columns; both become folders."""
-    out = frames.select("split", "date_str", *_frame_columns(frames)).repartition("split", "date_str").sortWithinPartitions("frame_id", "vessel_id")
+    """frames has split and date_str besides the frame columns; both become folders. Rows of a day go together, but a large day is cut
+    into several tasks and files, each sorted."""
+    out = frames.select("split", "date_str", *_frame_columns(frames)).hint("rebalance", "split", "date_str").sortWithinPartitions("split", "date_str", "frame_id", "vessel_id")
     out.write.mode("overwrite").partitionBy("split", "date_str").option("header", True).format(fmt).save(path)
 
 
