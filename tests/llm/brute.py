@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from itertools import product
 
 import regex
 
@@ -75,63 +76,81 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 UNITS = "kg g mg lb lbs oz km m cm mm mi miles mile ft feet inches l ml hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents percent".split()
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """Typed words, and the words as they stand."""
+def template(text: str) -> tuple[list[set[str]], list[str], list[str]]:
+    """Of every word: its readings, what it is ("number", "unit", "cap" or "word"), and the word in lower case."""
     tokens = list(regex.finditer(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+", text))
-    kinds, before = [], ""
+    readings, kinds, last_end = [], [], 0
     for m in tokens:
         w = m[0]
         if regex.match(r"\p{N}", w):
             kinds.append("number")
-        elif before == "number" and w.lower() in UNITS and not text[last_end : m.start()].strip():
+        elif kinds and kinds[-1] == "number" and not regex.match(r"\p{Lu}\p{Ll}", w) and w.lower() in UNITS and not text[last_end : m.start()].strip():
             kinds.append("unit")
-        elif regex.fullmatch(r"\p{Lu}\p{Ll}+", w) and regex.search(r"[\p{Ll}\p{N},]\s$", text[max(0, m.start() - 2) : m.start()]):
-            kinds.append("name")
         else:
-            kinds.append(w.lower())
-        before, last_end = kinds[-1], m.end()
-    return kinds, [m[0].lower() for m in tokens]
+            kinds.append("cap" if regex.match(r"\p{Lu}\p{Ll}", w) else "word")
+        own = {"number": {"<number>"}, "unit": {"<unit>"}, "cap": {w.lower(), "<name>"}, "word": {w.lower()}}
+        readings.append(own[kinds[-1]])
+        last_end = m.end()
+    return readings, kinds, [m[0].lower() for m in tokens]
 
 
-def leaks(docs: list[tuple], items: list[tuple], window: int = 5, coverage: float = 0.8, plain: int = 3) -> set[tuple[int, int]]:
-    slots = {"number", "name", "unit"}
+TYPED = {"<number>", "<unit>", "<name>"}
 
-    def windows(kinds: list[str]) -> dict[int, tuple]:
-        found = {at: tuple(kinds[at : at + window]) for at in range(len(kinds) - window + 1)}
-        if not slots & set(kinds):
-            return found
-        return {at: w for at, w in found.items() if len(set(w) - slots) >= plain and len(set(w)) >= plain}
 
-    out = set()
-    index = defaultdict(list)
-    of = {}
+def leaks(docs: list[tuple], items: list[tuple], window: int = 5, coverage: float = 0.8, plain: int = 3, passage: int = 13) -> set[tuple[int, int]]:
+    """Pairs by the rules as stated: every shift of every item is tried in every text."""
+
+    def forms(readings: list[set[str]], at: int) -> set[tuple]:
+        return {w for w in product(*readings[at : at + window]) if w.count("<name>") <= window - plain}
+
+    index, of = defaultdict(set), {}
     for item, text in items:
-        kinds, words = template(text)
-        both = [kinds, ["name", *kinds[1:]]]
-        own = {(at, w) for k in both for at, w in windows(k).items()}
-        of[item] = (kinds, words, len({at for at, _ in own}))
-        for at, w in own:
-            index[w].append((item, at))
+        readings, kinds, words = template(text or "")
+        if not words:
+            continue
+        if kinds[0] in ("word", "cap"):
+            readings[0], kinds[0] = {words[0], "<name>"}, "cap"
+        own = {at: {w for w in forms(readings, at) if len(set(w) - TYPED) >= plain} for at in range(len(words) - window + 1)}
+        lower = {w for w, k in zip(words, kinds, strict=True) if k == "word"}
+        slots = {at: (k, w) for at, (k, w) in enumerate(zip(kinds, words, strict=True)) if k in ("number", "unit") or (k == "cap" and w not in lower)}
+        reach = {at + i for at, w in own.items() if w for i in range(window)}
+        of[item] = words, slots, reach
+        for at, found in own.items():
+            for w in found:
+                index[w].add((item, at))
+    out = set()
     for doc, text in docs:
         if doc is None or text is None:
             continue
-        kinds, words = template(text)
-        hits: dict[int, dict[int, int]] = defaultdict(dict)
-        for at, w in windows(kinds).items():
-            for item, item_at in index.get(w, ()):
-                hits[item][item_at] = min(at, hits[item].get(item_at, at))
-        for item, met in hits.items():
-            item_kinds, item_words, total = of[item]
-            if len(met) < coverage * total:
+        readings, _, words = template(text)
+        met: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for at in range(len(words) - window + 1):
+            for w in forms(readings, at):
+                for item, item_at in index.get(w, ()):
+                    met[item][at - item_at] |= set(range(item_at, item_at + window))
+
+        def fits(held: dict[int, int], slots: dict[int, tuple]) -> bool:
+            told = defaultdict(set)
+            for at, shift in held.items():
+                if at in slots:
+                    told[slots[at]].add(words[at + shift])  # noqa: B023
+            return all(len(v) == 1 for v in told.values())
+
+        for item, (item_words, slots, reach) in of.items():
+            if not reach:
+                n = len(item_words)
+                if any(words[at : at + n] == item_words for at in range(len(words) - n + 1)):
+                    out.add((doc, item))
                 continue
-            places = [(at, item_words[at]) for at, k in enumerate(item_kinds) if k in slots]
-            good = not places
-            for shift in {d - i for i, d in met.items()}:
-                told = defaultdict(set)
-                for at, value in places:
-                    if 0 <= at + shift < len(words):
-                        told[(item_kinds[at], value)].add(words[at + shift])
-                good |= bool(told) and all(len(v) == 1 for v in told.values())
-            if good:
-                out.add((doc, item))
+            drift = max(1, int((1 - coverage) * len(item_words) + 1e-9))
+            for shift, covered in met.get(item, {}).items():
+                near: dict[int, int] = {}
+                for s in sorted(met[item], key=lambda s: (abs(s - shift), s)):  # noqa: B023
+                    if abs(s - shift) <= drift:
+                        for at in met[item][s]:
+                            near.setdefault(at, s)
+                whole = [h for h in (dict.fromkeys(covered, shift), near) if len(h) >= coverage * len(reach)]
+                runs = [set(range(a, z + 1)) for a in covered for z in covered if a - 1 not in covered and z + 1 not in covered and z - a + 1 >= passage and covered >= set(range(a, z + 1))]
+                if any(fits(h, slots) for h in [*whole, *(dict.fromkeys(r, shift) for r in runs)]):
+                    out.add((doc, item))
     return out

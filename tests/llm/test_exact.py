@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import brute
@@ -278,6 +279,48 @@ def test_decontamination_edits_passages_short_items(spark):
     assert held(spark, "ask: 12 + 7 - 3 + 4 + 5 = what?", "12 + 7 - 3 + 4 + 5 = What") and not held(spark, "ask: 12 + 8 - 3 + 4 + 5 = what?", "12 + 7 - 3 + 4 + 5 = What")
 
 
+SHORT = [(11, "Too short"), (12, "12 + 7 - 3 + 4 + 5 = What"), (13, "Add 3 kg and 4 kg"), (14, CLIPS), (15, "the 12 of May is 12 days before the 24 of May in every year that we have met so far says the book")]
+
+
+def edited(r: random.Random, text: str, times: int) -> str:
+    """Words left out, put in or changed, other figures and names, cut ends and other cases."""
+    w = text.split()
+    for _ in range(times):
+        at = r.randrange(len(w))
+        how = r.randrange(9)
+        if how == 0 and len(w) > 2:
+            del w[at]
+        elif how == 1:
+            w.insert(at, r.choice(["very", "7", "Petra", "km"]))
+        elif how == 2:
+            w[at] = r.choice(["single", "31", "Ivan"])
+        elif how in (3, 4):
+            old = r.choice([x for x in w if x[0].isdigit() or x[0].isupper()] or w)
+            new = str(r.randrange(90)) if old[0].isdigit() else r.choice(["Petra", "Ivan"])
+            w = [new if x == old and (how == 3 or r.random() < 0.6) else x for x in w]
+        elif how == 5 and len(w) > 6:
+            w = w[: max(4, at)]
+        elif how == 6 and len(w) > 6:
+            w = w[min(at, len(w) - 4) :]
+        elif how == 7 and r.random() < 0.4:
+            w = " ".join(w).lower().split()
+    return " ".join(w)
+
+
+def test_decontamination_of_edits_equals_brute(spark):
+    r = random.Random(5)
+    items = [*ITEMS, *SHORT]
+    texts = [t for _, t in items if t]
+    rows = []
+    for i in range(400):
+        parts = [edited(r, r.choice(texts), r.randrange(5)) for _ in range(r.choice([1, 1, 2, 3]))]
+        rows.append((i, r.choice([". So ", " and then ", " "]).join([*parts, "that is all"])))
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    told = brute.leaks(rows, items)
+    assert {(x["doc_id"], x["item_id"]) for x in got} == told
+    assert len(got) == len(told) and 100 < len({d for d, _ in told}) < 400
+
+
 def test_pii_iban_before_capitals_and_numbers():
     iban = "DE89 3704 0044 0532 0130 00"
     for after in (" BIC COBADEFFXXX", " 12345", " EUR 20", ", BIC X", "", " AB12 GB82 WEST 1234 5698 7654 32"):

@@ -139,20 +139,24 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, id_col: str, item_c
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda i: F.sequence(i, i + (WINDOW - 1))))))
     places = met.groupBy("doc_id", "copy", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(covered.alias("at"))
     pairs = places.groupBy("doc_id", "copy", "item_id").agg(F.array_sort(F.collect_list(F.struct("shift", "at"))).alias("places")).join(told, "item_id")
-    return _consistent(_candidates(pairs), rows).unionByName(_verbatim(rows, items.join(windows.select("item_id").distinct(), "item_id", "left_anti")))
+    found = _consistent(_candidates(pairs), rows)
+    untold = items.join(windows.select("item_id").distinct(), "item_id", "left_anti")
+    return found if untold.isEmpty() else found.unionByName(_verbatim(rows, untold))
 
 
 def _candidates(pairs: DataFrame) -> DataFrame:
     """A row for each place that covers enough: held, the item's covered words and the shift of each."""
-    places, drift = F.col("places"), F.greatest(F.lit(1), F.floor((1 - COVERAGE) * F.size("v") + 1e-9).cast("int"))
+    places = F.transform("places", lambda x, k: F.struct(x["shift"].alias("shift"), x["at"].alias("at"), (k + 1).alias("number")))
+    drift = F.greatest(F.lit(1), F.floor((1 - COVERAGE) * F.size("v") + 1e-9).cast("int"))
+    pairs = pairs.withColumn("places", places)
+    places = F.col("places")
     enough = F.size(F.array_distinct(F.flatten(F.transform(places, lambda x: x["at"]))))
     pairs = pairs.where((enough >= COVERAGE * F.col("words")) | (enough >= PASSAGE)).withColumn("drift", drift)
     held = lambda at, shift: F.transform(at, lambda i: F.struct(i.alias("at"), shift.alias("shift")))
-    alone = F.transform(places, lambda x: held(x["at"], x["shift"]))
 
-    def around(x: Column, k: Column) -> Column:
+    def around(x: Column) -> Column:
         """The words of the place itself first, then what the places around it add, the nearest first."""
-        some = F.slice(places, F.greatest(k + 1 - F.col("drift"), F.lit(1)), 2 * F.col("drift") + 1)
+        some = F.slice(places, F.greatest(x["number"] - F.col("drift"), F.lit(1)), 2 * F.col("drift") + 1)
         near = F.array_sort(F.transform(F.filter(some, lambda y: F.abs(y["shift"] - x["shift"]) <= F.col("drift")), lambda y: F.struct(F.abs(y["shift"] - x["shift"]).alias("far"), y["shift"].alias("shift"), y["at"].alias("at"))))
         every = F.array_distinct(F.flatten(F.transform(near, lambda y: y["at"])))
         return F.transform(every, lambda i: F.struct(i.alias("at"), F.filter(near, lambda y: F.array_contains(y["at"], i))[0]["shift"].alias("shift")))
@@ -163,40 +167,47 @@ def _candidates(pairs: DataFrame) -> DataFrame:
         long = F.filter(F.arrays_zip(first.alias("a"), last.alias("z")), lambda r: r["z"] - r["a"] + 1 >= PASSAGE)
         return F.transform(long, lambda r: held(F.sequence(r["a"], r["z"]), x["shift"]))
 
-    whole = F.filter(F.concat(alone, F.transform(places, around)), lambda c: F.size(c) >= COVERAGE * F.col("words"))
-    return pairs.select("doc_id", "copy", "item_id", "t", "v", "words", F.explode(F.array_distinct(F.concat(whole, F.flatten(F.transform(places, runs))))).alias("held"))
+    whole = lambda c: F.filter(F.array(c), lambda w: F.size(w) >= COVERAGE * F.col("words"))
+    # Places differ in their shift, so only what one place gives can repeat.
+    of_place = F.transform(places, lambda x: F.array_distinct(F.concat(whole(held(x["at"], x["shift"])), whole(around(x)), runs(x))))
+    return pairs.select("doc_id", "copy", "item_id", "t", "v", "words", F.explode(F.flatten(of_place)).alias("held"))
 
 
 def _consistent(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Drops places at which a value of the item stands against two values of the document."""
+    """Drops places at which a value of the item stands against two values of the document.
+
+    A row for each slot meets the document's word at its place, so a text of many places is read once and not once a place.
+    """
     kind = lambda i: F.col("t")[i - 1]
     slot = lambda i: kind(i).isin(NUMBER, UNIT) | (kind(i).startswith(MARK) & ~F.array_contains("t", F.col("v")[i - 1]))
-    slots = F.filter("held", lambda c: slot(c["at"]))
-    asked = staged(found.withColumn("slots", slots), "places")
+    value = lambda i: F.struct(F.when(kind(i).startswith(MARK), F.lit(NAME)).otherwise(kind(i)).alias("kind"), F.col("v")[i - 1].alias("own"))
+    slots = F.transform(F.filter("held", lambda c: slot(c["at"])), lambda c: F.struct((c["at"] + c["shift"] - 1).alias("at"), value(c["at"]).alias("value")))
+    asked = staged(found.select("doc_id", "copy", "item_id", F.monotonically_increasing_id().alias("place"), F.size("held").alias("matched"), "words", slots.alias("slots")), "places")
     ids = asked.where(F.size("slots") > 0).select("doc_id", "copy").distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    texts = rows.join(ids, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", words(F.col("text")).alias("d"))
-    value = lambda c: F.struct(F.when(kind(c["at"]).startswith(MARK), F.lit(NAME)).otherwise(kind(c["at"])).alias("kind"), F.col("v")[c["at"] - 1].alias("own"))
-    against = F.transform("slots", lambda c: F.struct(value(c).alias("value"), F.lower(F.get("d", c["at"] + c["shift"] - 1)).alias("other")))
-    fits = F.size(F.array_distinct(against)) == F.size(F.array_distinct(F.transform("slots", value)))
-    good = asked.join(texts, ["doc_id", "copy"], "left").where((F.size("slots") == 0) | fits)
-    return good.select("doc_id", "copy", "item_id", F.size("held").alias("matched"), "words", (F.size("held") / F.col("words")).alias("coverage"))
+    texts = rows.join(ids, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"])
+    told = texts.select("doc_id", "copy", F.posexplode(words(F.col("text"))).alias("at", "other")).select("doc_id", "copy", "at", F.lower("other").alias("other"))
+    each = asked.select("doc_id", "copy", "place", F.explode("slots").alias("slot")).select("doc_id", "copy", "place", "slot.*")
+    against = each.join(told, ["doc_id", "copy", "at"], "left").groupBy("place").agg(F.size(F.collect_set(F.struct("value", "other"))).alias("others"), F.size(F.collect_set("value")).alias("values"))
+    bad = against.where("others > values").select("place")
+    return asked.join(bad, "place", "left_anti").select("doc_id", "copy", "item_id", "matched", "words", (F.col("matched") / F.col("words")).alias("coverage"))
 
 
 def _verbatim(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of a document and an item that no window tells, all of whose words stand in the document in a row."""
-    items = items.select("item_id", "v", F.least(F.size("v"), F.lit(WINDOW)).alias("length"))
+    """Pairs of a document and an item that no window tells, all of whose words stand in the document in a row.
+
+    One pass hashes the runs of every length that such an item begins with; a text that holds some is read once more for each item.
+    """
+    items = items.select("item_id", "v", F.xxhash64(F.slice("v", 1, WINDOW)).alias("h"), F.least(F.size("v"), F.lit(WINDOW)).alias("length"))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
-    lower = rows.select("doc_id", "copy", F.transform(words(F.col("text")), lambda w: F.lower(w)).alias("d"))
     n = F.size("v").alias("words")
-    out = items.select(F.lit(None).alias("doc_id"), F.lit(None).cast("long").alias("copy"), "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")).where("false").withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
-    for length in lengths:
-        own = items.where(F.col("length") == length).withColumn("h", F.xxhash64(F.slice("v", 1, length)))
-        hashes = F.transform(F.when(F.size("d") >= length, F.sequence(F.lit(1), F.size("d") - (length - 1))), lambda i: F.xxhash64(F.slice("d", i, length)))  # noqa: B023
-        met = lower.select("doc_id", "copy", F.posexplode(hashes).alias("at", "h")).join(own, "h")
-        met = met.join(lower, ["doc_id", "copy"]).where(F.slice("d", F.col("at") + 1, F.size("v")) == F.col("v"))
-        out = out.unionByName(met.select("doc_id", "copy", "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage")))
-    return out
+    lower = rows.select("doc_id", "copy", F.transform(words(F.col("text")), lambda w: F.lower(w)).alias("d"))
+    asked = lower.select("doc_id", "copy", "d", F.explode(F.array(*[F.lit(length) for length in lengths])).alias("length")).where(F.size("d") >= F.col("length"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("d") - F.col("length") + 1), lambda i: F.xxhash64(F.slice("d", i, F.col("length"))))
+    met = asked.select("doc_id", "copy", "length", F.posexplode(hashes).alias("at", "h"))
+    pairs = met.join(items, ["h", "length"]).groupBy("doc_id", "copy", "item_id").agg(F.collect_set(F.col("at") + 1).alias("starts"))
+    read = pairs.join(items.select("item_id", "v"), "item_id").join(lower.dropDuplicates(["doc_id", "copy"]), ["doc_id", "copy"])
+    return read.where(F.exists("starts", lambda i: F.slice("d", i, F.size("v")) == F.col("v"))).select("doc_id", "copy", "item_id", n.alias("matched"), n, F.lit(1.0).alias("coverage"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
