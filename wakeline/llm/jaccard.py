@@ -46,7 +46,7 @@ PAIRED_TOKENS = 40
 BITMAP = 8
 #: Members of a list that one pivot takes, and that meet in one task.
 PIVOT_MEMBERS, TASK_MEMBERS = 1024, 4096
-SETS = "doc_id long, copy long, n_shingles long, key binary, prefix array<long>, bitmap array<long>"
+SETS = "doc_id long, copy long, n_shingles long, key binary, prefix array<long>, rare int, bitmap array<long>"
 
 
 def _texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -138,12 +138,13 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Of every document: size of its set, a 128-bit key of the set, its extended prefix and its parity bitmap."""
+    """Of every document: size of its set, a 128-bit key of the set, its extended prefix, of which the first `rare` tokens are not
+    frequent, and its parity bitmap."""
     known, ranks = frequent
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, key, prefix, bitmap = [], [], [], []
+            size, key, prefix, rare, bitmap = [], [], [], [], []
             for s in sets(batch.column(2).to_pylist(), n):
                 size.append(len(s))
                 key.append(np.array([mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
@@ -154,14 +155,16 @@ def _signed(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.ndar
                         short = s >> np.uint64(64 - KEPT_BITS)
                         at = np.minimum(np.searchsorted(known, short), len(known) - 1)
                         rank = np.where(known[at] == short, ranks[at], 0)
+                    rare.append(int((rank == 0).sum()))
                     prefix.append(s[np.argsort(rank, kind="stable")][: len(s) - -(-num * len(s) // den) + 2].view(np.int64))
                     bit = (mixed(s) >> np.uint64(64 - 9)).astype(np.int64)
                     bitmap.append(np.packbits(np.bincount(bit, minlength=64 * BITMAP) % 2 == 1).view(np.int64))
                 else:
                     prefix.append(None)
+                    rare.append(None)
                     bitmap.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, longs), pa.array(bitmap, longs)], ["doc_id", "copy", "n_shingles", "key", "prefix", "bitmap"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, longs), pa.array(rare, pa.int32()), pa.array(bitmap, longs)], ["doc_id", "copy", "n_shingles", "key", "prefix", "rare", "bitmap"])
 
     return docs.mapInArrow(sign, SETS)
 
@@ -204,12 +207,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
 def _lists(classes: DataFrame) -> DataFrame:
     """k, node, n, p: the prefix tokens that two classes or more hold, and their places. Of tokens that the same classes hold,
     which say the same about them, the two that come first stay (two, as pairs of tokens must stay, too); `twin` marks the second."""
-    postings = classes.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("p", "k"))
-    mark = [F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(20,0)")) for seed in (1, 2)]]
-    about = postings.groupBy("k").agg(F.count("*").alias("length"), F.struct(*mark).alias("members"), F.min(F.struct("node", "p")).alias("first")).where("length > 1")
-    order = Window.partitionBy("members").orderBy("first.p")
+    postings = classes.where("prefix is not null").select("node", "n", "rare", F.posexplode("prefix").alias("p", "k"))
+    # Equal members give equal facts; the sets of one class never give two tokens equal facts by chance.
+    facts = {"length": F.count("*"), "mark": F.bit_xor(F.xxhash64("node")), "first": F.min("node"), "place": F.min("p")}
+    # Lists of rare tokens are short, so one exchange by token serves facts and rows. Those of frequent ones may be hot.
+    own = Window.partitionBy("k")
+    seldom = postings.where("p < rare").select("k", "node", "n", "p", *[f.over(own).alias(name) for name, f in facts.items()]).where("length > 1")
+    often = postings.where("p >= rare").select("k", "node", "n", "p")
+    about = often.groupBy("k").agg(*[f.alias(name) for name, f in facts.items()]).where("length > 1")
+    about = about.unionByName(seldom.select(*about.columns).dropDuplicates(["k"]))
+    order = Window.partitionBy("length", "first", "mark").orderBy("place", "k")
     kept = about.withColumn("_n", F.row_number().over(order)).where("_n <= 2").select("k", "length", (F.col("_n") == 2).alias("twin"))
-    return looked_up(postings, kept, ["k"], F.col("node"), 8).where("length is not null")
+    short = seldom.drop("length", "mark", "first", "place").join(kept, "k")
+    return short.unionByName(looked_up(often, kept, ["k"], F.col("node"), 8).where("length is not null"))
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
@@ -275,8 +285,8 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     rows = staged(_signed(docs, n, num, den, frequent), "sets")
     # A class is one text or texts with equal sets; its node is a number of its own, whatever ids repeat.
     first = F.min(F.struct("doc_id", "copy")).alias("first")
-    own = rows.where("key is not null and doc_id is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    classes = staged(own.select("key", "first.*", "n", "prefix", "bitmap", F.monotonically_increasing_id().alias("node")), "classes")
+    own = rows.where("key is not null and doc_id is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("bitmap").alias("bitmap"))
+    classes = staged(own.select("key", "first.*", "n", "prefix", "rare", "bitmap", F.monotonically_increasing_id().alias("node")), "classes")
     members = staged(rows.select("doc_id", "copy", "n_shingles", "key"), "members")
     dropped(rows)
     lists = staged(_lists(classes), "lists")
