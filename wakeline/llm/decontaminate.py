@@ -46,7 +46,7 @@ _TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+)"
 
 def template(text: Column) -> Column:
     """The words of a text, MARK before capitalised ones, typed placeholders in the place of numbers and units."""
-    t = F.regexp_replace(F.translate(text, MARK, " "), r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})(?=\p{Ll})", MARK + "$0")
+    t = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})(?=\p{Ll})", MARK + "$0")
     t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER} ")
     t = F.regexp_replace(F.lower(t), rf" {NUMBER} \s*(?:{UNITS})(?!\p{{L}})", f" {NUMBER} {UNIT}")
     t = F.split(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+")
@@ -75,13 +75,21 @@ def _item_windows(items: DataFrame) -> DataFrame:
     plain = lambda w: F.size(F.array_except(w, F.array(F.lit(NUMBER), F.lit(NAME), F.lit(UNIT)))) >= MIN_WORDS
     at = items.select("item_id", "t", F.explode(_starts(F.size("t"))).alias("item_at"))
     read = at.select("item_id", "item_at", F.explode(_forms(F.slice("t", F.col("item_at"), WINDOW))).alias("w"))
-    return read.where(plain(F.col("w"))).select("item_id", "item_at", _xor(_placed([F.col("w")[i] for i in range(WINDOW)])).alias("h")).distinct()
+    return read.where(plain(F.col("w"))).select("item_id", "item_at", _xor(_placed([_told(F.col("w")[i]) for i in range(WINDOW)])).alias("h")).distinct()
 
 
-def _placed(words: list[Column]) -> list[Column]:
-    """A hash of each word of a window at its place. That of the window is their exclusive or, so a reading changes it by one
-    difference for each name."""
-    return [F.xxhash64(w, F.lit(i)) for i, w in enumerate(words)]
+def _told(word: Column) -> Column:
+    """The hash of a word without its MARK; the last bit says whether it bears one."""
+    marked = word.startswith(MARK)
+    h = F.xxhash64(F.when(marked, F.substring(word, 2, 1_000_000)).otherwise(word))
+    return F.when(marked, h.bitwiseOR(F.lit(1))).otherwise(h.bitwiseAND(F.lit(-2)))
+
+
+def _placed(hashes: list[Column]) -> list[Column]:
+    """The hash of each word of a window, turned by its place. That of the window is their exclusive or, so a reading changes it
+    by one difference for each name."""
+    turned = lambda x, n: F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n else x
+    return [turned(x.bitwiseAND(F.lit(-2)), 13 * i) for i, x in enumerate(hashes)]
 
 
 def _xor(columns: list[Column]) -> Column:
@@ -89,12 +97,16 @@ def _xor(columns: list[Column]) -> Column:
 
 
 def _doc_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, copy, doc_at, h of every reading of every window of t. Only windows with a marked word have more than one."""
-    shifted = F.arrays_zip(*[F.slice("t", i + 1, F.size("t")).alias(f"w{i}") for i in range(WINDOW)])
-    rows = docs.where(F.size("t") >= WINDOW).select("doc_id", "copy", F.posexplode(shifted).alias("at", "w")).select("doc_id", "copy", (F.col("at") + 1).alias("doc_at"), "w.*").where(f"w{WINDOW - 1} is not null")
-    marked = [F.col(f"w{i}").startswith(MARK) for i in range(WINDOW)]
-    plain = _placed([F.when(m, F.substring(f"w{i}", 2, 1_000_000)).otherwise(F.col(f"w{i}")) for i, m in enumerate(marked)])
-    rows = rows.select("doc_id", "copy", "doc_at", _xor(plain).alias("h"), *[F.when(m, x.bitwiseXOR(n)).alias(f"d{i}") for i, (m, x, n) in enumerate(zip(marked, plain, _placed([F.lit(NAME)] * WINDOW), strict=True))])
+    """doc_id, copy, doc_at, h of every reading of every window of t. Only windows with a marked word have more than one.
+
+    Words are hashed once each, before they are laid side by side in windows.
+    """
+    told = docs.where(F.size("t") >= WINDOW).select("doc_id", "copy", F.transform("t", _told).alias("u"))
+    shifted = F.arrays_zip(*[F.slice("u", i + 1, F.size("u")).alias(f"u{i}") for i in range(WINDOW)])
+    rows = told.select("doc_id", "copy", F.posexplode(shifted).alias("at", "u")).select("doc_id", "copy", (F.col("at") + 1).alias("doc_at"), "u.*").where(f"u{WINDOW - 1} is not null")
+    each = [F.col(f"u{i}") for i in range(WINDOW)]
+    plain, names = _placed(each), _placed([_told(F.lit(NAME))] * WINDOW)
+    rows = rows.select("doc_id", "copy", "doc_at", _xor(plain).alias("h"), *[F.when(u.bitwiseAND(F.lit(1)) == 1, x.bitwiseXOR(n)).alias(f"d{i}") for i, (u, x, n) in enumerate(zip(each, plain, names, strict=True))])
     d = [F.col(f"d{i}") for i in range(WINDOW)]
     count = sum((x.isNotNull().cast("int") for x in d), F.lit(0))
     every, first = _xor([F.coalesce(x, F.lit(0).cast("long")) for x in d]), F.coalesce(*d)
