@@ -37,18 +37,20 @@ BROADCAST_WINDOWS = 400_000
 #: Candidate documents whose ids are broadcast to fetch their words; with more, Spark's ordinary join takes over.
 BROADCAST_IDS = 500_000
 NUMBER, NAME, UNIT = "0", "ℕ", "ℚ"
-#: Stands before a word that may be a name.
-MARK = "\ue000"
+#: Stands before a word that may be a name. Of one byte, so that plain texts stay plain.
+MARK = "\x01"
 # Units that may follow a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|mile|ft|feet|inches|l|ml|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|percent"
+#: Possessive: what follows a number is never one of its own characters.
+_NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
 _TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+)"
 
 
 def template(text: Column) -> Column:
     """The words of a text, MARK before capitalised ones, typed placeholders in the place of numbers and units."""
-    t = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})(?=\p{Ll})", MARK + "$0")
-    t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER} ")
-    t = F.regexp_replace(F.lower(t), rf" {NUMBER} \s*(?:{UNITS})(?!\p{{L}})", f" {NUMBER} {UNIT}")
+    t = F.lower(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})(?=\p{Ll})", MARK + "$0"))
+    t = F.regexp_replace(t, rf"{_NUMBER}\s*+(?:{UNITS})(?!\p{{L}})", f" {NUMBER} {UNIT}")
+    t = F.regexp_replace(t, _NUMBER, f" {NUMBER} ")
     t = F.split(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+")
     return F.array_remove(t, "")  # what stands before the first word and after the last one
 
@@ -109,12 +111,12 @@ def _doc_windows(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "copy", "doc_at", _xor(plain).alias("h"), *[F.when(u.bitwiseAND(F.lit(1)) == 1, x.bitwiseXOR(n)).alias(f"d{i}") for i, (u, x, n) in enumerate(zip(each, plain, names, strict=True))])
     d = [F.col(f"d{i}") for i in range(WINDOW)]
     count = sum((x.isNotNull().cast("int") for x in d), F.lit(0))
-    every, first = _xor([F.coalesce(x, F.lit(0).cast("long")) for x in d]), F.coalesce(*d)
-    few = [every], [every, first, every.bitwiseXOR(first)]
-    many = [*d, *[d[i].bitwiseXOR(d[j]) for i in range(WINDOW) for j in range(i)]]
-    changes = F.when(count == 1, F.array(*few[0])).when(count == 2, F.array(*few[1])).when(count > 2, F.array(*many))
-    none = F.array(F.lit(0).cast("long"))
-    read = rows.select("doc_id", "copy", "doc_at", "h", F.explode(F.when(count == 0, none).otherwise(F.concat(none, changes))).alias("change"))
+    every = _xor([F.coalesce(x, F.lit(0).cast("long")) for x in d])
+    rows = rows.select("*", count.alias("count"), every.alias("every"), F.coalesce(*d).alias("first"))
+    count, every, first, none = F.col("count"), F.col("every"), F.col("first"), F.lit(0).cast("long")
+    many = F.array(none, *d, *[d[i].bitwiseXOR(d[j]) for i in range(WINDOW) for j in range(i)])
+    changes = F.when(count == 0, F.array(none)).when(count == 1, F.array(none, every)).when(count == 2, F.array(none, every, first, every.bitwiseXOR(first))).otherwise(many)
+    read = rows.select("doc_id", "copy", "doc_at", "h", F.explode(changes).alias("change"))
     return read.where("change is not null").select("doc_id", "copy", "doc_at", F.col("h").bitwiseXOR(F.col("change")).alias("h"))
 
 
