@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+import time
 from itertools import permutations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wakeline.config import EvaluationParams, WindowParams
 from wakeline.operators import frames, interactions, moments, scores, tracks, windows
-from wakeline.plans import jobs
+from wakeline.plans import graphs, jobs
 from wakeline.sources import runs, sinks
 
 FRAME = ["source_file", "step"]
@@ -174,3 +176,47 @@ def test_evaluation_job(spark, tmp_path):
     assert held["windows"] == 2 and held["fde"] > held["ade"] > 1
     with pytest.raises(ValueError, match="no windows"):
         jobs.evaluate(spark, EvaluationParams(str(tmp_path), "harbour", "val", "a", WindowParams(observed=30, predicted=4)), whole, f"{tmp_path}/out")
+
+
+CROWD_QUERIES = ["attention"]
+
+
+@pytest.fixture(scope="session")
+def crowd(tmp_path_factory):
+    """Two hours of 1,200 vessels in few states, 2.9 million pairs; in the second folder some lack a measurement."""
+    folders = [str(tmp_path_factory.mktemp("crowd")) for _ in range(2)]
+    for lacking, folder in enumerate(folders):
+        duckdb.execute(f"""copy (select i event_id, timestamp '2024-01-01' + to_minutes(60 * (i // 1200)) ts, i % 1200 user_id, 'view' event_type,
+          (case when {lacking} and i % 97 = 0 then null else (i % 7) * 37.25 + case when i % 100 = 1 then i * 0.01 else 0 end end)::double as value,
+          case when {lacking} and i % 89 = 0 then '{{}}' else '{{"k": ' || (i % 3) * 31 || '}}' end props from range(2400) t(i)) to '{folder}/events.parquet'""")
+    return folders
+
+
+@pytest.mark.parametrize("name", CROWD_QUERIES)
+def test_crowd_equals_sql_without_shuffled_pairs(spark, crowd, monkeypatch, name):
+    """Vessels of equal values are worked out once, in blocks of any size, and no pair is joined or shuffled. (A null weight is the
+    largest in SQL, none here, so attention has none.)"""
+    crowd = crowd[name != "attention"]
+    monkeypatch.setattr(interactions, "TASK_STATES", 16)
+    monkeypatch.setattr(interactions, "BLOCK_PAIRS", 500)
+    wrote = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        query, sql = graphs.QUERIES[name]
+        df, bytes_before = query(spark, crowd), wrote()
+        columns = sorted(df.columns)
+        got = df.select(*columns).collect()
+        time.sleep(1)
+        assert wrote() - bytes_before < 2_000_000
+        assert "other_" not in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{crowd}/events.parquet'")
+    told = db.execute(f"select {', '.join(columns)} from ({sql})").fetchall()
+    key = lambda r: [r[columns.index(c)] for c in ("ts", "vessel_id", "head") if c in columns]
+    got, told = sorted(map(tuple, got), key=key), sorted(told, key=key)
+    assert len(got) == len(told) and [key(r) for r in got] == [key(r) for r in told]
+    for a, b in zip(got, told, strict=True):
+        assert all(x == pytest.approx(y, abs=2e-6 if name != "nearness" else 2e-5) if isinstance(y, float) else x == y for x, y in zip(a, b, strict=True)), (a, b)

@@ -2,18 +2,27 @@
 
 A frame is what `frame` names, for example (source_file, window, step). Its pairs are its output, one row for each ordered pair; a
 crowded frame's are dealt over tasks by their first entity, so a task holds a bounded part of them.
+
+Where only sums over partners are asked for, `summed` joins entities of equal values to one state and works its pairs out in blocks
+where they are summed: no pair is shuffled or written. The work grows with the square of a frame's different states, not of its
+entities; a task holds the states of one frame (eight bytes a value) and blocks of BLOCK_PAIRS pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME = ("source_file", "window", "step")
 #: Entities of a frame that meet all others of it in one task.
 TASK_ENTITIES = 512
+#: States of a frame that meet all others of it in one task, and pairs that are worked out at once.
+TASK_STATES, BLOCK_PAIRS = 1 << 13, 1 << 18
 #: Fixed value: what keeps a sum of zeros from dividing by zero.
 EPSILON = 1e-5
 
@@ -86,3 +95,136 @@ def graph_convolution(adjacency: DataFrame, features: DataFrame, columns: Sequen
     """out: the activated product of adjacency, features and weights, an array for each entity."""
     summed = propagated(adjacency, features, columns, frame, entity)
     return summed.select(*frame, entity, F.transform(linear(F.array(*columns), weights), lambda x: prelu(x, slope)).alias("out"))
+
+
+NAMELESS = np.iinfo(np.int64).min
+
+
+@dataclass
+class States:
+    """Some states of a frame: their values (a row for each), how many entities share each, the largest of these, and whether it has a
+    name at all. Entities without a name are states of their own."""
+
+    values: np.ndarray
+    members: np.ndarray
+    entity: np.ndarray
+    named: np.ndarray
+
+    def __getitem__(self, some: slice | np.ndarray) -> States:
+        return States(self.values[some], self.members[some], self.entity[some], self.named[some])
+
+
+#: From some states and all those of their frame that they meet, the columns of the first.
+Work = Callable[[States, States], dict[str, np.ndarray]]
+
+
+def summed(nodes: DataFrame, values: Sequence[str], work: Work, columns: str, frame: Sequence[str] = FRAME, entity: str = "vessel_id") -> DataFrame:
+    """The frame, `entity`, n (its partners, itself too), last (the largest of them) and columns, `work` of each entity's state.
+    Partners with a null value count in n and last alone; of an entity with one the columns are null."""
+    found = nodes.groupBy(*frame, *values, F.col(entity).isNull().alias("nameless")).agg(F.count("*").alias("members"), F.coalesce(F.max(entity).cast("long"), F.lit(0).cast("long")).alias("entity"))
+    crowd = found.groupBy(*frame).agg(F.ceil(F.count("*") / TASK_STATES).alias("_parts")).where("_parts > 1")
+    rows = found.join(crowd, list(frame), "left").fillna(1, ["_parts"])
+    left = rows.withColumn("_part", F.pmod(F.xxhash64("entity", "nameless"), F.col("_parts"))).drop("_parts")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")
+    right = rows.select(*[F.col(c).alias(c) for c in found.columns], parts)
+    added = {f.split()[0]: f.split()[1] for f in columns.split(", ")}
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+
+    def read(rows: pa.Table) -> tuple[np.ndarray, States]:
+        x = [rows.column(v).cast(pa.float64()) for v in values]
+        whole = np.logical_and.reduce([c.is_valid().to_numpy() for c in x])
+        numbers = np.stack([c.fill_null(0).to_numpy() for c in x], 1)
+        return whole, States(numbers, rows.column("members").to_numpy(), rows.column("entity").to_numpy(), ~rows.column("nameless").to_numpy())
+
+    def run(own: pa.Table, others: pa.Table) -> pa.Table:
+        (whole, asking), (known, met) = read(own), read(others)
+        size = own.num_rows
+        last = int(met.entity[met.named].max()) if met.named.any() else None
+        own = own.append_column("n", pa.array([int(met.members.sum())] * size, pa.int64())).append_column("last", pa.array([last] * size, pa.int64()))
+        out = {c: np.zeros(size, kinds[k].to_pandas_dtype()) for c, k in added.items()}
+        met, step = met[known], max(1, BLOCK_PAIRS // max(1, int(known.sum())))
+        with np.errstate(all="ignore"):
+            for at in np.split(np.flatnonzero(whole), range(step, int(whole.sum()), step)):
+                if len(at):
+                    for c, x in work(asking[at], met).items():
+                        out[c][at] = x
+        for c, k in added.items():
+            own = own.append_column(c, pa.array(out[c], kinds[k], mask=~whole))
+        return own
+
+    key = [*frame, "_part"]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema], "n long", "last long", columns])
+    told = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
+    told = told.select(*[F.col(c).alias(f"_{c}") for c in (*frame, *values)], F.col("nameless").alias("_nameless"), "n", "last", *added)
+    same = [nodes[c] == told[f"_{c}"] for c in frame] + [nodes[c].eqNullSafe(told[f"_{c}"]) for c in values] + [nodes[entity].isNull() == told["_nameless"]]
+    return nodes.join(told, same).select(*frame, entity, "n", "last", *added)
+
+
+def score_sums(query: np.ndarray, key: np.ndarray, heads: int = 1) -> Work:
+    """total and most of each head: the sum of its scores (see attention_scores) and the largest. query and key are the matrices of
+    `linear`."""
+
+    def work(own: States, met: States) -> dict[str, np.ndarray]:
+        out = {}
+        for h, (q, k) in enumerate(zip(np.split(own.values @ query.T, heads, 1), np.split(met.values @ key.T, heads, 1), strict=True)):
+            score = q @ k.T / len(query) ** 0.5
+            out |= {f"total{h}": score @ met.members, f"most{h}": score.max(1)}
+        return out
+
+    return work
+
+
+def _softmax(own: States, met: States, query: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and softmax weight of each pair, of one of the members that are met."""
+    score = (own.values @ query.T) @ (met.values @ key.T).T / len(query) ** 0.5
+    raised = np.exp(score - score.max(1, keepdims=True))
+    return score, raised / (raised @ met.members)[:, None]
+
+
+def attention_sums(query: np.ndarray, key: np.ndarray, digits: int) -> Work:
+    """total and squares of the softmax weights, and top, the partner of the largest weight, of weights that are equal when rounded the
+    largest partner (NAMELESS: none of these has a name)."""
+
+    def work(own: States, met: States) -> dict[str, np.ndarray]:
+        _, weight = _softmax(own, met, query, key)
+        short = np.rint(weight * 10.0**digits)
+        ahead = (short == short.max(1, keepdims=True)) | np.isnan(short).any(1, keepdims=True)
+        top = np.where(ahead & met.named, met.entity, NAMELESS).max(1)
+        return {"total": weight @ met.members, "squares": weight**2 @ met.members, "top": top}
+
+    return work
+
+
+def adjacency_sums(query: np.ndarray, key: np.ndarray) -> Work:
+    """Attention, gated by the sigmoid of the score (see gated) and normalised as in zero_softmax: zeros, how many weights are zero;
+    total; and sum0, sum1, ... of weight times each value. For entities with a name, over partners with one: of the others nobody knows
+    whether they are the entity itself."""
+
+    def work(own: States, met: States) -> dict[str, np.ndarray]:
+        score, weight = (x[:, met.named] for x in _softmax(own, met, query, key))
+        met = met[met.named]
+        if not len(met.members):
+            return {}
+        mask = 1 / (1 + np.exp(-score))
+        mask[~(mask > 0.5)] = 0.0
+        raised = (np.exp(weight * mask) - 1) ** 2
+        # Of the members of an entity's own state one is itself.
+        order = np.argsort(met.entity)
+        row, at = np.arange(len(score)), order[np.minimum(np.searchsorted(met.entity, own.entity, sorter=order), len(order) - 1)]
+        rest, itself = raised[row, at], (np.exp(weight[row, at] * (mask[row, at] + 1)) - 1) ** 2
+        whole = raised @ met.members + (itself - rest) + EPSILON
+        sums = (raised @ (met.values * met.members[:, None]) + (itself - rest)[:, None] * own.values) / whole[:, None]
+        zeros = (raised == 0) @ met.members + (itself == 0) - (rest == 0)
+        return {"zeros": zeros, "total": (whole - EPSILON) / whole} | {f"sum{i}": x for i, x in enumerate(sums.T)}
+
+    return work
+
+
+def inverse_distance_sums(most: float) -> Work:
+    """near: the sum of inverse distances, each at most `most`, and 0 where two coincide; known: of how many partners."""
+
+    def work(own: States, met: States) -> dict[str, np.ndarray]:
+        d = np.sqrt(sum((a[:, None] - b) ** 2 for a, b in zip(own.values.T, met.values.T, strict=True)))
+        return {"near": np.where(d == 0, 0.0, np.fmin(1 / d, most)) @ met.members, "known": met.members.sum()}
+
+    return work
