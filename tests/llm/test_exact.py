@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -147,6 +150,23 @@ def test_bpe_equals_tiktoken(spark, documents):
         assert hashed[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_worker_memory():
+    """Merging very many new parts leaves a worker small (157 MB more in one query, 50 MB in several)."""
+    code = """
+import random
+from wakeline.llm import bpe
+held = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096 >> 20
+coder, r = bpe.Coder(*bpe.vocabulary()), random.Random(3)
+coder.parts(b'warm')
+before = held()
+got = coder.merged(sorted({bytes(r.choices(b'etaoinshrdlu', k=12)) for _ in range(40_000)}))
+print(len(got), held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 39_000
+    assert int(out[1]) < 100
+
+
 def test_bpe_long_words():
     """Words of many kinds, far over LONG bytes, against the public library; parts only ever cut where no merge crosses."""
     import base64

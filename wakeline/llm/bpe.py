@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import table
 
-WORDS_AT_ONCE = 40_000
+#: Parts that one query merges: its rows are what a worker holds beside its tables.
+WORDS_AT_ONCE = 4_000
 LONG = 64
 KEPT_WORDS, KEPT_PARTS = 700_000, 400_000
 
@@ -83,19 +84,16 @@ class Coder:
         pairs = [(ranks[t[:i]] * 65536 + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.find = regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False})
+        # What a query frees goes back at once: the worker stands beside others for hours.
+        freed = {f"allocator_{name}flush_threshold": "1MB" for name in ("", "bulk_deallocation_")}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False} | freed)
         for name, data in (("merges", {"pair": [p for p, _ in pairs], "rank": pa.array([r for _, r in pairs], pa.int32())}), ("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "hexed": [t.hex() for t in ranks]})):
             self.db.register("given", pa.table(data))
             self.db.execute(f"create table {name} as select * from given")
         self.met: dict[str, tuple[str, int, bytes | None]] = {}
         self.seen: dict[bytes, tuple[str, int, bytes | None]] = {}
-        self.ranks = ranks
-
-    @cached_property
-    def begun(self) -> dict[bytes, bool]:
-        """What tokens of two bytes or more start with, and whether it is a token itself."""
-        starts = {t[:i] for t in self.ranks for i in range(2, len(t) + 1)}
-        return {t: t in self.ranks for t in starts}
+        #: What tokens of two bytes or more start with, and whether it is a token itself.
+        self.begun = {t[:i]: t[:i] in ranks for t in ranks for i in range(2, len(t) + 1)}
 
     def parts(self, word: bytes) -> list[bytes]:
         """The word, cut where no token in it reaches across."""
