@@ -5,13 +5,15 @@ crowded frame's are dealt over tasks by their first entity, so a task holds a bo
 
 Where only sums over partners are asked for, `summed` joins entities of equal values to one state and works its pairs out in blocks
 where they are summed: no pair is shuffled or written. The work grows with the square of a frame's different states, not of its
-entities; a task holds the states of one frame (eight bytes a value) and blocks of BLOCK_PAIRS pairs.
+entities; a task holds the states of one frame (eight bytes a value), the names of those that ask in it (eight bytes each, those of
+one state in one row) and blocks of BLOCK_PAIRS pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 FRAME = ("source_file", "window", "step")
 #: Entities of a frame that meet all others of it in one task.
 TASK_ENTITIES = 512
-#: States of a frame that meet all others of it in one task, and pairs that are worked out at once.
-TASK_STATES, BLOCK_PAIRS = 1 << 13, 1 << 18
+#: States of a frame that meet all others of it in one task, names that these carry, and pairs that are worked out at once.
+TASK_STATES, TASK_NAMES, BLOCK_PAIRS = 1 << 13, 1 << 20, 1 << 18
 #: Fixed value: what keeps a sum of zeros from dividing by zero.
 EPSILON = 1e-5
 
@@ -120,44 +122,52 @@ Work = Callable[[States, States], dict[str, np.ndarray]]
 
 def summed(nodes: DataFrame, values: Sequence[str], work: Work, columns: str, frame: Sequence[str] = FRAME, entity: str = "vessel_id") -> DataFrame:
     """The frame, `entity`, n (its partners, itself too), last (the largest of them) and columns, `work` of each entity's state.
-    Partners with a null value count in n and last alone; of an entity with one the columns are null."""
-    found = nodes.groupBy(*frame, *values, F.col(entity).isNull().alias("nameless")).agg(F.count("*").alias("members"), F.coalesce(F.max(entity).cast("long"), F.lit(0).cast("long")).alias("entity"))
-    crowd = found.groupBy(*frame).agg(F.ceil(F.count("*") / TASK_STATES).alias("_parts")).where("_parts > 1")
-    rows = found.join(crowd, list(frame), "left").fillna(1, ["_parts"])
-    left = rows.withColumn("_part", F.pmod(F.xxhash64("entity", "nameless"), F.col("_parts"))).drop("_parts")
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")
-    right = rows.select(*[F.col(c).alias(c) for c in found.columns], parts)
+    Partners with a null value count in n and last alone; of an entity with one the columns are null. Rows whose frame has a null
+    belong to no frame and go.
+
+    A state's row carries the names of its entities, so nobody is joined with the sums afterwards and `nodes` is worked out once.
+    """
+    kind = nodes.schema[entity].dataType.simpleString()
+    framed = nodes.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in frame]))
+    about = {"members": F.count("*"), "entity": F.coalesce(F.max(entity).cast("long"), F.lit(0).cast("long")), "names": F.collect_list(entity)}
+    found = framed.groupBy(*frame, *values, F.col(entity).isNull().alias("nameless")).agg(*[x.alias(c) for c, x in about.items()])
+    # These facts need every column of found, so one exchange serves them and the states.
+    facts = found.groupBy(*frame).agg(F.count("*").alias("states"), F.sum("members").alias("n"), F.max(F.when(~F.col("nameless"), F.col("entity"))).alias("last"), F.sum(F.size("names")).alias("named"))
+    parts = F.greatest(F.ceil(F.col("states") / TASK_STATES), F.ceil(F.col("named") / TASK_NAMES))
+    rows = found.join(facts.select(*frame, "n", "last", parts.alias("_parts")), list(frame))
+    own = F.pmod(F.xxhash64("entity", "nameless"), F.col("_parts"))
+    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).withColumn("asks", F.col("_part") == own)
+    dealt = dealt.withColumn("names", F.when(F.col("asks"), F.col("names"))).drop("_parts")
+    passed = [*frame, "nameless", "members", "names", "n", "last"]
     added = {f.split()[0]: f.split()[1] for f in columns.split(", ")}
     kinds = {"long": pa.int64(), "double": pa.float64()}
 
-    def read(rows: pa.Table) -> tuple[np.ndarray, States]:
+    def run(rows: pa.Table) -> pa.Table:
         x = [rows.column(v).cast(pa.float64()) for v in values]
-        whole = np.logical_and.reduce([c.is_valid().to_numpy() for c in x])
+        known = np.logical_and.reduce([c.is_valid().to_numpy() for c in x])
         numbers = np.stack([c.fill_null(0).to_numpy() for c in x], 1)
-        return whole, States(numbers, rows.column("members").to_numpy(), rows.column("entity").to_numpy(), ~rows.column("nameless").to_numpy())
-
-    def run(own: pa.Table, others: pa.Table) -> pa.Table:
-        (whole, asking), (known, met) = read(own), read(others)
-        size = own.num_rows
-        last = int(met.entity[met.named].max()) if met.named.any() else None
-        own = own.append_column("n", pa.array([int(met.members.sum())] * size, pa.int64())).append_column("last", pa.array([last] * size, pa.int64()))
+        every = States(numbers, rows.column("members").to_numpy(), rows.column("entity").to_numpy(), ~rows.column("nameless").to_numpy())
+        asks = rows.column("asks").to_numpy()
+        whole, asking, met = known[asks], every[asks], every[known]
+        size = len(whole)
         out = {c: np.zeros(size, kinds[k].to_pandas_dtype()) for c, k in added.items()}
-        met, step = met[known], max(1, BLOCK_PAIRS // max(1, int(known.sum())))
+        step = max(1, BLOCK_PAIRS // max(1, int(known.sum())))
         with np.errstate(all="ignore"):
             for at in np.split(np.flatnonzero(whole), range(step, int(whole.sum()), step)):
                 if len(at):
-                    for c, x in work(asking[at], met).items():
-                        out[c][at] = x
+                    for c, y in work(asking[at], met).items():
+                        out[c][at] = y
+        told = rows.filter(pa.array(asks)).select(passed)
+        names = told.column("names")  # Spark asks for lists that may hold nulls
+        told = told.set_column(passed.index("names"), "names", names.cast(pa.list_(pa.field("element", names.type.value_type))))
         for c, k in added.items():
-            own = own.append_column(c, pa.array(out[c], kinds[k], mask=~whole))
-        return own
-
-    key = [*frame, "_part"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema], "n long", "last long", columns])
-    told = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
-    told = told.select(*[F.col(c).alias(f"_{c}") for c in (*frame, *values)], F.col("nameless").alias("_nameless"), "n", "last", *added)
-    same = [nodes[c] == told[f"_{c}"] for c in frame] + [nodes[c].eqNullSafe(told[f"_{c}"]) for c in values] + [nodes[entity].isNull() == told["_nameless"]]
-    return nodes.join(told, same).select(*frame, entity, "n", "last", *added)
+            told = told.append_column(c, pa.array(out[c], kinds[k], mask=~whole))
+        return told
+
+    schema = ", ".join([*[f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in passed], columns])
+    told = dealt.groupBy(*frame, "_part").applyInArrow(run, schema)
+    nobody = F.array_repeat(F.lit(None).cast(kind), F.col("members").cast("int"))
+    return told.select(*frame, F.explode(F.when(F.col("nameless"), nobody).otherwise(F.col("names"))).alias(entity), "n", "last", *added)
 
 
 def score_sums(query: np.ndarray, key: np.ndarray, heads: int = 1) -> Work:
