@@ -358,3 +358,19 @@ def test_near_duplicates_of_repeated_ids(spark):
     got = jaccard.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
     told = [(1, text("a")), (2, text("b")), (4, text("c")), (4, text("d")), (None, text("a"))]
     assert Counter(map(tuple, got)) == Counter(told)
+
+
+def test_common_words_are_merged_once(monkeypatch):
+    """However many rare words pass, a common one and its parts stay. (Before: a full table was emptied, so each was merged anew.)"""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 60)
+    monkeypatch.setattr(bpe, "KEPT_PARTS", 120)
+    coder, r, asked = bpe.Coder(*bpe.vocabulary()), random.Random(8), []
+    merged = coder.merged
+    monkeypatch.setattr(coder, "merged", lambda parts: asked.extend(parts) or merged(parts))
+    common = "water mountain qzxv"
+    texts = [f"{common} {' '.join(''.join(r.choices('abcdefgh', k=6)) for _ in range(20))} {common}" for _ in range(30)]
+    told = [next(iter(coder.encode([t]))) for t in texts]
+    fresh = bpe.Coder(*bpe.vocabulary())
+    assert told == list(fresh.encode(texts)) and all(back == t.encode() for t, (_, _, back) in zip(texts, told, strict=True))
+    assert {asked.count(p) for w in (" mountain", " qzxv") for p in coder.parts(w.encode())} == {1}
+    assert len(coder.met) <= 60 and len(coder.seen) <= 120

@@ -6,7 +6,8 @@ word has a pair. Decoding joins the ids with the vocabulary and concatenates the
 
 Words are cut first wherever no token of the vocabulary that stands in the word reaches across: no merge can cross there, so the
 parts merge alone, are short and repeat more than words do. Words and parts met before are looked up in tables that a Python
-worker keeps; their size is bounded and they change no result. Parts over LONG bytes (runs such as one repeated letter) contract
+worker keeps; their size is bounded and they change no result. A full table becomes the older of two generations and what is met
+again moves to the younger one, so common words are never merged anew, however many rare ones pass. Parts over LONG bytes (runs such as one repeated letter) contract
 all their pairs of least rank in one round; that is the same unless a new pair ranks lower than the round that made it, which
 the query notices: such parts go one pair a round.
 
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import table
 
 #: Parts that one query merges: its rows are what a worker holds beside its tables.
-WORDS_AT_ONCE = 4_000
+WORDS_AT_ONCE = 10_000
 LONG = 64
-KEPT_WORDS, KEPT_PARTS = 700_000, 400_000
+#: Words and parts of a generation; a worker keeps two of each. Bytes of words that are cut at once.
+KEPT_WORDS, KEPT_PARTS = 350_000, 200_000
+CUT_BYTES = 1 << 18
 
 # A state row: word, position, token, next token (-1 at the end), round, and the rank and position that the round contracted.
 _ONE = """
@@ -69,7 +72,7 @@ with recursive s(w, pos, tok, nt, it, best) as (
 """
 _TAIL = """
 last as (select w, max(it) it from s group by w)
-select s.w, string_agg(s.tok::varchar, ',' order by s.pos) ids, count(*)::int n,
+select s.w, string_agg(s.tok::varchar, ',' order by s.pos) ids,
        string_agg(v.hexed, '' order by s.pos) decoded, min(s.best) = -2 doubtful
 from s join last on s.w = last.w and s.it = last.it join vocabulary v on v.id = s.tok group by s.w
 """
@@ -90,24 +93,59 @@ class Coder:
         for name, data in (("merges", {"pair": [p for p, _ in pairs], "rank": pa.array([r for _, r in pairs], pa.int32())}), ("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "hexed": [t.hex() for t in ranks]})):
             self.db.register("given", pa.table(data))
             self.db.execute(f"create table {name} as select * from given")
-        self.met: dict[str, tuple[str, int, bytes | None]] = {}
-        self.seen: dict[bytes, tuple[str, int, bytes | None]] = {}
-        #: What tokens of two bytes or more start with, and whether it is a token itself.
-        self.begun = {t[:i]: t[:i] in ranks for t in ranks for i in range(2, len(t) + 1)}
+        #: Ids of words and parts, joined by commas: the younger generation and the older one.
+        self.met: dict[str, str] = {}
+        self.met_before: dict[str, str] = {}
+        self.seen: dict[bytes, str] = {}
+        self.seen_before: dict[bytes, str] = {}
+        #: What parts decode to if it is not the part itself, and the words that hold such parts.
+        self.odd: dict[bytes, bytes] = {}
+        self.odd_words: dict[str, bytes] = {}
+        self._trie(ranks)
+
+    def _trie(self, ranks: dict[bytes, int]) -> None:
+        """What tokens of two bytes or more start with, as nodes: single bytes are nodes 0 to 255, a step is node * 256 + byte."""
+        begun = {t[:i] for t in ranks for i in range(2, len(t) + 1)}
+        node = {bytes([i]): i for i in range(256)} | {t: i for i, t in enumerate(sorted(begun, key=len), 256)}
+        steps = np.array([node[t[:-1]] * 256 + t[-1] for t in begun], np.int64)
+        to, token = np.array([node[t] for t in begun], np.int64), np.array([t in ranks for t in begun])
+        order = np.argsort(steps)
+        self.steps, self.to, self.token = steps[order], to[order], token[order]
+
+    def _bounds(self, data: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where parts start in bytes whose words end at `end`, told for each byte."""
+        reach = np.arange(1, len(data) + 1)
+        at, node, size = np.arange(len(data)), data.astype(np.int64), 1
+        while len(at):
+            more = at + size < end[at]
+            at = at[more]
+            step = node[more] * 256 + data[at + size]
+            found = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            hit = self.steps[found] == step
+            at, found, size = at[hit], found[hit], size + 1
+            node, token = self.to[found], self.token[found]
+            reach[at[token]] = at[token] + size
+        far = np.maximum.accumulate(reach)
+        return np.append(0, np.flatnonzero(far[:-1] <= np.arange(1, len(data))) + 1)
+
+    def cut(self, words: list[bytes]) -> list[list[bytes]]:
+        """Each word, none empty, cut where no token in it reaches across. What is cut at once holds CUT_BYTES, or one longer word."""
+        out: list[list[bytes]] = []
+        ends = np.cumsum([len(w) for w in words])
+        first = 0
+        while first < len(words):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + CUT_BYTES, "right")))
+            joined, own = b"".join(words[first:last]), ends[first:last] - before
+            cuts = self._bounds(np.frombuffer(joined, np.uint8), np.repeat(own, np.diff(own, prepend=0)))
+            pieces = [joined[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(joined)], strict=True)]
+            places = [0, *np.searchsorted(cuts, own).tolist()]
+            out += [pieces[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+            first = last
+        return out
 
     def parts(self, word: bytes) -> list[bytes]:
-        """The word, cut where no token in it reaches across."""
-        out, start, reach, begun = [], 0, 0, self.begun
-        for at in range(len(word)):
-            if at and at >= reach:
-                out.append(word[start:at])
-                start = at
-            end = at + 2
-            while end <= len(word) and (token := begun.get(word[at:end])) is not None:
-                if token:
-                    reach = max(reach, end)
-                end += 1
-        return [*out, word[start:]]
+        return self.cut([word])[0]
 
     def _merged(self, words: list[bytes], rounds: str) -> list[tuple]:
         size = np.array([len(w) for w in words])
@@ -119,50 +157,59 @@ class Coder:
         self.db.register("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": pos.astype(np.int32), "tok": tok, "nt": nxt.astype(np.int32)}))
         return self.db.execute(rounds + _TAIL).fetchall()
 
-    def merged(self, parts: list[bytes]) -> dict[bytes, tuple[str, int, bytes | None]]:
-        """Of each part, none empty and none twice, its ids, their number and what they decode to (None: the part itself)."""
+    def merged(self, parts: list[bytes]) -> dict[bytes, str]:
+        """Of each part, none empty and none twice, its ids."""
         out = {}
         for some, rounds in (([p for p in parts if len(p) <= LONG], _ONE), ([p for p in parts if len(p) > LONG], _ALL)):
             for at in range(0, len(some), WORDS_AT_ONCE):
                 coded = some[at : at + WORDS_AT_ONCE]
-                for w, ids, n, decoded, doubtful in self._merged(coded, rounds):
+                for w, ids, decoded, doubtful in self._merged(coded, rounds):
                     if doubtful:
-                        ((_, ids, n, decoded, _),) = self._merged([coded[w]], _ONE)
-                    back = bytes.fromhex(decoded)
-                    out[coded[w]] = ids, n, None if back == coded[w] else back
+                        ((_, ids, decoded, _),) = self._merged([coded[w]], _ONE)
+                    out[coded[w]] = ids
+                    if (back := bytes.fromhex(decoded)) != coded[w]:
+                        self.odd[coded[w]] = back
         return out
 
-    def learn(self, new: list[str]) -> dict[str, tuple[str, int, bytes | None]]:
-        """Adds words, new and not empty, to the table; those over LONG bytes are only returned, so the tables hold few bytes."""
-        cut = {w: self.parts(w.encode()) for w in new}
-        need = {p for parts in cut.values() for p in parts if p not in self.seen}
+    def learn(self, new: list[str]) -> list[str]:
+        """Adds words, new and not empty, to the younger generation and returns those over LONG bytes, which must not stay, so that
+        the tables hold few bytes."""
+        coded = [w.encode() for w in new]
+        cut = self.cut(coded)
+        distinct = {p for parts in cut for p in parts}
+        need = distinct.difference(self.seen)
         if len(self.seen) + len(need) > KEPT_PARTS:
-            self.seen.clear()
-            need = {p for parts in cut.values() for p in parts}
-        got = self.merged(sorted(need))
-        self.seen.update((p, x) for p, x in got.items() if len(p) <= LONG)
-        told = {}
-        for w, parts in cut.items():
-            found = [self.seen.get(p) or got[p] for p in parts]
-            if len(found) > 1:
-                back = None if all(b is None for _, _, b in found) else b"".join([p if b is None else b for p, (_, _, b) in zip(parts, found, strict=True)])
-                found = [(",".join([ids for ids, _, _ in found]), sum(n for _, n, _ in found), back)]
-            (self.met if sum(map(len, parts)) <= LONG else told)[w] = found[0]
-        return told
+            self.seen_before, self.seen, need = self.seen, {}, distinct
+        again = {p: x for p in need if (x := self.seen_before.get(p)) is not None}
+        self.seen |= again
+        long = self.merged(sorted(need.difference(again)))
+        self.seen |= long
+        for w, parts in zip(new, cut, strict=True):
+            self.met[w] = self.seen[parts[0]] if len(parts) == 1 else ",".join([self.seen[p] for p in parts])
+            if self.odd and any(p in self.odd for p in parts):
+                self.odd_words[w] = b"".join([self.odd.get(p, p) for p in parts])
+        for p in [p for p in long if len(p) > LONG]:
+            del self.seen[p]
+        return [w for w, c in zip(new, coded, strict=True) if len(c) > LONG]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """Of each text the number of ids, the ids joined by commas, and the bytes that the ids decode to."""
         for at in range(0, len(texts), 512):
             split = [self.find(t) for t in texts[at : at + 512]]
-            new = {w for words in split for w in words if w not in self.met}
+            distinct = set().union(*split)
+            new = distinct.difference(self.met)
             if len(self.met) + len(new) > KEPT_WORDS:
-                self.met.clear()
-                new = {w for words in split for w in words}
-            long = self.learn(sorted(new))
-            met = self.met
+                self.met_before, self.met, new = self.met, {}, distinct
+            again = {w: x for w in new if (x := self.met_before.get(w)) is not None}
+            self.met |= again
+            long = self.learn(sorted(new.difference(again)))
             for words in split:
-                got = [met.get(w) or long[w] for w in words] if long else [met[w] for w in words]
-                yield sum(n for _, n, _ in got), ",".join([ids for ids, _, _ in got]), b"".join([w.encode() if b is None else b for w, (_, _, b) in zip(words, got, strict=True)])
+                ids = ",".join(map(self.met.__getitem__, words))
+                whole = not self.odd_words or self.odd_words.keys().isdisjoint(words)
+                back = "".join(words).encode() if whole else b"".join([self.odd_words.get(w) or w.encode() for w in words])
+                yield ids.count(",") + 1 if ids else 0, ids, back
+            for w in long:
+                del self.met[w]
 
 
 @lru_cache(maxsize=2)
