@@ -7,6 +7,7 @@ import math
 import random
 import subprocess
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -374,3 +375,31 @@ def test_common_words_are_merged_once(monkeypatch):
     assert told == list(fresh.encode(texts)) and all(back == t.encode() for t, (_, _, back) in zip(texts, told, strict=True))
     assert {asked.count(p) for w in (" mountain", " qzxv") for p in coder.parts(w.encode())} == {1}
     assert len(coder.met) <= 60 and len(coder.seen) <= 120
+
+
+def test_only_asked_texts_are_shuffled(spark):
+    """Of 1,500 unlike texts and 40 pairs of near copies only the latter's texts meet, and as texts, not as hashes. (Before: all
+    texts were shuffled, and whole sets of 64-bit hashes, which don't compress.)"""
+    r = random.Random(11)
+    text = lambda words: " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(words))
+    near = [text(400) for _ in range(40)]
+    texts = [text(300) for _ in range(1500)] + [f"{t} {i}" for i, t in enumerate(near)] + [f"{t} again" for t in near]
+    docs = jaccard._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "text", "doc_id")
+    pairs = spark.createDataFrame([(1500 + i, 1540 + i) for i in range(40)] + [(1500, 1501)], "a long, b long")
+    wrote = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        staged_docs = jaccard.staged(docs, "docs")
+        classes = staged_docs.select(F.col("doc_id").alias("node"), "doc_id", "copy")
+        time.sleep(1)
+        at = wrote()
+        links = jaccard._verified(pairs, classes, staged_docs, 3, 90, 100)
+        got = sorted(map(tuple, links.collect()))
+        time.sleep(1)
+        size = wrote() - at
+        jaccard.dropped(links, staged_docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1500 + i, 1540 + i) for i in range(40)]
+    assert size < 1_500_000, size

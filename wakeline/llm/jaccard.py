@@ -46,6 +46,8 @@ PAIRED_TOKENS = 40
 BITMAP = 8
 #: Members of a list that one pivot takes, and that meet in one task.
 PIVOT_MEMBERS, TASK_MEMBERS = 1024, 4096
+#: Pairs whose sets are held at once, and buckets of texts that are told to all executors (a set of at most so many numbers).
+PAIRS_AT_ONCE, ASKED_BUCKETS = 128, 1 << 22
 SETS = "doc_id long, copy long, n_shingles long, key binary, prefix array<long>, rare int, bitmap array<long>"
 
 
@@ -185,22 +187,30 @@ def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs a, b whose whole sets are similar, staged. Sets are built again from the texts of the classes asked for."""
+    """The pairs a, b whose whole sets are similar, staged. Sets are built again from the texts of the classes asked for, of both
+    ends where they meet: texts are shuffled compressed, hashes would not compress."""
     pairs = staged(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = staged(classes.join(nodes, "node", "left_semi").select("node", "doc_id", "copy"), "asked")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [s.view(np.int64) for s in sets(batch.column(1).to_pylist(), n)]
-            yield pa.record_batch([batch.column(0), pa.array(got, pa.list_(pa.int64()))], ["node", "tokens"])
-
-    whole = staged(docs.join(asked, ["doc_id", "copy"]).select("node", "text").mapInArrow(build, "node long, tokens array<long>"), "whole")
+            for at in range(0, len(batch), PAIRS_AT_ONCE):
+                a, b, ta, tb = (c.to_pylist() for c in batch.slice(at, PAIRS_AT_ONCE).columns)
+                texts = dict(zip(a, ta, strict=True)) | dict(zip(b, tb, strict=True))
+                whole = dict(zip(texts, sets(list(texts.values()), n), strict=True))
+                inter = [len(np.intersect1d(whole[x], whole[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
+                alike = [i * den >= (len(whole[x]) + len(whole[y]) - i) * num for x, y, i in zip(a, b, inter, strict=True)]
+                yield pa.record_batch([pa.array([x for x, is_ in zip(c, alike, strict=True) if is_], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    # Few texts are asked for. What surely isn't goes before the join, by a number of buckets that doesn't grow with the input.
+    bucket = lambda c: F.pmod(F.col(c), F.lit(ASKED_BUCKETS)).cast("int")
+    some = docs.join(F.broadcast(asked.select(bucket("copy").alias("bucket")).distinct()), bucket("copy") == F.col("bucket"), "left_semi")
+    texts = staged(some.join(asked, ["doc_id", "copy"]).select("node", "text"), "texts")
     # b first: it is seldom hot; then rows are large and Spark splits what is left of a hot a.
-    found = pairs.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    links = staged(found.where(inter * den >= (F.size("ta") + F.size("tb") - inter) * num).select("a", "b").distinct(), "links")
-    dropped(pairs, asked, whole)
+    found = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    links = staged(found.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct(), "links")
+    dropped(pairs, asked, texts)
     return links
 
 
