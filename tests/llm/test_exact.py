@@ -50,6 +50,38 @@ def test_jaccard_long_lists(spark, monkeypatch):
         assert {r[0]: (r[1], r[2]) for r in jaccard.join(df, 3, 80, 100).collect()} == brute.components(rows, 3, 80, 100)
 
 
+def _generated(spark, first: int, of: str) -> int:
+    """Rows that Generate nodes on `of` made in the SQL executions from the first-th on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs, made = store.executionsList(first, 10_000), 0
+    for at in range(runs.size()):
+        run = runs.apply(at).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate" and of in node.desc():
+                metrics = (node.metrics().apply(i) for i in range(node.metrics().size()))
+                told = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                made += sum(int(v.get().replace(",", "")) for v in told if v.isDefined())
+    return made
+
+
+def test_jaccard_pairs_of_near_copies(spark, monkeypatch):
+    """In a group of near copies only tokens at which a partner is possible are paired: a few rows a document, made once."""
+    monkeypatch.setattr(jaccard, "ASKING", 4)
+    rng = np.random.default_rng(5)
+    rows = []
+    for doc in range(160):
+        words = [f"w{i}" for i in range(60)]
+        for at in rng.choice(60, 1 + doc % 3, replace=False):
+            words[at] = f"x{doc}y{at}"
+        rows.append((doc, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert {r[0]: (r[1], r[2]) for r in jaccard.join(df, 3, 80, 100).collect()} == brute.components(rows, 3, 80, 100)
+    assert 0 < _generated(spark, first, "flatten(transform(own") <= 5 * len(rows)
+
+
 def test_jaccard_empty(empty):
     assert jaccard.join(empty).collect() == []
 

@@ -250,17 +250,42 @@ def _outside(lists: DataFrame) -> DataFrame:
     return looked_up(lists, open_.select("k", "major", "size", "asking"), ["k"], F.col("node"), 8).where("major is not null").withColumn("asks", F.col("root") != F.col("major"))
 
 
-def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a, b of one list and of two components of which one asks, sizes and places permitting.
+def _band(size: Column, num: int, den: int) -> Column:
+    return F.floor(F.log(size.cast("double")) / (math.log(den / num) / 2) + 1e-9)
+
+
+def _bounded(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows with the least and largest size (cap) of a partner that meets a set of size n at its place p.
 
     Two sets meet at their first or second shared token, for pairs of tokens p is the place of the second. From place p on a set
-    of n tokens shares n - p at most, and one token before. That bounds the partner's size. Partners are met in bands of size; members of very long lists are spread over tasks.
+    of n tokens shares n - p at most, and one token before. That bounds the partner's size.
     """
-    step = math.log(den / num) / 2
-    band = lambda c: F.floor(F.log(c.cast("double")) / step + 1e-9)
     cap = F.least(F.floor(F.col("n") * den / num), F.floor((F.col("n") - F.col("p") + 1) * (num + den) / num) - F.col("n"))
     least = F.ceil(F.col("n") * num / den)
-    rows = rows.withColumn("cap", cap).withColumn("least", least).where("cap >= least")
+    return rows.withColumn("cap", cap).withColumn("least", least).where("cap >= least")
+
+
+def _partnered(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of lists without those that no partner of their list can meet, by what is known of each band of sizes.
+
+    A member of the largest component has partners among those that ask, the others among all. Both of two sets that meet stay,
+    at each shared token up to the one where they meet, as caps fall with the place.
+    """
+    rows = _bounded(rows, num, den)
+    sizes = rows.groupBy("k", "asks", _band(F.col("n"), num, den).alias("band")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("cap").alias("reach"))
+    bands = sizes.groupBy("k").agg(F.collect_list(F.struct("asks", "low", "high", "reach")).alias("bands"))
+
+    def meets(b: Column) -> Column:
+        return (b["asks"] | F.col("asks")) & (b["low"] <= F.col("cap")) & (b["high"] >= F.col("least")) & (b["low"] * num <= F.col("n") * den) & (b["reach"] >= F.col("n"))
+
+    return looked_up(rows, bands, ["k"], F.col("node"), 8).where(F.exists("bands", meets)).drop("bands", "cap", "least")
+
+
+def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs a, b of one list and of two components of which one asks, sizes and places permitting. Partners are met in bands of
+    size; members of very long lists are spread over tasks."""
+    band = lambda c: _band(c, num, den)
+    rows = _bounded(rows, num, den)
     spread = F.ceil(F.col("size") / TASK_MEMBERS)
     left = rows.where("asks").withColumn("task", F.pmod(F.xxhash64("node"), spread)).withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.col("cap")))))
     right = rows.select("k", band(F.col("n")).alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)).alias("task"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "cap", "least", "asks")])
@@ -273,18 +298,18 @@ def _open_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
     """Pairs of different components that share a rare token, two frequent ones, or one of a set with many frequent ones."""
     known = lists.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = staged(_outside(known), "open")
-    short, long = rows.where((F.col("asking") <= ASKING) & ~F.col("twin")), rows.where(F.col("asking") > ASKING)
+    short, long = rows.where((F.col("asking") <= ASKING) & ~F.col("twin")), staged(_partnered(rows.where(F.col("asking") > ASKING), num, den), "partnered")
     many = long.groupBy("node").agg(F.count("*").alias("tokens"))
     marked = long.join(many, "node")
     few = marked.where(F.col("tokens") <= PAIRED_TOKENS).groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("p", "k"))).alias("own"))
     own = F.col("own")
     two = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, PAIRED_TOKENS), lambda y: F.struct(y["p"].alias("p"), F.xxhash64(x["k"], y["k"]).alias("k")))))
-    pairs = few.select("node", "n", "root", F.explode(two).alias("x")).select("x.k", "node", "n", "x.p", "root")
+    pairs = staged(few.select("node", "n", "root", F.explode(two).alias("x")).select("x.k", "node", "n", "x.p", "root"), "paired")
     # Sets with more frequent tokens than that ask in the whole lists of theirs.
     whole = marked.withColumn("asks", F.col("tokens") > PAIRED_TOKENS)
     found = _met(short, num, den).unionByName(_met(_outside(pairs), num, den)).unionByName(_met(whole, num, den))
     out = staged(found.distinct(), "met")
-    dropped(rows)
+    dropped(rows, long, pairs)
     return out
 
 
