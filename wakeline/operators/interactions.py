@@ -3,10 +3,10 @@
 A frame is what `frame` names, for example (source_file, window, step). Its pairs are its output, one row for each ordered pair; a
 crowded frame's are dealt over tasks by their first entity, so a task holds a bounded part of them.
 
-Where only sums over partners are asked for, `summed` joins entities of equal values to one state and works its pairs out in blocks
-where they are summed: no pair is shuffled or written. The work grows with the square of a frame's different states, not of its
-entities; a task holds the states of one frame (eight bytes a value), the names of those that ask in it (eight bytes each, those of
-one state in one row) and blocks of BLOCK_PAIRS pairs.
+Where only sums over partners are asked for, `summed` joins entities of equal values to one state and works its pairs out where they
+are summed: no pair is shuffled or written. Of up to MET_STATES states all pairs are met, in blocks; of more only those pairs that
+`fields` can't sum by groups. A task holds the states of one frame (eight bytes a value), the names of those that ask in it (eight
+bytes each, those of one state in one row), blocks of BLOCK_PAIRS pairs and the moments of the groups.
 """
 
 from __future__ import annotations
@@ -20,11 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.operators import fields
+
 FRAME = ("source_file", "window", "step")
 #: Entities of a frame that meet all others of it in one task.
 TASK_ENTITIES = 512
 #: States of a frame that meet all others of it in one task, names that these carry, and pairs that are worked out at once.
-TASK_STATES, TASK_NAMES, BLOCK_PAIRS = 1 << 13, 1 << 20, 1 << 18
+TASK_STATES, TASK_NAMES, BLOCK_PAIRS = 1 << 16, 1 << 20, 1 << 18
+#: Most states of a frame that meet singly.
+MET_STATES = 1 << 12
 #: Fixed value: what keeps a sum of zeros from dividing by zero.
 EPSILON = 1e-5
 
@@ -116,8 +120,13 @@ class States:
         return States(self.values[some], self.members[some], self.entity[some], self.named[some])
 
 
-#: From some states and all those of their frame that they meet, the columns of the first.
-Work = Callable[[States, States], dict[str, np.ndarray]]
+@dataclass
+class Work:
+    """From some states and all those of their frame that they meet, the columns of the first: pair by pair, and (None: not for these)
+    for many states."""
+
+    singly: Callable[[States, States], dict[str, np.ndarray]]
+    many: Callable[[States, States], dict[str, np.ndarray] | None] | None = None
 
 
 def summed(nodes: DataFrame, values: Sequence[str], work: Work, columns: str, frame: Sequence[str] = FRAME, entity: str = "vessel_id") -> DataFrame:
@@ -153,9 +162,12 @@ def summed(nodes: DataFrame, values: Sequence[str], work: Work, columns: str, fr
         out = {c: np.zeros(size, kinds[k].to_pandas_dtype()) for c, k in added.items()}
         step = max(1, BLOCK_PAIRS // max(1, int(known.sum())))
         with np.errstate(all="ignore"):
-            for at in np.split(np.flatnonzero(whole), range(step, int(whole.sum()), step)):
+            found = work.many(asking[whole], met) if work.many and known.sum() > MET_STATES and whole.any() else None
+            for c, y in (found or {}).items():
+                out[c][whole] = y
+            for at in np.split(np.flatnonzero(whole), range(step, int(whole.sum()), step)) if found is None else ():
                 if len(at):
-                    for c, y in work(asking[at], met).items():
+                    for c, y in work.singly(asking[at], met).items():
                         out[c][at] = y
         told = rows.filter(pa.array(asks)).select(passed)
         names = told.column("names")  # Spark asks for lists that may hold nulls
@@ -181,7 +193,7 @@ def score_sums(query: np.ndarray, key: np.ndarray, heads: int = 1) -> Work:
             out |= {f"total{h}": score @ met.members, f"most{h}": score.max(1)}
         return out
 
-    return work
+    return Work(work)
 
 
 def _softmax(own: States, met: States, query: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +214,7 @@ def attention_sums(query: np.ndarray, key: np.ndarray, digits: int) -> Work:
         top = np.where(ahead & met.named, met.entity, NAMELESS).max(1)
         return {"total": weight @ met.members, "squares": weight**2 @ met.members, "top": top}
 
-    return work
+    return Work(work)
 
 
 def adjacency_sums(query: np.ndarray, key: np.ndarray) -> Work:
@@ -227,7 +239,49 @@ def adjacency_sums(query: np.ndarray, key: np.ndarray) -> Work:
         zeros = (raised == 0) @ met.members + (itself == 0) - (rest == 0)
         return {"zeros": zeros, "total": (whole - EPSILON) / whole} | {f"sum{i}": x for i, x in enumerate(sums.T)}
 
-    return work
+    maps = query.T @ key / len(query) ** 0.5
+
+    def many(own: States, met: States) -> dict[str, np.ndarray] | None:
+        asks = own.values @ maps
+        softmax = fields.exponential_sums(asks, met.values, met.members)
+        met = met[met.named]
+        if softmax is None or not len(met.members):
+            return softmax if softmax is None else {}
+        share = 1 / softmax
+
+        def raised(score: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            """(e^g - 1)^2 of the weight times the sigmoid, g, in place; three terms do for a small g."""
+            g = np.exp(score)
+            work = g + 1
+            g *= g
+            g /= work
+            g *= share[rows, None]
+            if not tiny:
+                return np.square(np.expm1(g, g), g)
+            np.multiply(g, 7 / 12, work)
+            work += 1
+            work *= g
+            work += 1
+            g *= g
+            g *= work
+            return g
+
+        most = (np.abs(asks).max(0) * np.abs(met.values).max(0)).sum()
+        tiny = np.exp(most) * share.max() < 2e-4
+        found = fields.positive_sums(asks, met.values, met.members.astype(float), raised, np.expm1(share / 2) ** 2)
+        if found is None:
+            return None
+        ahead, total, sums = found
+        score = (asks * own.values).sum(1)
+        weight = np.exp(score) * share
+        mask = np.where(score > fields.POSITIVE, 1 / (1 + np.exp(-score)), 0.0)
+        rest, itself = np.expm1(weight * mask) ** 2, np.expm1(weight * (mask + 1)) ** 2
+        whole = total + (itself - rest) + EPSILON
+        sums = (sums + (itself - rest)[:, None] * own.values) / whole[:, None]
+        zeros = met.members.sum() - ahead + (itself == 0) - (rest == 0)
+        return {"zeros": zeros, "total": (whole - EPSILON) / whole} | {f"sum{i}": x for i, x in enumerate(sums.T)}
+
+    return Work(work, many)
 
 
 def inverse_distance_sums(most: float) -> Work:
@@ -237,4 +291,4 @@ def inverse_distance_sums(most: float) -> Work:
         d = np.sqrt(sum((a[:, None] - b) ** 2 for a, b in zip(own.values.T, met.values.T, strict=True)))
         return {"near": np.where(d == 0, 0.0, np.fmin(1 / d, most)) @ met.members, "known": met.members.sum()}
 
-    return work
+    return Work(work)
