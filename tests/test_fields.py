@@ -9,7 +9,7 @@ import pytest
 from wakeline.operators import fields, interactions
 from wakeline.plans import graphs
 
-MANY_QUERIES = ["sparse_adjacency"]
+MANY_QUERIES = ["sparse_adjacency", "graph_features"]
 
 
 def states(count: int, columns: int = 4) -> interactions.States:
