@@ -9,7 +9,7 @@ import pytest
 from wakeline.operators import fields, interactions
 from wakeline.plans import graphs
 
-MANY_QUERIES = ["sparse_adjacency", "graph_features"]
+MANY_QUERIES = ["sparse_adjacency", "graph_features", "nearness"]
 
 
 def states(count: int, columns: int = 4) -> interactions.States:
@@ -70,6 +70,24 @@ def test_adjacency_of_many_states_meets_few_pairs(monkeypatch):
     assert sum(met) < 0.5 * len(whole.members) ** 2
 
 
+def test_nearness_of_many_states():
+    """(Before: every pair.) Places on lines, places nearer than the cap, and the place itself."""
+    equal_to_singly(interactions.inverse_distance_sums(1000.0), states(20000, 2), 1e-12)
+
+
+@pytest.mark.parametrize("stretch", [(1.0, 1.0), (1.0, 0.0), (1.0, 1e-3), (1e6, 3e6)])
+def test_inverse_distances_of_other_places(stretch):
+    rng = np.random.default_rng(2)
+    a, b = (rng.random((n, 2)) * stretch + np.array([5.0, -7.0]) for n in (300, 9000))
+    b[:9] = a[:9]
+    weight, most = rng.integers(1, 5, 9000), 400 / stretch[0]
+    d = np.sqrt(((a[:, None] - b) ** 2).sum(2))
+    with np.errstate(divide="ignore"):
+        told = np.where(d == 0, 0, np.minimum(1 / d, most)) @ weight
+    assert np.allclose(fields.inverse_distance_sums(a, b, weight, most), told, rtol=1e-11, atol=0)
+    assert fields.inverse_distance_sums(a, np.concatenate([b / 1e6, [[9e9, 9e9]]]), np.ones(9001), most) is None
+
+
 def test_expansions_refuse_what_they_cannot_bound():
     far = np.array([[0.0, 0.0], [100.0, 3.0]])
     one = np.ones(2)

@@ -12,18 +12,23 @@ from math import factorial
 
 import numpy as np
 
-#: Points of a group, terms of an expansion, points whose terms are held at once, and points that a group meets at once.
-LEAF, TERMS, HELD, BLOCK = 64, 1 << 13, 32, 512
+#: Points of a group, where there are not too many groups, terms of an expansion, points whose terms and groups whose bounds are held at
+#: once, and points that a group meets at once.
+LEAF, GROUPS, TERMS, HELD, BLOCK = 64, 1 << 11, 1 << 13, 32, 512
 #: The least score whose sigmoid is over a half in double precision.
 POSITIVE = 1.5 * 2.0**-53
+#: Grid points between which a place is interpolated (by a side), the radius of what is not smooth in steps of the grid, cells of the
+#: grid for each point and in all, and what the inverse root of 1 - x is in powers of x, of which the smooth part keeps these.
+STENCIL, RADIUS, CELLS, MOST_CELLS = 18, 28, 32, 1 << 21
+SMOOTH = np.cumprod([1.0, *[(i - 0.5) / i for i in range(1, 18)]])
 #: Chebyshev nodes at which a function of a score is taken.
 NODES = 40
 
 
-def leaves(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the points, and where in it groups of at most `most` neighbours begin (and the last ends): a group is halved across
-    its widest side."""
-    groups, found = [np.arange(len(points))], []
+def leaves(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the points, and where in it groups of neighbours begin (and the last ends): a group is halved across its widest side
+    until it is small."""
+    most, groups, found = max(LEAF, len(points) // GROUPS), [np.arange(len(points))], []
     while groups:
         group = groups.pop()
         if len(group) <= most:
@@ -42,9 +47,9 @@ def boxes(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (low + high) / 2, (high - low) / 2
 
 
-def score_bounds(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest product of groups of a with groups of b, with room for rounding."""
-    (am, ar), (bm, br) = boxes(a, a_starts), boxes(b, b_starts)
+def score_bounds(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest product of points in boxes of a with points in boxes of b, with room for rounding."""
+    (am, ar), (bm, br) = a, b
     room = np.abs(am) @ br.T + ar @ np.abs(bm).T + ar @ br.T
     middle = am @ bm.T
     room += 1e-12 * (room + np.abs(am) @ np.abs(bm).T)
@@ -136,7 +141,7 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
     positive; errors are at most `drop` of that. Groups of b that are positive to a group of a are summed by their moments, those
     with both signs pair by pair.
     """
-    (order, starts), (b_order, b_starts) = leaves(a, LEAF), leaves(b, LEAF)
+    (order, starts), (b_order, b_starts) = leaves(a), leaves(b)
     a, b, weight, least = a[order], b[b_order], weight[b_order], least[order]
     b0 = (b.max(0) + b.min(0)) / 2
     (u, reach), (v, far) = _scaled(a, 0.0), _scaled(b, b0)
@@ -166,13 +171,13 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
     wider = Terms(more, np.ones(len(more)), more.sum(1))
     moments = np.stack([wider.of(v[i:j]) @ weight[i:j] for i, j in zip(b_starts, b_starts[1:], strict=False)])
     members = np.add.reduceat(weight, b_starts[:-1])
-    low, high = score_bounds(a, starts, b, b_starts)
-    inside, both = low > POSITIVE, (low <= POSITIVE) & (high > POSITIVE)
+    (middles, sides), b_boxes = boxes(a, starts), boxes(b, b_starts)
     weights, sizes = np.concatenate([weight[:, None], weight[:, None] * b], 1), np.diff(b_starts)
     known, sums = np.zeros(len(a)), np.zeros((len(a), 1 + len(far)))
     degrees = np.searchsorted(used.degree, np.arange(len(size) + 1))
-    for first in range(0, len(inside), HELD):
-        within = inside[first : first + HELD]
+    for first in range(0, len(middles), HELD):
+        low, high = score_bounds((middles[first : first + HELD], sides[first : first + HELD]), b_boxes)
+        within, both = low > POSITIVE, (low <= POSITIVE) & (high > POSITIVE)
         mixed = within.any(0) & ~within.all(0)
         gathered = within[:, mixed].astype(float) @ moments[mixed] + moments[within.all(0)].sum(0)
         for k, (i, j) in enumerate(zip(starts[first:], starts[first + 1 : first + 1 + HELD], strict=False)):
@@ -180,7 +185,7 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
             some = sum(series[i:j, n, None] * (own[x:y].T @ met[x:y]) for n, (x, y) in enumerate(zip(degrees, degrees[1:], strict=False)))
             some[:, 1:] = some[:, 1:] * far + some[:, :1] * b0
             known[i:j] = members[within[k]].sum()
-            near = np.flatnonzero(np.repeat(both[first + k], sizes))
+            near = np.flatnonzero(np.repeat(both[k], sizes))
             for n in range(0, len(near), BLOCK):
                 some_b = near[n : n + BLOCK]
                 scores = a[i:j] @ b[some_b].T
@@ -197,11 +202,100 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
 def contenders(a: np.ndarray, b: np.ndarray, margin: Callable[[np.ndarray, float], float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Some rows of a with all rows of b whose product with one of them may be the largest or within margin(rows, least) of it, until
     every row of a was told. least: what the largest product of each of these rows reaches at least."""
-    (order, starts), (b_order, b_starts) = leaves(a, LEAF), leaves(b, LEAF)
-    low, high = score_bounds(a[order], starts, b[b_order], b_starts)
-    for i, j, least, most in zip(starts, starts[1:], low.max(1), high, strict=False):
-        rows = order[i:j]
-        some = b_order[np.repeat(most >= least - margin(rows, least), np.diff(b_starts))]
+    (order, starts), (b_order, b_starts) = leaves(a), leaves(b)
+    (middles, sides), b_boxes = boxes(a[order], starts), boxes(b[b_order], b_starts)
+    for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
+        low, high = score_bounds((middles[k : k + 1], sides[k : k + 1]), b_boxes)
+        rows, least = order[i:j], low.max()
+        some = b_order[np.repeat(high[0] >= least - margin(rows, least), np.diff(b_starts))]
         for part in np.array_split(rows, max(1, len(rows) * len(some) >> 20)):
             score = a[part] @ b[some].T
             yield part, some[(score >= score.max(1, keepdims=True) - margin(part, least)).any(0)]
+
+
+def _stencil(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in units of a grid, the first of the STENCIL grid points around each and the weights with which these interpolate."""
+    first = np.floor(x).astype(int) - (STENCIL // 2 - 1)
+    from_points = (x - first)[:, None] - np.arange(STENCIL)
+    weights = np.ones((len(x), STENCIL))
+    for j in range(STENCIL):
+        for i in range(STENCIL):
+            if i != j:
+                weights[:, j] *= from_points[:, i] / (j - i)
+    return first, weights
+
+
+def _stencils(points: np.ndarray, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Some points, the grid points that each meets, numbered in rows of `width`, and their weights."""
+    for i in range(0, len(points), 1 << 13):
+        (x, wx), (y, wy) = (_stencil(c) for c in points[i : i + (1 << 13)].T)
+        at = ((x[:, None] + np.arange(STENCIL)) * width)[:, :, None] + (y[:, None] + np.arange(STENCIL))[:, None]
+        yield slice(i, i + (1 << 13)), at.reshape(len(x), -1), (wx[:, :, None] * wy[:, None]).reshape(len(x), -1)
+
+
+def inverse_distance_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray | None:
+    """For every row of a, a place in the plane, the sum over the rows of b of weight times the inverse distance, at most `most`, and 0
+    where two coincide.
+
+    The inverse distance is taken as a smooth function, which beyond a radius is the inverse distance itself and within it a polynomial of
+    the squared distance with the same derivatives at the radius, and the rest, which is 0 beyond the radius. The smooth part is a
+    convolution on a grid (places are interpolated between its points), the rest is worked out pair by pair.
+    """
+    low = np.minimum(a.min(0), b.min(0))
+    sides = np.maximum(a.max(0), b.max(0)) - low
+    if not (np.isfinite(sides).all() and sides.max() > 0):
+        return None
+    step = float(np.sqrt(np.prod(np.maximum(sides, sides.max() / 1000)) / min(CELLS * len(b), MOST_CELLS)))
+    radius = max(RADIUS * step, 2 / most)
+    (order, starts), (b_order, b_starts) = leaves(a), leaves(b)
+    a, b, weight = a[order], b[b_order], weight[b_order].astype(float)
+    (am, ar), (bm, br), sizes = boxes(a, starts), boxes(b, b_starts), np.diff(b_starts)
+    within = lambda k: (np.maximum(np.abs(am[k] - bm) - ar[k] - br, 0) ** 2).sum(1) < (radius * (1 + 1e-9)) ** 2
+    if sum((j - i) * (within(k) @ sizes) for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False))) > 0.25 * len(a) * len(b):
+        return None
+    # the smooth part
+    origin = low - STENCIL * step
+    shape = tuple(int(n) for n in np.ceil(sides / step) + 2 * STENCIL)
+    grid = np.zeros(shape[0] * shape[1])
+    for some, at, by in _stencils((b - origin) / step, shape[1]):
+        grid += np.bincount(at.reshape(-1), (by * weight[some, None]).reshape(-1), len(grid))
+    whole = tuple(_fast(2 * n) for n in shape)
+    x, y = (np.arange(n // 2 + 1) * step for n in whole)
+    squares = x[:, None] ** 2 + y**2
+    smooth = np.polynomial.polynomial.polyval(1 - np.minimum(squares / radius**2, 1), SMOOTH) / radius
+    quarter = np.where(squares < radius**2, smooth, 1 / np.sqrt(np.maximum(squares, radius**2)))
+    mirrored = np.ix_(*[np.minimum(np.arange(n), n - np.arange(n)) for n in whole])
+    field = np.fft.rfft2(quarter[mirrored])
+    field *= np.fft.rfft2(grid.reshape(shape), whole)
+    field = np.fft.irfft2(field, whole)[: shape[0], : shape[1]].reshape(-1)
+    sums = np.empty(len(a))
+    for some, at, by in _stencils((a - origin) / step, shape[1]):
+        sums[some] = np.einsum("ij,ij->i", field[at], by)
+    # the rest
+    for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
+        close = np.flatnonzero(np.repeat(within(k), sizes))
+        for n in range(0, len(close), BLOCK):
+            met = close[n : n + BLOCK]
+            square, other = (np.subtract.outer(a[i:j, c], b[met, c]) for c in (0, 1))
+            square *= square
+            other *= other
+            square += other
+            np.minimum(square, radius**2, square)
+            rest = np.sqrt(square, other)
+            np.divide(1, np.maximum(rest, 1 / most, rest), rest)
+            rest[square == 0] = 0
+            square *= -1 / radius**2
+            square += 1
+            smooth = np.full_like(square, SMOOTH[-1])
+            for c in SMOOTH[-2::-1]:
+                smooth *= square
+                smooth += c
+            smooth *= 1 / radius
+            rest -= smooth
+            sums[i:j] += rest @ weight[met]
+    return sums[np.argsort(order)]
+
+
+def _fast(least: int) -> int:
+    """The next length of few small factors, which transforms like."""
+    return min(n for p in (1, 3, 5, 9, 15) for n in [p << max(0, int(np.ceil(np.log2(least / p))))] if n >= least)

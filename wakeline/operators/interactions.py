@@ -291,4 +291,8 @@ def inverse_distance_sums(most: float) -> Work:
         d = np.sqrt(sum((a[:, None] - b) ** 2 for a, b in zip(own.values.T, met.values.T, strict=True)))
         return {"near": np.where(d == 0, 0.0, np.fmin(1 / d, most)) @ met.members, "known": met.members.sum()}
 
-    return Work(work)
+    def many(own: States, met: States) -> dict[str, np.ndarray] | None:
+        near = fields.inverse_distance_sums(own.values, met.values, met.members, most) if own.values.shape[1] == 2 else None
+        return None if near is None else {"near": near, "known": met.members.sum()}
+
+    return Work(work, many)
