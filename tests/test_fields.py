@@ -9,7 +9,7 @@ import pytest
 from wakeline.operators import fields, interactions
 from wakeline.plans import graphs
 
-MANY_QUERIES = ["sparse_adjacency", "graph_features", "nearness"]
+MANY_QUERIES = ["sparse_adjacency", "graph_features", "nearness", "attention"]
 
 
 def states(count: int, columns: int = 4) -> interactions.States:
@@ -75,6 +75,17 @@ def test_nearness_of_many_states():
     equal_to_singly(interactions.inverse_distance_sums(1000.0), states(20000, 2), 1e-12)
 
 
+def test_attention_of_many_states_looks_at_few_for_the_largest_weight(monkeypatch):
+    """(Before: every pair.) Also of states so close that all weights are equal when rounded: the largest partner with a name."""
+    whole, met = states(8000), []
+    work, found = interactions.attention_sums(*graphs.MAPS, 9), fields.contenders
+    monkeypatch.setattr(fields, "contenders", lambda *x: (met.append(len(rows) * len(some)) or (rows, some) for rows, some in found(*x)))
+    equal_to_singly(work, whole, 1e-12, ("top",))
+    assert sum(met) < 0.05 * len(whole.members) ** 2
+    close = interactions.States(whole.values * 1e-7, whole.members, whole.entity, whole.named)
+    equal_to_singly(work, close, 1e-12, ("top",))
+
+
 @pytest.mark.parametrize("stretch", [(1.0, 1.0), (1.0, 0.0), (1.0, 1e-3), (1e6, 3e6)])
 def test_inverse_distances_of_other_places(stretch):
     rng = np.random.default_rng(2)

@@ -214,7 +214,27 @@ def attention_sums(query: np.ndarray, key: np.ndarray, digits: int) -> Work:
         top = np.where(ahead & met.named, met.entity, NAMELESS).max(1)
         return {"total": weight @ met.members, "squares": weight**2 @ met.members, "top": top}
 
-    return Work(work)
+    maps = query.T @ key / len(query) ** 0.5
+
+    def many(own: States, met: States) -> dict[str, np.ndarray] | None:
+        asks = own.values @ maps
+        softmax, twice = (fields.exponential_sums(x, met.values, met.members) for x in (asks, 2 * asks))
+        if softmax is None or twice is None:
+            return None
+
+        def margin(rows: np.ndarray, least: float) -> float:
+            """Scores further below the largest are of smaller rounded weights."""
+            return -np.log1p(-min(1.0, 2 * 10.0**-digits * softmax[rows].max() / np.exp(least)))
+
+        top = np.empty(len(asks), np.int64)
+        for rows, some in fields.contenders(asks, met.values, margin):
+            score = (own.values[rows] @ query.T) @ (met.values[some] @ key.T).T / len(query) ** 0.5
+            short = np.rint(np.exp(score) / softmax[rows, None] * 10.0**digits)
+            top[rows] = np.where((short == short.max(1, keepdims=True)) & met.named[some], met.entity[some], NAMELESS).max(1)
+        # What a sum is divided by is that sum.
+        return {"total": np.ones(len(asks)), "squares": twice / softmax**2, "top": top}
+
+    return Work(work, many)
 
 
 def adjacency_sums(query: np.ndarray, key: np.ndarray) -> Work:
