@@ -47,6 +47,11 @@ def boxes(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (low + high) / 2, (high - low) / 2
 
 
+def _rows(starts: np.ndarray) -> np.ndarray:
+    """The points of each group, as many in every row: the last of a smaller group again."""
+    return np.minimum(starts[:-1, None] + np.arange(np.diff(starts).max()), starts[1:, None] - 1)
+
+
 def score_bounds(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest product of points in boxes of a with points in boxes of b, with room for rounding."""
     (am, ar), (bm, br) = a, b
@@ -72,20 +77,24 @@ class Terms:
             at = at.reshape(-1) if k == count - 1 else np.arange(len(prefix))
             self.steps.append((before[at], prefix[at, k]))
 
-    def of(self, points: np.ndarray) -> np.ndarray:
-        """A row for each product, a column for each point; it holds until the next call."""
-        size = len(points)
+    def of(self, points: np.ndarray, count: int | None = None) -> np.ndarray:
+        """A row for each product (of the first `count`), a column for each point; it holds until the next call."""
+        size, out = len(points), np.ones((1, len(points)))
         if size not in self.room:
             self.room[size] = [tuple(np.empty((len(power), size)) for _ in range(2)) for _, power in self.steps]
-        out = np.ones((1, size))
         for x, (before, power), (left, right) in zip(points.T, self.steps, self.room[size], strict=True):
+            many = len(power) if power is not self.steps[-1][1] else count
             table = np.ones((power.max() + 1, size))
             np.cumprod(np.broadcast_to(x, (len(table) - 1, size)), 0, out=table[1:])
-            np.take(out, before, 0, left, "clip")
-            np.take(table, power, 0, right, "clip")
-            out = np.multiply(left, right, left)
+            np.take(out, before[:many], 0, left[:many], "clip")
+            np.take(table, power[:many], 0, right[:many], "clip")
+            out = np.multiply(left[:many], right[:many], left[:many])
         return out
 
+    def up_to(self, degree: np.ndarray) -> np.ndarray:
+        """How many products have no higher degree."""
+        return np.searchsorted(self.degree, degree, "right")
+
 
 def terms(share: np.ndarray, size: np.ndarray, drop: float) -> Terms | None:
     """The terms of sum(size[n] * (sum of share * x)**n) for x between -1 and 1, but for some that come to at most `drop` together."""
@@ -153,7 +162,7 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
     taken = np.concatenate([value(middle[i : i + LEAF, None] + wide * np.cos(angle), order[i : i + LEAF]) for i in range(0, len(a), LEAF)])
     series = taken @ to_terms
     tail = np.cumsum((np.abs(series) / least[:, None]).max(0)[::-1])[::-1]
-    short = np.flatnonzero(tail <= drop / 10)
+    short = np.flatnonzero(tail <= drop / 4)
     if not len(short) or short[0] > NODES - 8 or not np.isfinite(tail[0]):
         return None
     to_powers = np.zeros((short[0], short[0]))
@@ -162,30 +171,49 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
         to_powers[i, : len(whole)] = whole
     series = series[:, : short[0]] @ to_powers
     size = (np.abs(series) / least[:, None]).max(0)
-    used = terms(reach * far / (wide or 1), size, drop) if size.sum() < 1e4 else None
+    share = reach * far / (wide or 1)
+    used = terms(share, size, drop / 4) if size.sum() < 1e4 else None
     if used is None:
         return None
+
+    def degrees(scaled: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Up to which degree terms count for each group: where all are well within the reach, not up to the highest."""
+        part = np.maximum.reduceat(np.abs(scaled) @ share, starts[:-1])[:, None] ** np.arange(len(size)) * size
+        return len(size) - 1 - (np.cumsum(part[:, ::-1], 1) <= drop / 4).sum(1)
+
     # With the products that are one power of a coordinate higher, moments give the sums of weight * value * b too.
     more, at = np.unique(np.concatenate([used.powers, *[used.powers + e for e in np.eye(len(far), dtype=int)]]), axis=0, return_inverse=True)
-    at = at.reshape(1 + len(far), -1)
+    by_degree = np.argsort(more.sum(1), kind="stable")
+    at, more = np.argsort(by_degree)[at.reshape(1 + len(far), -1)], more[by_degree]
     wider = Terms(more, np.ones(len(more)), more.sum(1))
-    moments = np.stack([wider.of(v[i:j]) @ weight[i:j] for i, j in zip(b_starts, b_starts[1:], strict=False)])
+    moments = np.zeros((len(b_starts) - 1, len(more)))
+    for k, (i, j, count) in enumerate(zip(b_starts, b_starts[1:], wider.up_to(degrees(v, b_starts) + 1), strict=False)):
+        moments[k, :count] = wider.of(v[i:j], count) @ weight[i:j]
     members = np.add.reduceat(weight, b_starts[:-1])
-    (middles, sides), b_boxes = boxes(a, starts), boxes(b, b_starts)
+    (middles, sides), (b_middles, b_sides) = boxes(a, starts), boxes(b, b_starts)
     weights, sizes = np.concatenate([weight[:, None], weight[:, None] * b], 1), np.diff(b_starts)
     known, sums = np.zeros(len(a)), np.zeros((len(a), 1 + len(far)))
-    degrees = np.searchsorted(used.degree, np.arange(len(size) + 1))
+    ends, highest = used.up_to(np.arange(-1, len(size))), degrees(u, starts)
+    rows, b_rows = _rows(starts), _rows(b_starts)
+    off, sided = (b - np.repeat(b_middles, sizes, 0)), np.abs(b)
     for first in range(0, len(middles), HELD):
-        low, high = score_bounds((middles[first : first + HELD], sides[first : first + HELD]), b_boxes)
-        within, both = low > POSITIVE, (low <= POSITIVE) & (high > POSITIVE)
+        some_rows, middle, side = rows[first : first + HELD], middles[first : first + HELD], sides[first : first + HELD]
+        # a . b is a . (middle of b) and (middle of a) . (b off its middle), both over all points, and the product of what is off
+        at_middle, offs = a[some_rows] @ b_middles.T, (off @ middle.T)[b_rows]
+        room = side @ b_sides.T
+        room += 1e-12 * (room + np.abs(middle) @ np.abs(b_middles).T + 1)
+        within = at_middle.min(1) + offs.min(1).T - room > POSITIVE
+        both = ~within & (at_middle.max(1) + offs.max(1).T + room > POSITIVE)
+        upper = (b @ middle.T + sided @ side.T).T > -1e-12
         mixed = within.any(0) & ~within.all(0)
         gathered = within[:, mixed].astype(float) @ moments[mixed] + moments[within.all(0)].sum(0)
         for k, (i, j) in enumerate(zip(starts[first:], starts[first + 1 : first + 1 + HELD], strict=False)):
-            own, met = used.of(u[i:j]), (gathered[k][at] * used.weight).T
-            some = sum(series[i:j, n, None] * (own[x:y].T @ met[x:y]) for n, (x, y) in enumerate(zip(degrees, degrees[1:], strict=False)))
+            top = max(0, highest[first + k])
+            own, met = used.of(u[i:j], ends[top + 1]), (gathered[k][at[:, : ends[top + 1]]] * used.weight[: ends[top + 1]]).T
+            some = sum(series[i:j, n, None] * (own[ends[n] : ends[n + 1]].T @ met[ends[n] : ends[n + 1]]) for n in range(top + 1))
             some[:, 1:] = some[:, 1:] * far + some[:, :1] * b0
             known[i:j] = members[within[k]].sum()
-            near = np.flatnonzero(np.repeat(both[k], sizes))
+            near = np.flatnonzero(np.repeat(both[k], sizes) & upper[k])
             for n in range(0, len(near), BLOCK):
                 some_b = near[n : n + BLOCK]
                 scores = a[i:j] @ b[some_b].T
