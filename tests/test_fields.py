@@ -9,7 +9,7 @@ import pytest
 from wakeline.operators import fields, interactions
 from wakeline.plans import graphs
 
-MANY_QUERIES = ["sparse_adjacency", "graph_features", "nearness", "attention"]
+MANY_QUERIES = ["sparse_adjacency", "graph_features", "nearness", "attention", "interaction_scores"]
 
 
 def states(count: int, columns: int = 4) -> interactions.States:
@@ -70,6 +70,10 @@ def test_adjacency_of_many_states_meets_few_pairs(monkeypatch):
     assert sum(met) < 0.5 * len(whole.members) ** 2
 
 
+def test_scores_of_many_states():
+    equal_to_singly(interactions.score_sums(*graphs.MAPS, 2), states(8000), 1e-11)
+
+
 def test_nearness_of_many_states():
     """(Before: every pair.) Places on lines, places nearer than the cap, and the place itself."""
     equal_to_singly(interactions.inverse_distance_sums(1000.0), states(20000, 2), 1e-12)

@@ -196,8 +196,9 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
     ends, highest = used.up_to(np.arange(-1, len(size))), degrees(u, starts)
     rows, b_rows = _rows(starts), _rows(b_starts)
     off, sided = (b - np.repeat(b_middles, sizes, 0)), np.abs(b)
-    for first in range(0, len(middles), HELD):
-        some_rows, middle, side = rows[first : first + HELD], middles[first : first + HELD], sides[first : first + HELD]
+    held = max(1, min(HELD, (1 << 21) // len(b)))
+    for first in range(0, len(middles), held):
+        some_rows, middle, side = rows[first : first + held], middles[first : first + held], sides[first : first + held]
         # a . b is a . (middle of b) and (middle of a) . (b off its middle), both over all points, and the product of what is off
         at_middle, offs = a[some_rows] @ b_middles.T, (off @ middle.T)[b_rows]
         room = side @ b_sides.T
@@ -207,7 +208,7 @@ def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Calla
         upper = (b @ middle.T + sided @ side.T).T > -1e-12
         mixed = within.any(0) & ~within.all(0)
         gathered = within[:, mixed].astype(float) @ moments[mixed] + moments[within.all(0)].sum(0)
-        for k, (i, j) in enumerate(zip(starts[first:], starts[first + 1 : first + 1 + HELD], strict=False)):
+        for k, (i, j) in enumerate(zip(starts[first:], starts[first + 1 : first + 1 + held], strict=False)):
             top = max(0, highest[first + k])
             own, met = used.of(u[i:j], ends[top + 1]), (gathered[k][at[:, : ends[top + 1]]] * used.weight[: ends[top + 1]]).T
             some = sum(series[i:j, n, None] * (own[ends[n] : ends[n + 1]].T @ met[ends[n] : ends[n + 1]]) for n in range(top + 1))

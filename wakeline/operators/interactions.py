@@ -193,7 +193,19 @@ def score_sums(query: np.ndarray, key: np.ndarray, heads: int = 1) -> Work:
             out |= {f"total{h}": score @ met.members, f"most{h}": score.max(1)}
         return out
 
-    return Work(work)
+    def many(own: States, met: States) -> dict[str, np.ndarray] | None:
+        out = {}
+        for h, (q, k) in enumerate(zip(np.split(query, heads), np.split(key, heads), strict=True)):
+            asks, offered = own.values @ q.T / len(query) ** 0.5, met.values @ k.T
+            if not np.isfinite(np.abs(asks).max(0) @ np.abs(offered).max(0)):
+                return None
+            most = np.empty(len(asks))
+            for rows, some in fields.contenders(asks, offered, lambda *_: 0.0):
+                most[rows] = (asks[rows] @ offered[some].T).max(1)
+            out |= {f"total{h}": asks @ (met.members @ offered), f"most{h}": most}
+        return out
+
+    return Work(work, many)
 
 
 def _softmax(own: States, met: States, query: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
