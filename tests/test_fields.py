@@ -103,9 +103,20 @@ def test_inverse_distances_of_other_places(stretch):
     assert fields.inverse_distance_sums(a, np.concatenate([b / 1e6, [[9e9, 9e9]]]), np.ones(9001), most) is None
 
 
+def test_a_few_far_states_do_not_make_all_meet(monkeypatch):
+    """States of far larger features than the others' are cut off; sums are those of every pair."""
+    whole, met = states(8000), []
+    whole.values[-3:] = [[2.5, 0.9, 0.8, 0.7], [6.0, 0.5, 0.5, 0.1], [3.0, 3.0, 0.0, 0.0]]
+    raised = fields._positive_sums
+    monkeypatch.setattr(fields, "_positive_sums", lambda a, b, *x: met.append((len(a) * len(b), raised(a, b, *x))) or met[-1][1])
+    equal_to_singly(interactions.adjacency_sums(*graphs.MAPS), whole, 1e-10, ("zeros",))
+    equal_to_singly(interactions.attention_sums(*graphs.MAPS, 9), whole, 1e-10, ("top",))
+    assert met[0][1] is None and sum(size for size, found in met if found) > 0.9 * len(whole.members) ** 2
+
+
 def test_expansions_refuse_what_they_cannot_bound():
     far = np.array([[0.0, 0.0], [100.0, 3.0]])
     one = np.ones(2)
     assert fields.exponential_sums(far, far, one) is None
     assert fields.exponential_sums(far * np.nan, far, one) is None
-    assert fields.positive_sums(far, far, one, lambda s, rows: 1 / (s - 1.5) ** 2, one) is None
+    assert fields.positive_sums(far, far, one, lambda s, rows: 1 / (s - 1.5) ** 2, one, cuts=0) is None

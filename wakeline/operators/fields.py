@@ -17,6 +17,8 @@ import numpy as np
 LEAF, GROUPS, TERMS, HELD, BLOCK = 64, 1 << 11, 1 << 13, 32, 512
 #: The least score whose sigmoid is over a half in double precision.
 POSITIVE = 1.5 * 2.0**-53
+#: How often what is too wide for an expansion is cut in halves, and pairs that meet singly instead.
+CUTS, PAIRS = 3, 1 << 22
 #: Grid points between which a place is interpolated (by a side), the radius of what is not smooth in steps of the grid, cells of the
 #: grid for each point and in all, and what the inverse root of 1 - x is in powers of x, of which the smooth part keeps these.
 STENCIL, RADIUS, CELLS, MOST_CELLS = 18, 28, 32, 1 << 21
@@ -122,8 +124,32 @@ def _scaled(x: np.ndarray, middle: np.ndarray | float) -> tuple[np.ndarray, np.n
     return moved / np.where(reach > 0, reach, 1), reach
 
 
-def exponential_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
-    """For every row of a the sum over the rows of b of weight * exp(a . b), each part to 1e-14 of itself before rounding."""
+def _sides(x: np.ndarray, column: int) -> list[np.ndarray]:
+    """The rows on either side of the middle of a column's range."""
+    over = x[:, column] > (x[:, column].min() + x[:, column].max()) / 2
+    return [rows for rows in (np.flatnonzero(~over), np.flatnonzero(over)) if len(rows)]
+
+
+def exponential_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, cuts: int = CUTS) -> np.ndarray | None:
+    """For every row of a the sum over the rows of b of weight * exp(a . b), each part to 1e-14 of itself before rounding. What is too
+    wide is cut in halves at most `cuts` times; a few far rows meet singly."""
+    found = _exponential_sums(a, b, weight)
+    if found is not None or not cuts:
+        return found
+    if len(a) * len(b) <= PAIRS:
+        found = np.exp(a @ b.T) @ weight
+        return found if np.isfinite(found).all() and (found > 1e-250).all() else None
+    found, wide = np.zeros(len(a)), (np.ptp(a, 0) * np.ptp(b, 0)).argmax()
+    for rows in _sides(a, wide):
+        for some in _sides(b, wide):
+            part = exponential_sums(a[rows], b[some], weight[some], cuts - 1)
+            if part is None:
+                return None
+            found[rows] += part
+    return found
+
+
+def _exponential_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
     a0, b0 = ((x.max(0) + x.min(0)) / 2 for x in (a, b))
     (u, reach), (v, far) = _scaled(a, a0), _scaled(b, b0)
     wide = float(reach @ far)
@@ -143,13 +169,36 @@ def exponential_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nda
     return np.concatenate([moments @ used.of(u[i : i + HELD]) for i in range(0, len(u), HELD)]) * back
 
 
-def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Callable[[np.ndarray, np.ndarray], np.ndarray], least: np.ndarray, drop: float = 1e-11) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Callable[[np.ndarray, np.ndarray], np.ndarray], least: np.ndarray, drop: float = 1e-11, cuts: int = CUTS) -> Sums | None:
     """Over the rows of b whose product with a row of a is positive: the sums of weight, of weight * value and of weight * value * b.
 
     value(scores, rows): a smooth function of the scores of some rows of a, a row of scores for each, that is `least` or more where they are
     positive; errors are at most `drop` of that. Groups of b that are positive to a group of a are summed by their moments, those
-    with both signs pair by pair.
+    with both signs pair by pair. What is too wide is cut in halves at most `cuts` times; a few far rows meet singly.
     """
+    found = _positive_sums(a, b, weight, value, least, drop)
+    if found is not None or not cuts:
+        return found
+    if len(a) * len(b) <= PAIRS:
+        scores = a @ b.T
+        ahead = scores > POSITIVE
+        each = np.where(ahead, value(scores, np.arange(len(a))), 0.0) * weight
+        return (ahead @ weight, each.sum(1), each @ b) if np.isfinite(each).all() else None
+    found, wide = (np.zeros(len(a)), np.zeros(len(a)), np.zeros(a.shape)), (np.abs(a).max(0) * np.ptp(b, 0)).argmax()
+    for rows in _sides(a, wide):
+        for some in _sides(b, wide):
+            part = positive_sums(a[rows], b[some], weight[some], lambda scores, at, rows=rows: value(scores, rows[at]), least[rows], drop, cuts - 1)
+            if part is None:
+                return None
+            for whole, x in zip(found, part, strict=True):
+                whole[rows] += x
+    return found
+
+
+def _positive_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, value: Callable[[np.ndarray, np.ndarray], np.ndarray], least: np.ndarray, drop: float) -> Sums | None:
     (order, starts), (b_order, b_starts) = leaves(a), leaves(b)
     a, b, weight, least = a[order], b[b_order], weight[b_order], least[order]
     b0 = (b.max(0) + b.min(0)) / 2
